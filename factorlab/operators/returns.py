@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.dates import (
-    first_of_month, in_period, month_floor, month_grid, month_index, shift_months,
+    first_of_month, in_period, month_floor, month_grid, month_index,
 )
 from ..functions.stats import pct_change
 
-BY_MONTH = Window.partitionBy("ticker").orderBy("month_idx")
+def _by_month() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("month_idx")
 
 
 def month_buckets(prices: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -50,9 +51,9 @@ def monthly_returns(
     price of the calendar month before, else the month's own first price.
     """
     buckets = month_buckets(prices, start, end)
-    adjacent = F.lag("month_idx").over(BY_MONTH) == F.col("month_idx") - 1
+    adjacent = F.lag("month_idx").over(_by_month()) == F.col("month_idx") - 1
     base = F.coalesce(
-        F.when(adjacent, F.lag("last_price").over(BY_MONTH)), F.col("first_price")
+        F.when(adjacent, F.lag("last_price").over(_by_month())), F.col("first_price")
     )
     has_return = F.col("n_days") >= min_days
     if drop_last_month:
@@ -69,7 +70,7 @@ def dense_months(monthly: DataFrame, end: dt.date, tail: int = 0) -> DataFrame:
     final = end.year * 12 + end.month - 1
     whole = Window.partitionBy("ticker")
     until = F.coalesce(
-        F.lead("month_idx").over(BY_MONTH),
+        F.lead("month_idx").over(_by_month()),
         F.least(F.col("month_idx") + tail, F.lit(final)) + 1,
     )
     return (
@@ -120,8 +121,3 @@ def returns_long(wide: DataFrame) -> DataFrame:
     date, *tickers = wide.columns
     return wide.unpivot([date], tickers, "ticker", "ret").withColumnRenamed(date, "month")
 
-
-__all__ = [
-    "month_buckets", "monthly_returns", "dense_months", "trading_calendar", "daily_returns",
-    "returns_wide", "returns_long", "shift_months",
-]
