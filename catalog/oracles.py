@@ -740,7 +740,7 @@ ORACLES: dict[str, str] = {
     "validity_single": with_(PRICES, final="""SELECT ticker, min(date) AS data_start, max(date) AS data_end
   FROM prices WHERE ticker = 'S3' GROUP BY 1"""),
     # price sources
-    "price_one_per_day": with_(QUOTES, final=f"""SELECT ticker, date, {r('price')} AS price FROM quotes
+    "price_one_per_day": with_(QUOTES, final=f"""SELECT ticker, date, {r('price', 8)} AS price FROM quotes
   QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) = 1"""),
     "coverage_status": with_(PRICES, REQUESTS, final="SELECT * FROM covered"),
     "load_success": with_(PRICES, REQUESTS, final="""SELECT count(*) AS requested, count(*) FILTER (WHERE status <> 'missing') AS obtained,

@@ -163,7 +163,7 @@ def _requests(spark, sf):
 @query
 def price_one_per_day(spark, sf):
     """DED1: first quote of the day."""
-    return rounded(PR.one_price_per_day(quotes(spark, sf), "arrival"))
+    return rounded(PR.one_price_per_day(quotes(spark, sf), "arrival"), 8)
 
 
 @query

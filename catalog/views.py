@@ -33,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _whole(column: str, scale: int = 100) -> Column:
-    return F.sum(F.round(F.col(column) * scale).cast("long"))
+    """Sum of a non-negative column in whole units, rounding each value half up."""
+    return F.sum(F.floor(F.col(column) * scale + 0.5))
 
 
 def daily_sums(spark: SparkSession, sf_dir: str, ticker: Column) -> DataFrame:
@@ -94,10 +95,11 @@ def characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, symbol): on each first of a month the tickers that made at least half
-    of the mean revenue in the month before."""
-    return characteristics(spark, sf_dir).filter(
+    of the mean revenue in the month before. Staged, as an index file would be."""
+    members = characteristics(spark, sf_dir).filter(
         F.col("cents") >= 0.5 * (F.col("all_cents") / F.col("tickers"))
     ).select(F.add_months("month", 1).alias("date"), F.col("ticker").alias("symbol"))
+    return stage(members, "membership")
 
 
 def raw_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.distributions import f_critical, f_upper_tail
 from ..schemas import MODELS, require_columns
 from .regression import SINGULAR
+from .sizing import broadcast_if_small
 
 RESULT = [
     T.StructField("status", T.StringType()),
@@ -76,7 +77,7 @@ def grs_test(
     )
     series = residuals.filter((F.col("model") == model) & F.col("portfolio").isin(portfolios))
     wide = residuals_wide(series, keys, portfolios).join(
-        F.broadcast(factors.select("date", *names)), "date"  # one row per month
+        broadcast_if_small(factors.select("date", *names)), "date"
     )
     e = [F.col(p) / 100 for p in portfolios]
     f = [F.col(n) / 100 for n in names]

@@ -15,6 +15,7 @@ from ..functions.stats import (
     skewness_sample_sd,
 )
 from ..schemas import LONG_SHORT
+from .sizing import broadcast_if_small
 
 MIN_MONTHS = 12  # fixed value: fewer months give no ratio
 
@@ -97,7 +98,7 @@ def excess_sharpe(long: DataFrame, factors: DataFrame, keys: list[str] | None =
     rf = factors.select("date", "RF")
     excess = (F.col("ret") - F.col("RF")) / 100
     complete = F.col("ret").isNotNull() & F.col("RF").isNotNull()
-    rows = long.join(F.broadcast(rf), "date").withColumn("_ex", F.when(complete, excess))
+    rows = long.join(broadcast_if_small(rf), "date").withColumn("_ex", F.when(complete, excess))
     enough = F.count("_ex") >= MIN_MONTHS
     sharpe = monthly_sharpe(F.col("_ex"))
 

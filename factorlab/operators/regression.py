@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.distributions import t_two_sided
 from ..functions.stats import monthly_sharpe, significance, verdict
 from ..schemas import FACTORS, MODELS, missing_columns, require_columns
+from .sizing import broadcast_if_small
 
 MIN_MONTHS = 12  # fixed value: fewer complete months give no regression
 SINGULAR = 1e14  # condition number of the factor covariance
@@ -26,8 +27,8 @@ SINGULAR = 1e14  # condition number of the factor covariance
 # ---- design rows ----------------------------------------------------------
 
 def align_by_date(portfolios: DataFrame, factors: DataFrame) -> DataFrame:
-    """Portfolio rows with the factors of their month (JOIN1); factors hold a row per month."""
-    return portfolios.join(F.broadcast(factors), "date", "inner")
+    """Portfolio rows with the factors of their month (JOIN1)."""
+    return portfolios.join(broadcast_if_small(factors), "date", "inner")
 
 
 def align_by_position(portfolios: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,7 +37,7 @@ def align_by_position(portfolios: DataFrame, factors: DataFrame, keys: list[str]
         "_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("date"))
     )
     months = factors.withColumn("_pos", F.row_number().over(Window.orderBy("date"))).drop("date")
-    return returns.join(F.broadcast(months), "_pos").drop("_pos")
+    return returns.join(broadcast_if_small(months), "_pos").drop("_pos")
 
 
 def design_rows(aligned: DataFrame, keys: list[str], models: list[str] | None = None) -> DataFrame:

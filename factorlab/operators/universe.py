@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dates import month_floor, months_before
 from ..sources.prices import validity
+from .sizing import broadcast_if_small
 
 
 def asof_snapshots(membership: DataFrame, formations: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def valid_tickers(
     calendar = formations.select("formation", month_floor("formation").alias("month"))
     return (
         spans.filter(reachable).withColumn("month", F.explode(months))
-        .join(F.broadcast(calendar), "month")  # one row per formation
+        .join(broadcast_if_small(calendar), "month")
         .filter(enough)
         .select("formation", "ticker", "data_start", "data_end")
     )
