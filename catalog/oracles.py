@@ -59,12 +59,12 @@ CHARACTERISTICS = DAILY + """,
 per_ticker AS (
   SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS month, sum(n) AS n, sum(tax) AS tax,
          sum(disc) AS disc, sum(qty) AS qty, sum(cents) AS cents
-  FROM daily GROUP BY 1, 2),
+  FROM daily WHERE date BETWEEN DATE '%s' AND DATE '%s' GROUP BY 1, 2),
 totals AS (
   SELECT month, count(*) AS tickers, sum(n) AS all_n, sum(tax) AS all_tax, sum(disc) AS all_disc,
          sum(qty) AS all_qty, sum(cents) AS all_cents
   FROM per_ticker GROUP BY 1),
-chars AS (SELECT * FROM per_ticker JOIN totals USING (month))"""
+chars AS (SELECT * FROM per_ticker JOIN totals USING (month))""" % (START, END)
 
 MEMBERSHIP = """membership AS (
   SELECT CAST(month + INTERVAL 1 MONTH AS DATE) AS date, ticker AS symbol FROM chars

@@ -5,23 +5,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factorlab.functions import symbols as S
-from factorlab.functions.dates import in_period, month_grid
+from factorlab.functions.dates import month_grid
 from factorlab.operators import (
     inference, performance as P, portfolios as PF, regression as R, returns as RET,
     robustness as RB, signals as V, universe as U,
 )
 from factorlab.plans import analysis as A, reports as REP
-from factorlab.schemas import FACTORS, LONG_SHORT, MODELS, PORTFOLIOS, QUINTILES
+from factorlab.schemas import FACTORS, LONG_SHORT, MODELS, QUINTILES
 from factorlab.sources import constituents as C, factors as FAC, prices as PR
-from factorlab.staging import stage
 
-from .views import (
-    END, START, characteristics, daily_panel, factors, listings, membership, monthly,
-    portfolios, prices, quotes, raw_constituents, table,
-)
+from .views import END, START, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,8 +26,9 @@ MID_START, MID_END = dt.date(1997, 1, 1), dt.date(1999, 12, 31)
 LOOKBACKS = (6, 12, 24)
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Register ``fn``; each call gets tables of its own, so queries share nothing."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
     return fn
 
 
@@ -43,116 +40,116 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # ---- constituents and universe --------------------------------------------
 
 @query
-def constituents_split(spark, sf):
+def constituents_split(t):
     """SRC1: untrimmed split."""
-    return C.split_constituents(raw_constituents(spark, sf)).select(
+    return C.split_constituents(t.raw_constituents).select(
         "date", F.size("tickers_array").alias("n_items"),
         F.get("tickers_array", F.lit(0)).alias("first_item"),
     )
 
 
 @query
-def constituents_parsed(spark, sf):
+def constituents_parsed(t):
     """SRC2: strict parse."""
-    return C.parse_constituents(raw_constituents(spark, sf)).select(
+    return C.parse_constituents(t.raw_constituents).select(
         "date", F.size("tickers").alias("n_tickers"), F.array_join("tickers", "|").alias("tickers")
     )
 
 
 @query
-def constituent_profile(spark, sf):
+def constituent_profile(t):
     """AGG8."""
-    return C.constituent_profile(C.parse_constituents(raw_constituents(spark, sf)))
+    return C.constituent_profile(C.parse_constituents(t.raw_constituents))
 
 
 @query
-def universe_raw(spark, sf):
+def universe_raw(t):
     """UNI3."""
-    return C.universe_from_raw(raw_constituents(spark, sf), MID_START, MID_END)
+    return C.universe_from_raw(t.raw_constituents, MID_START, MID_END)
 
 
 @query
-def universe_brands_clean(spark, sf):
+def universe_brands_clean(t):
     """UNI2 on exploded, cleaned snapshots (AGG3, SET1)."""
-    members = C.explode_members(C.parse_constituents(raw_constituents(spark, sf)))
+    members = C.explode_members(C.parse_constituents(t.raw_constituents))
     return C.universe_for_period(members, MID_START, MID_END)
 
 
 @query
-def universe_period(spark, sf):
+def universe_period(t):
     """UNI2, FLT1, SC5, SORT3."""
-    return C.universe_for_period(membership(spark, sf), MID_START, MID_END)
+    return C.universe_for_period(t.membership, MID_START, MID_END)
 
 
 @query
-def universe_in_order(spark, sf):
+def universe_in_order(t):
     """UNI1."""
-    return C.universe_in_order(membership(spark, sf), MID_START, MID_END)
+    return C.universe_in_order(t.membership, MID_START, MID_END)
 
 
 @query
-def universe_limited(spark, sf):
+def universe_limited(t):
     """LIM1: the first 25 symbols."""
-    return C.first_symbols(C.universe_for_period(membership(spark, sf), START, END).select("symbol"), 25)
+    return C.first_symbols(C.universe_for_period(t.membership, START, END).select("symbol"), 25)
 
 
 @query
-def universe_custom(spark, sf):
+def universe_custom(t):
     """UNI4: a list of the suppliers in credit instead of the index, with their price spans."""
-    own = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 0).select(
+    own = t.source("supplier").filter(F.col("s_acctbal") > 0).select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol")
     )
     universe = C.custom_universe(own, clean=False).withColumnRenamed("symbol", "ticker")
-    return U.validity(prices(spark, sf).join(universe, "ticker", "left_semi"))
+    return U.validity(t.prices.join(universe, "ticker", "left_semi"))
 
 
 @query
-def snapshot_intervals(spark, sf):
+def snapshot_intervals(t):
     """JOIN2: the life of each snapshot."""
-    return C.snapshot_intervals(membership(spark, sf))
+    return C.snapshot_intervals(t.membership)
 
 
-def _formations(spark):
-    return V.formation_months(spark, START, END, 12)
+def _formations(t):
+    return V.formation_months(t.spark, START, END, 12)
 
 
 @query
-def membership_asof(spark, sf):
+def membership_asof(t):
     """JOIN2, TOPK2, ELG1, SET2: members at each formation that have prices."""
     return U.members_asof(
-        membership(spark, sf), _formations(spark), prices(spark, sf).select("ticker").distinct()
+        t.membership, _formations(t), t.prices.select("ticker").distinct()
     )
 
 
 @query
-def eligible_members(spark, sf):
+def eligible_members(t):
     """ELG3, JOIN3."""
-    return U.valid_tickers(prices(spark, sf), _formations(spark), membership(spark, sf), 12)
+    return U.valid_tickers(t.prices, _formations(t), t.membership, 12)
 
 
 @query
-def eligible_without_index(spark, sf):
+def eligible_without_index(t):
     """ELG2, SC7."""
-    return U.valid_tickers(prices(spark, sf), _formations(spark), None, 6)
+    return U.valid_tickers(t.prices, _formations(t), None, 6)
 
 
 @query
-def validity_metadata(spark, sf):
+def validity_metadata(t):
     """AGG4, WIN6, SC11."""
-    return U.validity_metadata(quotes(spark, sf))
+    return U.validity_metadata(t.quotes)
 
 
 @query
-def validity_single(spark, sf):
+def validity_single(t):
     """AGG5."""
-    return U.ticker_validity(prices(spark, sf), "S3")
+    return U.ticker_validity(t.prices, "S3")
 
 
 # ---- price sources --------------------------------------------------------
 
-def _requests(spark, sf):
+def _requests(t):
     """Each customer asks for the prices of a supplier, for a window of its own."""
-    customer = table(spark, sf, "customer")
+    customer = t.source("customer")
     return customer.select(
         F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("ticker"),
         F.add_months(F.lit(START), F.col("c_nationkey")).alias("start"),
@@ -161,26 +158,26 @@ def _requests(spark, sf):
 
 
 @query
-def price_one_per_day(spark, sf):
+def price_one_per_day(t):
     """DED1: first quote of the day."""
-    return rounded(PR.one_price_per_day(quotes(spark, sf), "arrival"), 8)
+    return rounded(PR.one_price_per_day(t.quotes, "arrival"), 8)
 
 
 @query
-def coverage_status(spark, sf):
+def coverage_status(t):
     """SRC5."""
-    return PR.coverage(_requests(spark, sf), prices(spark, sf))
+    return PR.coverage(_requests(t), t.prices)
 
 
 @query
-def load_success(spark, sf):
+def load_success(t):
     """AGG11."""
-    return PR.load_success(PR.coverage(_requests(spark, sf), prices(spark, sf)))
+    return PR.load_success(PR.coverage(_requests(t), t.prices))
 
 
-def _ticker_dimensions(spark, sf):
+def _ticker_dimensions(t):
     """A mapping and an extinct dimension over the tickers, from supplier attributes."""
-    supplier = table(spark, sf, "supplier")
+    supplier = t.source("supplier")
     own = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     other = F.concat(F.lit("S"), (F.col("s_suppkey") + F.col("s_nationkey")).cast("string"))
     rich = F.col("s_acctbal") > 5000
@@ -194,33 +191,33 @@ def _ticker_dimensions(spark, sf):
 
 
 @query
-def source_choice(spark, sf):
+def source_choice(t):
     """SRC4: which stored symbol serves each ticker."""
-    wanted = table(spark, sf, "supplier").select(
+    wanted = t.source("supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")
     )
     return PR.choose_sources(
-        wanted, prices(spark, sf), MID_START, MID_END, **_ticker_dimensions(spark, sf)
+        wanted, t.price_store, MID_START, MID_END, **_ticker_dimensions(t)
     )
 
 
 @query
-def acquired_prices(spark, sf):
+def acquired_prices(t):
     """SRC4, SRC6: rows from the chosen source with validity columns."""
-    wanted = table(spark, sf, "supplier").select(
+    wanted = t.source("supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")
     )
     return rounded(PR.acquire_prices(
-        wanted, prices(spark, sf), MID_START, MID_END, **_ticker_dimensions(spark, sf)
+        wanted, t.price_store, MID_START, MID_END, **_ticker_dimensions(t)
     ))
 
 
 @query
-def price_upsert(spark, sf):
+def price_upsert(t):
     """JOIN11, SET6: a later batch of returned lines replaces its tickers whole."""
-    lines = table(spark, sf, "lineitem")
+    lines = t.source("lineitem")
     ticker = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
-    first = prices(spark, sf)
+    first = t.prices
     second = (
         lines.filter((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09))
         .groupBy(ticker.alias("ticker"), F.to_date("l_shipdate").alias("date"))
@@ -232,72 +229,72 @@ def price_upsert(spark, sf):
 # ---- symbols --------------------------------------------------------------
 
 @query
-def symbol_clean(spark, sf):
+def symbol_clean(t):
     """SC1."""
-    return listings(spark, sf).withColumn("symbol", S.clean_symbol("raw_symbol"))
+    return t.listings.withColumn("symbol", S.clean_symbol("raw_symbol"))
 
 
 @query
-def symbol_resolve(spark, sf):
+def symbol_resolve(t):
     """SC2, JOIN10."""
-    resolved = S.resolve_symbols(listings(spark, sf), "raw_symbol")
+    resolved = S.resolve_symbols(t.listings, "raw_symbol")
     return resolved.select("listing", "raw_symbol", "resolution.*")
 
 
 @query
-def symbol_resolve_keep_extinct(spark, sf):
+def symbol_resolve_keep_extinct(t):
     """SC2 without the extinct check."""
-    resolved = S.resolve_symbols(listings(spark, sf), "raw_symbol", check_extinct=False)
+    resolved = S.resolve_symbols(t.listings, "raw_symbol", check_extinct=False)
     return resolved.groupBy("resolution.symbol", "resolution.status").agg(F.count("*").alias("n"))
 
 
 @query
-def resolution_stats(spark, sf):
+def resolution_stats(t):
     """AGG10."""
-    return S.resolution_stats(S.resolve_symbols(listings(spark, sf), "raw_symbol"))
+    return S.resolution_stats(S.resolve_symbols(t.listings, "raw_symbol"))
 
 
 @query
-def symbol_extinct(spark, sf):
+def symbol_extinct(t):
     """SC3."""
-    return S.with_extinct_flag(listings(spark, sf), "raw_symbol")
+    return S.with_extinct_flag(t.listings, "raw_symbol")
 
 
 @query
-def symbol_metadata(spark, sf):
+def symbol_metadata(t):
     """SC4."""
-    return S.with_metadata(listings(spark, sf), "raw_symbol")
+    return S.with_metadata(t.listings, "raw_symbol")
 
 
 @query
-def mapping_upsert(spark, sf):
+def mapping_upsert(t):
     """DIM1: customers' corrections upserted into the mapping dimension."""
-    customer = table(spark, sf, "customer")
+    customer = t.source("customer")
     additions = customer.select(
         F.concat(F.lit(" fb"), F.when(F.col("c_nationkey") > 4, F.col("c_nationkey").cast("string"))
                  .otherwise("")).alias("symbol"),
         F.lower("c_name").alias("target"), F.lit("renamed").alias("kind"),
         F.col("c_custkey").alias("seq"),
     )
-    return S.add_mappings(S.mapping_dimension(spark), additions)
+    return S.add_mappings(S.mapping_dimension(t.spark), additions)
 
 
 @query
-def extinct_upsert(spark, sf):
+def extinct_upsert(t):
     """DIM2: suppliers in debt marked extinct."""
-    gone = table(spark, sf, "supplier").filter(F.col("s_acctbal") < 0).select(
+    gone = t.source("supplier").filter(F.col("s_acctbal") < 0).select(
         F.lower("s_name").alias("symbol")
     )
-    return S.mark_extinct(S.extinct_dimension(spark), gone)
+    return S.mark_extinct(S.extinct_dimension(t.spark), gone)
 
 
 @query
-def mapping_listing(spark, sf):
+def mapping_listing(t):
     """DIM3: the listing, with how many of the customers' symbols each entry concerns."""
-    used = listings(spark, sf).groupBy(S.normal("raw_symbol").alias("symbol")).agg(
+    used = t.listings.groupBy(S.normal("raw_symbol").alias("symbol")).agg(
         F.count("*").alias("n_listings")
     )
-    entries = S.list_mappings(S.mapping_dimension(spark), S.extinct_dimension(spark))
+    entries = S.list_mappings(S.mapping_dimension(t.spark), S.extinct_dimension(t.spark))
     return entries.join(used, "symbol", "left").withColumn(
         "n_listings", F.coalesce("n_listings", F.lit(0))
     )
@@ -305,104 +302,108 @@ def mapping_listing(spark, sf):
 
 # ---- returns and signals --------------------------------------------------
 
+def _monthly(t):
+    return RET.monthly_returns(t.prices, START, END)
+
+
 @query
-def month_grid_counts(spark, sf):
+def month_grid_counts(t):
     """SC6: every month of the grid with its trading tickers."""
-    traded = RET.month_buckets(prices(spark, sf), START, END).groupBy("month").agg(
+    traded = RET.month_buckets(t.prices, START, END).groupBy("month").agg(
         F.count("*").alias("n")
     )
-    grid = month_grid(spark, START, END).select("month")
+    grid = month_grid(t.spark, START, END).select("month")
     return grid.join(traded, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n_tickers"))
 
 
 @query
-def month_buckets(spark, sf):
+def month_buckets(t):
     """AGG1, FLT2."""
-    return rounded(RET.month_buckets(prices(spark, sf), START, END)).drop("month_idx")
+    return rounded(RET.month_buckets(t.prices, START, END)).drop("month_idx")
 
 
 @query
-def monthly_returns(spark, sf):
+def monthly_returns(t):
     """RET1, JOIN6."""
-    return rounded(monthly(spark, sf).select("ticker", "month", "n_days", "ret"))
+    return rounded(_monthly(t).select("ticker", "month", "n_days", "ret"))
 
 
 @query
-def monthly_returns_dense(spark, sf):
+def monthly_returns_dense(t):
     """RET1 on every month between a ticker's first and last."""
-    return rounded(RET.dense_months(monthly(spark, sf), END).select("ticker", "month", "ret"))
+    return rounded(RET.dense_months(_monthly(t), END).select("ticker", "month", "ret"))
 
 
 @query
-def daily_returns(spark, sf):
+def daily_returns(t):
     """RET2, JOIN7, SET5."""
-    return rounded(RET.daily_returns(daily_panel(spark, sf)).select("ticker", "date", "cal_idx", "ret"))
+    return rounded(RET.daily_returns(t.daily_panel).select("ticker", "date", "cal_idx", "ret"))
 
 
 FLAGS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
 
 @query
-def returns_wide(spark, sf):
+def returns_wide(t):
     """RSH1: one column per ticker of the dense panel."""
-    panel = RET.monthly_returns(daily_panel(spark, sf), START, END)
+    panel = RET.monthly_returns(t.daily_panel, START, END)
     return rounded(RET.returns_wide(panel, FLAGS, START, END))
 
 
 @query
-def returns_long(spark, sf):
+def returns_long(t):
     """RSH1: back from wide to long."""
-    panel = RET.monthly_returns(daily_panel(spark, sf), START, END)
+    panel = RET.monthly_returns(t.daily_panel, START, END)
     return rounded(RET.returns_long(RET.returns_wide(panel, FLAGS, START, END)))
 
 
 @query
-def vol_monthly(spark, sf):
+def vol_monthly(t):
     """VOL1, FLT5."""
-    dense = RET.dense_months(monthly(spark, sf), END, tail=12)
+    dense = RET.dense_months(_monthly(t), END, tail=12)
     return rounded(V.vol_monthly(dense, START, 12).select("ticker", "month", "vol", "n_obs"))
 
 
 @query
-def vol_monthly_min_obs(spark, sf):
+def vol_monthly_min_obs(t):
     """VOL2."""
-    dense = RET.dense_months(monthly(spark, sf), END, tail=12)
+    dense = RET.dense_months(_monthly(t), END, tail=12)
     return rounded(V.vol_monthly(dense, START, 12, min_obs=8).select("ticker", "month", "vol", "n_obs"))
 
 
 @query
-def vol_point_in_time(spark, sf):
+def vol_point_in_time(t):
     """VOL3, JOIN5: three lookbacks in one pass."""
-    dense = RET.dense_months(monthly(spark, sf), END)
+    dense = RET.dense_months(_monthly(t), END)
     signals = V.vol_at_formation(dense, START, END, list(LOOKBACKS), 0.6)
     return rounded(signals.select("lookback", "formation", "ticker", "vol", "n_obs", "hold_ret"))
 
 
 @query
-def vol_daily(spark, sf):
+def vol_daily(t):
     """VOL4."""
-    months = month_grid(spark, START, END).select(F.col("month").alias("formation"))
-    return rounded(V.vol_daily(daily_panel(spark, sf), months))
+    months = month_grid(t.spark, START, END).select(F.col("month").alias("formation"))
+    return rounded(V.vol_daily(t.daily_panel, months))
 
 
 # ---- portfolios -----------------------------------------------------------
 
 @query
-def extreme_portfolios(spark, sf):
+def extreme_portfolios(t):
     """PF1, TOPK1."""
-    return rounded(PF.extreme_portfolios(monthly(spark, sf), START, END, 12, 4))
+    return rounded(PF.extreme_portfolios(_monthly(t), START, END, 12, 4))
 
 
 @query
-def quintiles_basic(spark, sf):
+def quintiles_basic(t):
     """PF2, SORT2."""
-    return rounded(PF.quintiles_basic(monthly(spark, sf), START, END, min_per_quintile=1))
+    return rounded(PF.quintiles_basic(_monthly(t), START, END, min_per_quintile=1))
 
 
 @query
-def quintiles_basic_daily(spark, sf):
+def quintiles_basic_daily(t):
     """PF2 on the daily signal."""
-    panel = daily_panel(spark, sf)
+    panel = t.daily_panel
     return rounded(PF.quintiles_basic(
         RET.monthly_returns(panel, START, END), START, END, method="daily252", prices=panel,
         min_obs=180, min_per_quintile=1,
@@ -410,18 +411,18 @@ def quintiles_basic_daily(spark, sf):
 
 
 @query
-def quintiles_pti(spark, sf):
+def quintiles_pti(t):
     """PF3, AGG2, JOIN4, JOIN5."""
     return rounded(PF.quintiles_pti(
-        monthly(spark, sf), START, END, membership=membership(spark, sf), min_coverage=0.6,
+        t.monthly, START, END, membership=t.membership, min_coverage=0.6,
         min_per_quintile=1,
     ))
 
 
 @query
-def quintiles_pti_daily(spark, sf):
+def quintiles_pti_daily(t):
     """PF3 on the daily signal, without an index (ELG2)."""
-    panel = daily_panel(spark, sf)
+    panel = t.daily_panel
     return rounded(PF.quintiles_pti(
         RET.monthly_returns(panel, START, END), START, END, method="daily252", prices=panel,
         min_coverage=0.6, min_per_quintile=1,
@@ -429,56 +430,56 @@ def quintiles_pti_daily(spark, sf):
 
 
 @query
-def quintiles_pti_lookbacks(spark, sf):
+def quintiles_pti_lookbacks(t):
     """RB2: three lookbacks in one plan."""
-    return rounded(portfolios(spark, sf, LOOKBACKS))
+    return rounded(t.portfolios(LOOKBACKS))
 
 
-def _outcomes(spark, sf):
+def _outcomes(t):
     return PF.pti_outcomes(
-        monthly(spark, sf), START, END, membership=membership(spark, sf),
+        t.monthly, START, END, membership=t.membership,
         lookbacks=list(LOOKBACKS), min_coverage=0.7, min_per_quintile=5,
     )
 
 
 @query
-def pti_outcomes(spark, sf):
+def pti_outcomes(t):
     """AGG12: what became of every holding month."""
-    return _outcomes(spark, sf).select("lookback", "date", "outcome", "n_eligible", "n_vol")
+    return _outcomes(t).select("lookback", "date", "outcome", "n_eligible", "n_vol")
 
 
 @query
-def pti_skip_reasons(spark, sf):
+def pti_skip_reasons(t):
     """AGG12."""
-    return PF.skip_reasons(_outcomes(spark, sf))
+    return PF.skip_reasons(_outcomes(t))
 
 
 @query
-def pti_processing_rate(spark, sf):
+def pti_processing_rate(t):
     """AGG12."""
-    return PF.processing_rate(_outcomes(spark, sf))
+    return PF.processing_rate(_outcomes(t))
 
 
 @query
-def quintile_statistics(spark, sf):
+def quintile_statistics(t):
     """AGG13."""
-    return rounded(PF.quintile_statistics(portfolios(spark, sf), ["lookback"]))
+    return rounded(PF.quintile_statistics(t.portfolios(), ["lookback"]))
 
 
 @query
-def quintiles_from_prices(spark, sf):
+def quintiles_from_prices(t):
     """PF4."""
     return rounded(PF.quintiles_from_prices(
-        prices(spark, sf), membership(spark, sf), START, END, min_coverage=0.6,
+        t.price_store, t.membership, START, END, min_coverage=0.6,
         min_per_quintile=1,
     ))
 
 
 @query
-def extremes_from_prices(spark, sf):
+def extremes_from_prices(t):
     """PF5."""
     return rounded(PF.extremes_from_prices(
-        prices(spark, sf), membership(spark, sf), START, END
+        t.price_store, t.membership, START, END
     ))
 
 
@@ -488,97 +489,97 @@ SERIES = ["lookback", "portfolio"]
 
 
 @query
-def performance(spark, sf):
+def performance(t):
     """PERF1-9, AGG6."""
-    return rounded(P.performance(portfolios(spark, sf), SERIES))
+    return rounded(P.performance(t.portfolios(), SERIES))
 
 
 @query
-def drawdown_series(spark, sf):
+def drawdown_series(t):
     """WIN1, SER4."""
-    return rounded(P.drawdown_series(portfolios(spark, sf), SERIES).select(*SERIES, "date", "drawdown"))
+    return rounded(P.drawdown_series(t.portfolios(), SERIES).select(*SERIES, "date", "drawdown"))
 
 
 @query
-def cumulative_returns(spark, sf):
+def cumulative_returns(t):
     """WIN2, WIN3."""
-    return rounded(P.growth_path(portfolios(spark, sf), SERIES).select(*SERIES, "date", "cum_ret"))
+    return rounded(P.growth_path(t.portfolios(), SERIES).select(*SERIES, "date", "cum_ret"))
 
 
 @query
-def rolling_metrics(spark, sf):
+def rolling_metrics(t):
     """WIN5, SER1."""
-    return rounded(P.rolling_metrics(portfolios(spark, sf), SERIES))
+    return rounded(P.rolling_metrics(t.portfolios(), SERIES))
 
 
 @query
-def rolling_sharpe_skipping(spark, sf):
+def rolling_sharpe_skipping(t):
     """WIN5 from the original's later start."""
-    return rounded(P.rolling_long_short(portfolios(spark, sf), ["lookback"], skip_first=11))
+    return rounded(P.rolling_long_short(t.portfolios(), ["lookback"], skip_first=11))
 
 
 @query
-def rolling_summary(spark, sf):
+def rolling_summary(t):
     """RB4."""
-    rolling = P.rolling_long_short(portfolios(spark, sf, LOOKBACKS), ["lookback"])
+    rolling = P.rolling_long_short(t.portfolios(LOOKBACKS), ["lookback"])
     return rounded(P.rolling_summary(rolling, ["lookback"]))
 
 
 @query
-def risk_return_table(spark, sf):
+def risk_return_table(t):
     """SER2, PERF10."""
-    return rounded(P.risk_return_table(portfolios(spark, sf), SERIES))
+    return rounded(P.risk_return_table(t.portfolios(), SERIES))
 
 
 @query
-def dashboard(spark, sf):
+def dashboard(t):
     """RB5."""
-    return rounded(P.dashboard(portfolios(spark, sf), SERIES))
+    return rounded(P.dashboard(t.portfolios(), SERIES))
 
 
 @query
-def sharpe_excess(spark, sf):
+def sharpe_excess(t):
     """SH1, SH2, FLT4."""
-    return rounded(P.excess_sharpe(portfolios(spark, sf), factors(spark, sf), SERIES))
+    return rounded(P.excess_sharpe(t.portfolios(), t.factors, SERIES))
 
 
 # ---- factors --------------------------------------------------------------
 
 @query
-def factor_table(spark, sf):
+def factor_table(t):
     """SRC9 over the derived factors."""
-    return rounded(FAC.factors_for_period(factors(spark, sf), MID_START, MID_END))
+    return rounded(FAC.factors_for_period(t.factors, MID_START, MID_END))
 
 
 @query
-def factor_summary(spark, sf):
+def factor_summary(t):
     """AGG7."""
-    return rounded(FAC.factor_summary(factors(spark, sf)))
+    return rounded(FAC.factor_summary(t.factors))
 
 
 @query
-def factor_correlations(spark, sf):
+def factor_correlations(t):
     """AGG7."""
-    return rounded(FAC.factor_correlations(factors(spark, sf)))
+    return rounded(FAC.factor_correlations(t.factors))
 
 
 @query
-def factor_validation(spark, sf):
+def factor_validation(t):
     """AGG9."""
-    return rounded(FAC.factor_validation(factors(spark, sf)))
+    return rounded(FAC.factor_validation(t.factors))
 
 
 @query
-def factor_coverage(spark, sf):
+def factor_coverage(t):
     """SRC8."""
-    return FAC.factors_cover(factors(spark, sf), START, dt.date(2001, 10, 31))
+    return FAC.factors_cover(t.factors, START, dt.date(2001, 10, 31))
 
 
-def _factor_lines(spark, sf):
+def _factor_lines(t):
     """The factor table printed as a factor file: preamble, header, months, years, notice."""
     names = FACTORS + ["RF"]
     cells = F.concat_ws(",", *[F.format_string("%8.2f", F.round(n, 2)) for n in names])
-    months = factors(spark, sf).dropna()
+    months = t.factors.dropna()
     monthly_lines = months.select(
         (F.year("date") * 100 + F.month("date")).alias("line_no"),
         F.concat(F.date_format("date", "yyyyMM"), F.lit(","), cells).alias("value"),
@@ -603,9 +604,9 @@ def _factor_lines(spark, sf):
 
 
 @query
-def factor_file_ingest(spark, sf):
+def factor_file_ingest(t):
     """SRC7."""
-    return rounded(FAC.parse_factor_lines(_factor_lines(spark, sf)))
+    return rounded(FAC.parse_factor_lines(_factor_lines(t)))
 
 
 # ---- regressions ----------------------------------------------------------
@@ -623,116 +624,116 @@ def _flat(results: DataFrame, keys: list[str], model: str) -> DataFrame:
     )
 
 
-def _aligned(spark, sf, model, **options):
-    rows = R.align_by_date(portfolios(spark, sf), factors(spark, sf))
+def _aligned(t, model, **options):
+    rows = R.align_by_date(t.portfolios(), t.factors)
     design = R.design_rows(rows, ["portfolio"], [model])
     return rounded(_flat(R.regressions(design, ["portfolio"], **options), ["portfolio"], model))
 
 
 @query
-def capm_ols(spark, sf):
+def capm_ols(t):
     """REG7, REG4, JOIN1, FLT3."""
-    return _aligned(spark, sf, "CAPM")
+    return _aligned(t, "CAPM")
 
 
 @query
-def ff3_ols(spark, sf):
+def ff3_ols(t):
     """REG8."""
-    return _aligned(spark, sf, "FF3")
+    return _aligned(t, "FF3")
 
 
 @query
-def ff5_ols(spark, sf):
+def ff5_ols(t):
     """REG9."""
-    return _aligned(spark, sf, "FF5")
+    return _aligned(t, "FF5")
 
 
-def _positional(spark, sf, model):
-    rows = R.align_by_position(portfolios(spark, sf), factors(spark, sf).dropna(), ["portfolio"])
+def _positional(t, model):
+    rows = R.align_by_position(t.portfolios(), t.factors.dropna(), ["portfolio"])
     design = R.design_rows(rows, ["portfolio"], [model])
     return rounded(_flat(R.regressions(design, ["portfolio"]), ["portfolio"], model))
 
 
 @query
-def capm_positional(spark, sf):
+def capm_positional(t):
     """REG1, JOIN9."""
-    return _positional(spark, sf, "CAPM")
+    return _positional(t, "CAPM")
 
 
 @query
-def ff3_positional(spark, sf):
+def ff3_positional(t):
     """REG2."""
-    return _positional(spark, sf, "FF3")
+    return _positional(t, "FF3")
 
 
 @query
-def ff5_positional(spark, sf):
+def ff5_positional(t):
     """REG3."""
-    return _positional(spark, sf, "FF5")
+    return _positional(t, "FF5")
 
 
 @query
-def capm_newey_west(spark, sf):
+def capm_newey_west(t):
     """REG5."""
-    return _aligned(spark, sf, "CAPM", robust=True)
+    return _aligned(t, "CAPM", robust=True)
 
 
 @query
-def ff5_newey_west(spark, sf):
+def ff5_newey_west(t):
     """REG5 with five factors."""
-    return _aligned(spark, sf, "FF5", robust=True)
+    return _aligned(t, "FF5", robust=True)
 
 
 @query
-def ff3_newey_west_reference_scale(spark, sf):
+def ff3_newey_west_reference_scale(t):
     """REG5 with the original's extra division by n."""
-    return _aligned(spark, sf, "FF3", robust=True, nw_scale="reference")
+    return _aligned(t, "FF3", robust=True, nw_scale="reference")
 
 
-def _excess(spark, sf):
-    return R.align_by_date(portfolios(spark, sf), factors(spark, sf)).withColumn(
+def _excess(t):
+    return R.align_by_date(t.portfolios(), t.factors).withColumn(
         "excess", F.col("ret") - F.col("RF")
     )
 
 
 @query
-def custom_regression(spark, sf):
+def custom_regression(t):
     """REG11, PRJ2."""
-    fitted = R.custom_regression(_excess(spark, sf), ["portfolio"], ["Mkt_RF", "hml", "CMA"])
+    fitted = R.custom_regression(_excess(t), ["portfolio"], ["Mkt_RF", "hml", "CMA"])
     return rounded(fitted.withColumns({
         f"b{i}": F.get("coefficients", F.lit(i)) for i in range(3)
     }).drop("coefficients"), 8)
 
 
 @query
-def custom_regression_robust(spark, sf):
+def custom_regression_robust(t):
     """REG12."""
     fitted = R.custom_regression(
-        _excess(spark, sf), ["portfolio"], ["MKT_RF", "HML", "CMA"], robust=True, lags=4
+        _excess(t), ["portfolio"], ["MKT_RF", "HML", "CMA"], robust=True, lags=4
     )
     return rounded(fitted.select("portfolio", "alpha", "alpha_t", "alpha_pval"), 8)
 
 
 @query
-def models_all(spark, sf):
+def models_all(t):
     """REG13, REG14, SC10: every model for every portfolio and lookback at once."""
-    rows = R.align_by_date(portfolios(spark, sf, LOOKBACKS), factors(spark, sf))
+    rows = R.align_by_date(t.portfolios(LOOKBACKS), t.factors)
     results = R.regressions(R.design_rows(rows, SERIES), SERIES)
     return rounded(results.drop("loadings", "period_start", "period_end"))
 
 
 @query
-def capm_by_ticker(spark, sf):
+def capm_by_ticker(t):
     """REG7 over all single tickers: groups by the thousand instead of six."""
-    own = monthly(spark, sf).select("ticker", F.col("month").alias("date"), "ret")
-    design = R.design_rows(R.align_by_date(own, factors(spark, sf)), ["ticker"], ["CAPM"])
+    own = t.monthly.select("ticker", F.col("month").alias("date"), "ret")
+    design = R.design_rows(R.align_by_date(own, t.factors), ["ticker"], ["CAPM"])
     return rounded(_flat(R.regressions(design, ["ticker"]), ["ticker"], "CAPM"))
 
 
 @query
-def factor_loadings(spark, sf):
+def factor_loadings(t):
     """SER3."""
-    rows = R.align_by_date(portfolios(spark, sf), factors(spark, sf))
+    rows = R.align_by_date(t.portfolios(), t.factors)
     results = R.regressions(R.design_rows(rows, ["portfolio"], ["FF3"]), ["portfolio"])
     return rounded(R.factor_loadings(results, ["portfolio"]))
 
@@ -747,50 +748,50 @@ def _alpha_columns(analysis: DataFrame) -> DataFrame:
 
 
 @query
-def alpha_analysis(spark, sf):
+def alpha_analysis(t):
     """REG10, ANA2, BEST1, SC9, SC12."""
-    return _alpha_columns(A.analyze_anomaly_aligned(portfolios(spark, sf), factors(spark, sf), keys=["portfolio"]))
+    return _alpha_columns(A.analyze_anomaly_aligned(t.portfolios(), t.factors, keys=["portfolio"]))
 
 
 @query
-def alpha_analysis_positional(spark, sf):
+def alpha_analysis_positional(t):
     """REG6, ANA1."""
     return _alpha_columns(A.analyze_anomaly(
-        portfolios(spark, sf), factors(spark, sf).dropna(), START, END, keys=["portfolio"]
+        t.portfolios(), t.factors.dropna(), START, END, keys=["portfolio"]
     ))
 
 
 @query
-def best_models(spark, sf):
+def best_models(t):
     """BEST1."""
-    rows = R.align_by_date(portfolios(spark, sf), factors(spark, sf))
+    rows = R.align_by_date(t.portfolios(), t.factors)
     return rounded(R.best_models(R.regressions(R.design_rows(rows, ["portfolio"]), ["portfolio"]), ["portfolio"]))
 
 
-def _fitted(spark, sf, model):
-    months = factors(spark, sf)
-    rows = R.align_by_date(portfolios(spark, sf), months)
+def _fitted(t, model):
+    months = t.factors
+    rows = R.align_by_date(t.portfolios(), months)
     design = R.design_rows(rows, ["portfolio"], [model])
     fit = R.fit(design, ["portfolio", "model"])
     return R.describe(fit, ["portfolio"]), R.residuals(design, fit, ["portfolio", "model"]), months
 
 
 @query
-def residual_series(spark, sf):
+def residual_series(t):
     """D11, WIN4."""
-    _, resid, _ = _fitted(spark, sf, "FF3")
+    _, resid, _ = _fitted(t, "FF3")
     return rounded(P.residual_growth(resid, ["portfolio", "model"]))
 
 
 @query
-def residuals_wide(spark, sf):
+def residuals_wide(t):
     """RSH2."""
-    _, resid, _ = _fitted(spark, sf, "CAPM")
+    _, resid, _ = _fitted(t, "CAPM")
     return rounded(inference.residuals_wide(resid, ["model"], QUINTILES))
 
 
-def _grs(spark, sf, model, names, variant="full"):
-    results, resid, months = _fitted(spark, sf, model)
+def _grs(t, model, names, variant="full"):
+    results, resid, months = _fitted(t, model)
     test = inference.grs_test(results, resid, months, names, model, variant=variant)
     return rounded(test.select(
         "status", "n_portfolios", "n_factors", "n_obs", "df2", "f_statistic", "p_value",
@@ -799,81 +800,81 @@ def _grs(spark, sf, model, names, variant="full"):
 
 
 @query
-def grs_capm_two_portfolios(spark, sf):
+def grs_capm_two_portfolios(t):
     """GRS2 with two portfolios."""
-    return _grs(spark, sf, "CAPM", ["P1", "P5"])
+    return _grs(t, "CAPM", ["P1", "P5"])
 
 
 @query
-def grs_ff3(spark, sf):
+def grs_ff3(t):
     """GRS2, AGG15, AGG16."""
-    return _grs(spark, sf, "FF3", QUINTILES)
+    return _grs(t, "FF3", QUINTILES)
 
 
 @query
-def grs_ff5(spark, sf):
+def grs_ff5(t):
     """GRS2 with five factors."""
-    return _grs(spark, sf, "FF5", QUINTILES)
+    return _grs(t, "FF5", QUINTILES)
 
 
 @query
-def grs_simple(spark, sf):
+def grs_simple(t):
     """GRS1, GRS3."""
-    return _grs(spark, sf, "FF5", QUINTILES, "simple")
+    return _grs(t, "FF5", QUINTILES, "simple")
 
 
 @query
-def grs_singular(spark, sf):
+def grs_singular(t):
     """GRS2 on linearly dependent portfolios: a status instead of a statistic."""
-    return _grs(spark, sf, "CAPM", ["P1", "P5", LONG_SHORT]).select("status", "n_portfolios", "n_factors")
+    return _grs(t, "CAPM", ["P1", "P5", LONG_SHORT]).select("status", "n_portfolios", "n_factors")
 
 
 # ---- robustness and reports -----------------------------------------------
 
 @query
-def subperiods(spark, sf):
+def subperiods(t):
     """RB1."""
-    return rounded(RB.subperiod_performance(portfolios(spark, sf, LOOKBACKS), START, END))
+    return rounded(RB.subperiod_performance(t.portfolios(LOOKBACKS), START, END))
 
 
 @query
-def lookback_correlations(spark, sf):
+def lookback_correlations(t):
     """RB3, JOIN8, SET3."""
-    return rounded(RB.lookback_correlations(portfolios(spark, sf, LOOKBACKS), list(LOOKBACKS)))
+    return rounded(RB.lookback_correlations(t.portfolios(LOOKBACKS), list(LOOKBACKS)))
 
 
 @query
-def report_table(spark, sf):
+def report_table(t):
     """SNK7, SC8, SC11."""
-    return REP.report_table(P.performance(portfolios(spark, sf, LOOKBACKS), SERIES))
+    return REP.report_table(P.performance(t.portfolios(LOOKBACKS), SERIES))
 
 
 @query
-def final_summary(spark, sf):
+def final_summary(t):
     """SNK6."""
-    return rounded(REP.final_summary(P.performance(portfolios(spark, sf, LOOKBACKS), SERIES)))
+    return rounded(REP.final_summary(P.performance(t.portfolios(LOOKBACKS), SERIES)))
 
 
 @query
-def portfolios_side_by_side(spark, sf):
+def portfolios_side_by_side(t):
     """SNK3: the table the CSV sink writes."""
-    return rounded(PF.portfolios_wide(portfolios(spark, sf)))
+    return rounded(PF.portfolios_wide(t.portfolios()))
 
 
 @query
-def study_summary(spark, sf):
+def study_summary(t):
     """PIPE1, PIPE3: the whole study, its long-short line."""
     config = A.AnalysisConfig(
         start=START, end=END, lookbacks=(12, 24), min_per_quintile=1, run_series=False,
     )
-    tables = A.run_analysis(config, prices(spark, sf), factors(spark, sf), membership(spark, sf))
+    tables = A.run_analysis(config, t.price_store, t.factors, t.membership)
     return rounded(tables["summary"])
 
 
 @query
-def quick_study(spark, sf):
+def quick_study(t):
     """PIPE2: CAPM alphas of the quick preset."""
     tables = A.quick_analysis(
-        START, END, prices(spark, sf), factors=factors(spark, sf), membership=membership(spark, sf)
+        START, END, t.price_store, factors=t.factors, membership=t.membership
     )
     return rounded(tables["performance"].select(*SERIES, "annual_return", "sharpe_ratio", "n_months"))

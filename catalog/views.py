@@ -9,10 +9,10 @@ all lines contributes one row per day to whatever follows.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factorlab.functions.dates import month_floor
 from factorlab.operators.portfolios import portfolios_long, quintiles_pti
 from factorlab.operators.returns import monthly_returns
 from factorlab.staging import stage
@@ -27,6 +27,8 @@ RAW_SYMBOLS = [
     "BERKSHIRE HATHAWAY B", "PBCT", "peak", "CTL", "T&T LLC", "SIVB",
 ]
 
+SUMS = ["n", "tax", "disc", "qty", "cents"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,29 +81,6 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly sums per ticker beside the totals of their month."""
-    sums = ["n", "tax", "disc", "qty", "cents"]
-    per_ticker = (
-        daily_sums(spark, sf_dir, _supplier())
-        .groupBy("ticker", month_floor("date").alias("month"))
-        .agg(*[F.sum(c).alias(c) for c in sums])
-    )
-    totals = per_ticker.groupBy("month").agg(
-        F.count("*").alias("tickers"), *[F.sum(c).alias(f"all_{c}") for c in sums]
-    )
-    return per_ticker.join(F.broadcast(totals), "month")  # one row per month
-
-
-def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, symbol): on each first of a month the tickers that made at least half
-    of the mean revenue in the month before. Staged, as an index file would be."""
-    members = characteristics(spark, sf_dir).filter(
-        F.col("cents") >= 0.5 * (F.col("all_cents") / F.col("tickers"))
-    ).select(F.add_months("month", 1).alias("date"), F.col("ticker").alias("symbol"))
-    return stage(members, "membership")
-
-
 def raw_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comma-joined snapshots as text: the brands shipped on each month's lines.
 
@@ -120,45 +99,6 @@ def raw_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly_returns(prices(spark, sf_dir), START, END)
-
-
-def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly factor table from sorts on size, discount, quantity and tax; staged, a row per month."""
-    ret = F.col("ret")
-    size = F.col("cents") < F.col("all_cents") / F.col("tickers")
-    value = F.col("disc") / F.col("n") > F.col("all_disc") / F.col("all_n")
-    profit = F.col("qty") / F.col("n") > F.col("all_qty") / F.col("all_n")
-    invest = F.col("tax") / F.col("n") < F.col("all_tax") / F.col("all_n")
-
-    def spread(flag: Column) -> Column:
-        return F.avg(F.when(flag, ret)) - F.avg(F.when(~flag, ret))
-
-    rf = F.max(F.col("all_tax") / F.col("all_n")) / 12
-    rows = characteristics(spark, sf_dir).join(
-        monthly(spark, sf_dir).select("ticker", "month", "ret"), ["ticker", "month"]
-    )
-    return stage(
-        rows.groupBy(F.col("month").alias("date")).agg(
-            (F.avg(ret) - rf).alias("MKT_RF"),
-            spread(size).alias("SMB"), spread(value).alias("HML"),
-            spread(profit).alias("RMW"), spread(invest).alias("CMA"),
-            rf.alias("RF"),
-        ),
-        "factors",
-    )
-
-
-def portfolios(spark: SparkSession, sf_dir: str, lookbacks: tuple[int, ...] = (12,)) -> DataFrame:
-    """(lookback, date, portfolio, ret) of the point-in-time quintiles; staged, a few rows per month."""
-    wide = quintiles_pti(
-        monthly(spark, sf_dir), START, END, membership=membership(spark, sf_dir),
-        lookbacks=list(lookbacks), min_coverage=0.6, min_per_quintile=1,
-    )
-    return stage(portfolios_long(wide), "portfolios")
-
-
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(listing, raw_symbol): a raw symbol for each customer, and the customer's own name as one."""
     customer = table(spark, sf_dir, "customer")
@@ -173,3 +113,104 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("listing"),
         F.explode(F.array(F.concat(by_nation, suffix), F.col("c_name"))).alias("raw_symbol"),
     )
+
+
+class Tables:
+    """The derived tables one query needs, each built once and kept for that query."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._portfolios: dict[tuple[int, ...], DataFrame] = {}
+
+    def source(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    @property
+    def prices(self) -> DataFrame:
+        return prices(self.spark, self.sf_dir)
+
+    @property
+    def daily_panel(self) -> DataFrame:
+        return daily_panel(self.spark, self.sf_dir)
+
+    @property
+    def quotes(self) -> DataFrame:
+        return quotes(self.spark, self.sf_dir)
+
+    @property
+    def raw_constituents(self) -> DataFrame:
+        return raw_constituents(self.spark, self.sf_dir)
+
+    @property
+    def listings(self) -> DataFrame:
+        return listings(self.spark, self.sf_dir)
+
+    @cached_property
+    def price_store(self) -> DataFrame:
+        """Prices as a stored table, for queries that go through them twice."""
+        return stage(self.prices, "price-store")
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Monthly returns beside the month's sums: one scan of the lines, two shuffles, one write."""
+        daily = daily_sums(self.spark, self.sf_dir, _supplier()).withColumn("price", _price())
+        carry = [F.sum(c).alias(c) for c in SUMS]
+        return stage(monthly_returns(daily, START, END, carry=carry), "panel")
+
+    @property
+    def monthly(self) -> DataFrame:
+        return self.panel.drop(*SUMS)
+
+    @cached_property
+    def characteristics(self) -> DataFrame:
+        """Monthly sums and return per ticker beside the totals of their month."""
+        rows = self.panel.select("ticker", "month", "ret", *SUMS)
+        totals = rows.groupBy("month").agg(
+            F.count("*").alias("tickers"), *[F.sum(c).alias(f"all_{c}") for c in SUMS]
+        )
+        return rows.join(F.broadcast(totals), "month")  # one row per month
+
+    @cached_property
+    def membership(self) -> DataFrame:
+        """(date, symbol): on each first of a month the tickers that made at least half
+        of the mean revenue in the month before. Stored, as an index file would be."""
+        members = self.characteristics.filter(
+            F.col("cents") >= 0.5 * (F.col("all_cents") / F.col("tickers"))
+        )
+        return stage(
+            members.select(F.add_months("month", 1).alias("date"), F.col("ticker").alias("symbol")),
+            "membership",
+        )
+
+    @cached_property
+    def factors(self) -> DataFrame:
+        """Monthly factor table from sorts on size, discount, quantity and tax; a row per month."""
+        ret = F.col("ret")
+        size = F.col("cents") < F.col("all_cents") / F.col("tickers")
+        value = F.col("disc") / F.col("n") > F.col("all_disc") / F.col("all_n")
+        profit = F.col("qty") / F.col("n") > F.col("all_qty") / F.col("all_n")
+        invest = F.col("tax") / F.col("n") < F.col("all_tax") / F.col("all_n")
+
+        def spread(flag: Column) -> Column:
+            return F.avg(F.when(flag, ret)) - F.avg(F.when(~flag, ret))
+
+        rf = F.max(F.col("all_tax") / F.col("all_n")) / 12
+        return stage(
+            self.characteristics.groupBy(F.col("month").alias("date")).agg(
+                (F.avg(ret) - rf).alias("MKT_RF"),
+                spread(size).alias("SMB"), spread(value).alias("HML"),
+                spread(profit).alias("RMW"), spread(invest).alias("CMA"),
+                rf.alias("RF"),
+            ),
+            "factors",
+        )
+
+    def portfolios(self, lookbacks: tuple[int, ...] = (12,)) -> DataFrame:
+        """(lookback, date, portfolio, ret) of the point-in-time quintiles; a few rows per month."""
+        if lookbacks not in self._portfolios:
+            wide = quintiles_pti(
+                self.monthly, START, END, membership=self.membership,
+                lookbacks=list(lookbacks), min_coverage=0.6, min_per_quintile=1,
+            )
+            self._portfolios[lookbacks] = stage(portfolios_long(wide), "portfolios")
+        return self._portfolios[lookbacks]

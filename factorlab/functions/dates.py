@@ -41,7 +41,7 @@ def month_grid(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
         F.lit(first_of_month(start)), F.lit(first_of_month(end)), F.expr("interval 1 month")
     )
     return (
-        spark.range(1)
+        spark.range(0, 1, 1, 1)
         .select(F.explode(grid).alias("month"))
         .withColumn("month_idx", month_index("month"))
     )

@@ -78,18 +78,27 @@ def looks_extinct(symbol: str | Column) -> Column:
     return (F.col(symbol) if isinstance(symbol, str) else symbol).endswith("Q")
 
 
+def _constant_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """Fixed rows as a local relation, whose size the optimiser knows."""
+    def text(value: str | None) -> str:
+        return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("'", "\\'") + "'"
+
+    values = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def mapping_dimension(spark: SparkSession) -> DataFrame:
     rows = [(old, new, kind) for kind, pairs in MAPPINGS.items() for old, new in pairs.items()]
-    return spark.createDataFrame(rows, "symbol string, target string, kind string")
+    return _constant_table(spark, rows, "symbol, target, kind")
 
 
 def extinct_dimension(spark: SparkSession) -> DataFrame:
     rows = [(symbol, REPLACEMENTS.get(symbol)) for symbol in EXTINCT]
-    return spark.createDataFrame(rows, "symbol string, replacement string")
+    return _constant_table(spark, rows, "symbol, replacement")
 
 
 def metadata_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(METADATA.items()), "symbol string, status string")
+    return _constant_table(spark, list(METADATA.items()), "symbol, status")
 
 
 def add_mappings(dimension: DataFrame, additions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.dates import (
     first_of_month, in_period, month_floor, month_grid, month_index,
@@ -15,15 +15,18 @@ def _by_month() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("month_idx")
 
 
-def month_buckets(prices: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def month_buckets(
+    prices: DataFrame, start: dt.date, end: dt.date, carry: list[Column] | None = None
+) -> DataFrame:
     """Days, first and last price of each ticker and month (AGG1, FLT2).
 
     Prices hold one row per ticker and day, so partitions by ticker are bounded
     by the calendar. Placing rows by ticker here lets the month aggregate and
-    every later window per ticker run without another shuffle.
+    every later window per ticker run without another shuffle. ``carry`` adds
+    aggregates of other columns of the price table to the same pass.
     """
     return (
-        prices.filter(in_period(start, end)).select("ticker", "date", "price")
+        prices.filter(in_period(start, end))
         .repartition("ticker")
         .groupBy("ticker", month_floor("date").alias("month"))
         .agg(
@@ -32,6 +35,7 @@ def month_buckets(prices: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
             F.max_by("price", "date").alias("last_price"),
             F.min("date").alias("first_day"),
             F.max("date").alias("last_day"),
+            *(carry or []),
         )
         .withColumn("month_idx", month_index("month"))
     )
@@ -43,6 +47,7 @@ def monthly_returns(
     end: dt.date,
     min_days: int = 5,
     drop_last_month: bool = True,
+    carry: list[Column] | None = None,
 ) -> DataFrame:
     """Percent return of each traded month (RET1).
 
@@ -50,7 +55,7 @@ def monthly_returns(
     last month of the grid while ``drop_last_month`` holds. The base is the last
     price of the calendar month before, else the month's own first price.
     """
-    buckets = month_buckets(prices, start, end)
+    buckets = month_buckets(prices, start, end, carry)
     adjacent = F.lag("month_idx").over(_by_month()) == F.col("month_idx") - 1
     base = F.coalesce(
         F.when(adjacent, F.lag("last_price").over(_by_month())), F.col("first_price")
