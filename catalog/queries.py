@@ -21,6 +21,7 @@ from .views import END, START, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {}
 
 MID_START, MID_END = dt.date(1997, 1, 1), dt.date(1999, 12, 31)
 LOOKBACKS = (6, 12, 24)
@@ -28,6 +29,7 @@ LOOKBACKS = (6, 12, 24)
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Register ``fn``; each call gets tables of its own, so queries share nothing."""
+    ON_TABLES[fn.__name__] = fn
     QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
     return fn
 

@@ -67,7 +67,9 @@ def t_two_sided(t, df) -> np.ndarray:
 def f_upper_tail(f, df1, df2) -> np.ndarray:
     """P(F > f)."""
     f, df1, df2 = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (f, df1, df2)))
-    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = df2 / (df2 + df1 * f)
+    return incomplete_beta(df2 / 2.0, df1 / 2.0, x)
 
 
 def f_critical(level, df1, df2) -> np.ndarray:

@@ -81,16 +81,13 @@ def moments(design: DataFrame, by: list[str], min_obs: int = MIN_MONTHS) -> Data
     """One row of means and sample covariances per group (AGG14), gated on length (FLT4)."""
     xs = _regressors(design)
     sums = [
-        F.count("*").alias("n"),
-        F.min("date").alias("period_start"),
-        F.max("date").alias("period_end"),
-        F.avg("y").alias("my"),
-        F.var_samp("y").alias("vy"),
-        *[F.avg(x).alias(f"m{x}") for x in xs],
-        *[F.covar_samp(x, "y").alias(f"c{x}y") for x in xs],
-        *[F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in combinations_with_replacement(xs, 2)],
+        "count(*) AS n", "min(date) AS period_start", "max(date) AS period_end",
+        "avg(y) AS my", "var_samp(y) AS vy",
+        *[f"avg({x}) AS m{x}" for x in xs],
+        *[f"covar_samp({x}, y) AS c{x}y" for x in xs],
+        *[f"covar_samp({a}, {b}) AS c{a}{b}" for a, b in combinations_with_replacement(xs, 2)],
     ]
-    return design.groupBy(*by).agg(*sums).filter(F.col("n") >= min_obs)
+    return design.groupBy(*by).agg(*map(F.expr, sums)).filter(F.col("n") >= min_obs)
 
 
 COEFFICIENTS = [
@@ -211,19 +208,17 @@ def newey_west(design: DataFrame, fitted: DataFrame, keys: list[str], lags: int
     for i, x in enumerate(xs, start=1):
         rows = rows.withColumn(f"s{i}", F.col(x) * F.col("_e"))
     scores = [f"s{i}" for i in range(len(xs) + 1)]
-    lagged = {
-        s: sum(
-            (F.coalesce(F.lag(s, j).over(ordered), F.lit(0.0)) * (1 - j / (lags + 1))
-             for j in range(1, lags + 1)),
-            F.lit(0.0),
-        ).alias(s.replace("s", "u"))
+    weights = {j: 1 - j / (lags + 1) for j in range(1, lags + 1)}
+    lagged = [
+        sum((F.lag(s, j, 0.0).over(ordered) * w for j, w in weights.items()), F.lit(0.0))
+        .alias(s.replace("s", "u"))
         for s in scores
-    }
-    rows = rows.select(*keys, *scores, *lagged.values())
-    sums = []
-    for i, j in combinations_with_replacement(range(len(scores)), 2):
-        si, sj, ui, uj = (F.col(c) for c in (f"s{i}", f"s{j}", f"u{i}", f"u{j}"))
-        sums.append(F.sum(si * sj + si * uj + ui * sj).alias(f"w{i}_{j}"))
+    ]
+    rows = rows.select(*keys, *scores, *lagged)
+    sums = [
+        F.expr(f"sum(s{i} * s{j} + s{i} * u{j} + u{i} * s{j}) AS w{i}_{j}")
+        for i, j in combinations_with_replacement(range(len(scores)), 2)
+    ]
     meat = rows.groupBy(*keys).agg(*sums)
 
     joined = fitted.join(meat, keys, "left")
