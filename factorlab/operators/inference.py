@@ -92,7 +92,7 @@ def grs_test(
     # With no keys both sides are single rows; a constant key joins them.
     left = per_portfolio.withColumn("_one", F.lit(1))
     right = sums.withColumn("_one", F.lit(1))
-    joined = left.join(right, [*keys, "_one"])
+    joined = left.join(right, [*keys, "_one"], "left")
     key_fields = [joined.schema[c] for c in keys]
     schema = T.StructType(key_fields + RESULT)
 
@@ -130,7 +130,7 @@ def _singular(matrix: np.ndarray) -> bool:
 
 def _test_row(row: dict, width: int, depth: int, variant: str, level: float) -> dict:
     alphas = np.array([row[f"a{i}"] for i in range(width)], dtype=float)
-    months = int(row["n"])
+    months = 0 if pd.isna(row["n"]) else int(row["n"])
     df2 = months - width - depth
     out = dict.fromkeys([field.name for field in RESULT])
     out.update(

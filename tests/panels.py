@@ -18,7 +18,7 @@ def months(start=START, end=END):
     return out
 
 
-def random_prices(tickers=17, seed=3, gap=0.08):
+def random_prices(tickers=17, seed=3, gap=0.08, steps=(3, 4, 6, 7)):
     """Daily walks with missing days, skipped months, late starts and early ends."""
     rng = random.Random(seed)
     rows = []
@@ -28,7 +28,7 @@ def random_prices(tickers=17, seed=3, gap=0.08):
         last = rng.choice([24, 24, 24, 19, 15])
         for index, month in enumerate(months()):
             skipped = rng.random() < gap
-            for day in range(1, 29, rng.choice([3, 4, 6, 7])):
+            for day in range(1, 29, rng.choice(steps)):
                 price *= 1 + rng.gauss(0, sigma) / 100
                 if first <= index < last and not skipped:
                     rows.append((f"T{number:02d}", month.replace(day=day), price))
