@@ -70,12 +70,10 @@ MEMBERSHIP = """membership AS (
   SELECT CAST(month + INTERVAL 1 MONTH AS DATE) AS date, ticker AS symbol FROM chars
   WHERE CAST(cents AS DOUBLE) >= 0.5::DOUBLE * (CAST(all_cents AS DOUBLE) / tickers))"""
 
-RAW = """sold AS (
-  SELECT DISTINCT date_trunc('month', l_shipdate) AS month, p_brand
-  FROM lineitem JOIN part ON p_partkey = l_partkey),
+RAW = """sold AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS month, o_orderpriority AS name FROM orders),
 raw AS (
   SELECT strftime(month, '%Y-%m-%d') AS date,
-         '"' || string_agg(p_brand, ', ' ORDER BY p_brand) || ', ,"' AS tickers
+         '"' || string_agg(name, ', ' ORDER BY name) || ', ,"' AS tickers
   FROM sold GROUP BY month)"""
 
 
@@ -707,9 +705,9 @@ ORACLES: dict[str, str] = {
   count(*) AS n_snapshots, round_even((SELECT count(*) FROM sold) / CAST(count(*) AS DOUBLE), 1) AS mean_tickers FROM raw"""),
     "universe_raw": with_(RAW, final=f"""SELECT DISTINCT trim(t) AS symbol FROM (
   SELECT unnest(string_split(tickers, ',')) AS t FROM raw WHERE CAST(date AS DATE) BETWEEN {MID})"""),
-    "universe_brands_clean": with_(RAW, final=f"""SELECT DISTINCT symbol, ends_with(symbol, 'Q') AS looks_extinct FROM (
+    "universe_cleaned": with_(RAW, final=f"""SELECT DISTINCT symbol, ends_with(symbol, 'Q') AS looks_extinct FROM (
   SELECT CASE WHEN length(t) > 8 THEN left(t, 5) ELSE t END AS symbol FROM (
-    SELECT regexp_replace(upper(p_brand), '[^A-Z0-9-]', '', 'g') AS t FROM sold WHERE CAST(month AS DATE) BETWEEN {MID}))"""),
+    SELECT regexp_replace(upper(name), '[^A-Z0-9-]', '', 'g') AS t FROM sold WHERE CAST(month AS DATE) BETWEEN {MID}))"""),
     "universe_period": with_(*MEMBER_VIEWS, final=f"""SELECT DISTINCT symbol, ends_with(symbol, 'Q') AS looks_extinct
   FROM membership WHERE date BETWEEN {MID}"""),
     "universe_in_order": with_(*MEMBER_VIEWS, final=f"""SELECT symbol, min(date) AS first_seen FROM membership
@@ -797,11 +795,11 @@ ORACLES: dict[str, str] = {
     "returns_long": with_(PANEL, PANEL_MONTHLY, GRID, final=f"""SELECT g.month, t.ticker, {r('m.ret')} AS ret
   FROM grid g CROSS JOIN (VALUES ('AF'), ('AO'), ('NF'), ('NO'), ('RF'), ('RO')) t(ticker)
   LEFT JOIN pmonthly m ON m.month = g.month AND m.ticker = t.ticker"""),
-    "vol_monthly": with_(PRICES, MONTHLY, GRID, TRAILING, final=f"SELECT ticker, month, {r('vol')} AS vol, n_obs FROM trailed WHERE n_obs >= 12 * 0.7::DOUBLE"),
-    "vol_monthly_min_obs": with_(PRICES, MONTHLY, GRID, TRAILING, final=f"SELECT ticker, month, {r('vol')} AS vol, n_obs FROM trailed WHERE n_obs >= 8 * 0.7::DOUBLE"),
+    "vol_monthly": with_(PRICES, MONTHLY, GRID, TRAILING, final=f"SELECT ticker, month, {r('vol', 9)} AS vol, n_obs FROM trailed WHERE n_obs >= 12 * 0.7::DOUBLE"),
+    "vol_monthly_min_obs": with_(PRICES, MONTHLY, GRID, TRAILING, final=f"SELECT ticker, month, {r('vol', 9)} AS vol, n_obs FROM trailed WHERE n_obs >= 8 * 0.7::DOUBLE"),
     "vol_point_in_time": with_(PRICES, MONTHLY, GRID, lookback_rows(LOOKBACKS), FORMATIONS, history(0.6),
-        final=f"SELECT lookback, formation, ticker, {r('vol')} AS vol, n_obs, {r('hold_ret')} AS hold_ret FROM signals"),
-    "vol_daily": with_(PANEL, GRID, CALENDAR, DAILY_VOL, final=f"SELECT ticker, formation, {r('vol')} AS vol, n_obs FROM daily_vol WHERE n_obs >= 180"),
+        final=f"SELECT lookback, formation, ticker, {r('vol', 9)} AS vol, n_obs, {r('hold_ret', 9)} AS hold_ret FROM signals"),
+    "vol_daily": with_(PANEL, GRID, CALENDAR, DAILY_VOL, final=f"SELECT ticker, formation, {r('vol', 9)} AS vol, n_obs FROM daily_vol WHERE n_obs >= 180"),
     # portfolios
     "extreme_portfolios": with_(PRICES, MONTHLY, GRID, TRAILING, trailing_signals(), extremes(4), final=extremes_final()),
     "quintiles_basic": with_(PRICES, MONTHLY, GRID, TRAILING, trailing_signals(), basic_quintiles("trail", 1), final=BASIC_FINAL),

@@ -71,7 +71,7 @@ def universe_raw(t):
 
 
 @query
-def universe_brands_clean(t):
+def universe_cleaned(t):
     """UNI2 on exploded, cleaned snapshots (AGG3, SET1)."""
     members = C.explode_members(C.parse_constituents(t.raw_constituents))
     return C.universe_for_period(members, MID_START, MID_END)
@@ -363,14 +363,14 @@ def returns_long(t):
 def vol_monthly(t):
     """VOL1, FLT5."""
     dense = RET.dense_months(_monthly(t), END, tail=12)
-    return rounded(V.vol_monthly(dense, START, 12).select("ticker", "month", "vol", "n_obs"))
+    return rounded(V.vol_monthly(dense, START, 12).select("ticker", "month", "vol", "n_obs"), 9)
 
 
 @query
 def vol_monthly_min_obs(t):
     """VOL2."""
     dense = RET.dense_months(_monthly(t), END, tail=12)
-    return rounded(V.vol_monthly(dense, START, 12, min_obs=8).select("ticker", "month", "vol", "n_obs"))
+    return rounded(V.vol_monthly(dense, START, 12, min_obs=8).select("ticker", "month", "vol", "n_obs"), 9)
 
 
 @query
@@ -378,14 +378,14 @@ def vol_point_in_time(t):
     """VOL3, JOIN5: three lookbacks in one pass."""
     dense = RET.dense_months(_monthly(t), END)
     signals = V.vol_at_formation(dense, START, END, list(LOOKBACKS), 0.6)
-    return rounded(signals.select("lookback", "formation", "ticker", "vol", "n_obs", "hold_ret"))
+    return rounded(signals.select("lookback", "formation", "ticker", "vol", "n_obs", "hold_ret"), 9)
 
 
 @query
 def vol_daily(t):
     """VOL4."""
     months = month_grid(t.spark, START, END).select(F.col("month").alias("formation"))
-    return rounded(V.vol_daily(t.daily_panel, months))
+    return rounded(V.vol_daily(t.daily_panel, months), 9)
 
 
 # ---- portfolios -----------------------------------------------------------

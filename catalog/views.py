@@ -82,20 +82,18 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comma-joined snapshots as text: the brands shipped on each month's lines.
+    """Comma-joined snapshots as text: the priorities seen among each month's orders.
 
-    A list holds at most the 25 brands of the schema. Quotes, blanks and empty
-    items are added for the parser to remove.
+    A list holds at most the five priorities of the schema. Quotes, blanks and
+    empty items are added for the parser to remove.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.trunc("l_shipdate", "month").alias("month")
-    )
-    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    sold = lines.join(brands, "l_partkey").select("month", "p_brand").distinct()
-    joined = F.array_join(F.sort_array(F.collect_list("p_brand")), ", ")
-    return sold.groupBy("month").agg(joined.alias("brands")).select(
+    seen = table(spark, sf_dir, "orders").select(
+        F.trunc("o_orderdate", "month").alias("month"), "o_orderpriority"
+    ).distinct()
+    joined = F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ", ")
+    return seen.groupBy("month").agg(joined.alias("names")).select(
         F.date_format("month", "yyyy-MM-dd").alias("date"),
-        F.concat(F.lit('"'), "brands", F.lit(', ,"')).alias("tickers"),
+        F.concat(F.lit('"'), "names", F.lit(', ,"')).alias("tickers"),
     )
 
 

@@ -20,14 +20,12 @@ def month_buckets(
 ) -> DataFrame:
     """Days, first and last price of each ticker and month (AGG1, FLT2).
 
-    Prices hold one row per ticker and day, so partitions by ticker are bounded
-    by the calendar. Placing rows by ticker here lets the month aggregate and
-    every later window per ticker run without another shuffle. ``carry`` adds
+    Months combine before they shuffle: a store sorted by ticker sends about one
+    row per ticker and month, and no ticker can crowd a task. ``carry`` adds
     aggregates of other columns of the price table to the same pass.
     """
     return (
         prices.filter(in_period(start, end))
-        .repartition("ticker")
         .groupBy("ticker", month_floor("date").alias("month"))
         .agg(
             F.count("price").cast("int").alias("n_days"),

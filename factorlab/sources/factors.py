@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import first_of_month, in_period, month_floor
@@ -118,8 +119,8 @@ def get_factors(
             stored = read_factors(spark, store)
             if factors_cover(stored, start, end).first()["covered"]:
                 return factors_for_period(stored, start, end)
-        except Exception as problem:  # an absent store is the normal first call
-            if "PATH_NOT_FOUND" not in str(problem):
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":  # no store yet is the normal first call
                 raise
     write_factors(parse_factor_lines(read_factor_lines(spark, source)), store)
     return factors_for_period(read_factors(spark, store), start, end)

@@ -1,6 +1,8 @@
 """Run registered queries against their SQL and report differences.
 
-    python -m tests.compare SF_DIR [query ...]
+    python -m tests.compare SF_DIR [--shared] [query ...]
+
+With --shared the derived tables are built once for all queries.
 """
 
 from __future__ import annotations
@@ -76,6 +78,13 @@ def main(sf_dir: str, wanted: list[str]) -> int:
 
     spark, con, bad = session(), connect(sf_dir), 0
     queries, oracles = entry.queries(), entry.oracle_sql()
+    if "--shared" in wanted:
+        from catalog.queries import ON_TABLES
+        from catalog.views import Tables
+
+        tables = Tables(spark, sf_dir)
+        queries = {name: lambda *_, fn=fn: fn(tables) for name, fn in ON_TABLES.items()}
+        wanted = [name for name in wanted if name != "--shared"]
     for name in wanted or queries:
         began = time.time()
         try:

@@ -72,11 +72,13 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_panel_is_shuffled_by_day_then_by_ticker_only(spark):
+def test_panel_is_shuffled_by_day_month_and_ticker_only(spark):
     tables = Tables(spark, SF)
     plan = plan_of(eligible_signals(
         monthly_returns(tables.prices, CAT_START, CAT_END), CAT_START, CAT_END, None, [6, 12, 24], 0.6))
-    assert plan.count("Exchange hashpartitioning") == 2
+    # Days and months are pre-aggregated; all windows of all lookbacks share the third exchange.
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("partial_min_by") == 1 and plan.count("partial_sum") >= 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
@@ -89,17 +91,16 @@ def test_scan_reads_few_columns_and_pushes_the_period(spark):
 
 def test_membership_join_leaves_the_panel_in_place(spark):
     tables = Tables(spark, SF)
-    membership = tables.membership
+    monthly, membership = tables.monthly, tables.membership
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = plan_of(eligible_signals(
-            monthly_returns(tables.prices, CAT_START, CAT_END), CAT_START, CAT_END, membership, [12], 0.6))
+        plan = plan_of(eligible_signals(monthly, CAT_START, CAT_END, membership, [12], 0.6))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    panel = plan[:plan.index("FileScan parquet")] if "FileScan parquet" in plan else plan
-    # Two exchanges on the way from the lines to the join; the join itself adds none on the panel side.
-    assert plan.count("REPARTITION_BY_COL") == 1
-    assert panel.count("Exchange hashpartitioning(ticker") == 1
+    # The stored panel moves once, by ticker, for its windows; the join on ticker reuses that.
+    join = plan[plan.index("Join [ticker"):]
+    panel_side = join[:join.index("collect_set")]
+    assert panel_side.count("Exchange hashpartitioning(ticker") == 1
 
 
 def test_broadcast_depends_on_size(spark):
