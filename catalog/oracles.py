@@ -388,6 +388,7 @@ best AS (
 
 
 def alpha_sql(aligned: str, long_form: bool) -> str:
+    described = "long" if long_form else "aligned"
     cells = ", ".join(
         f"{r(f'{t}.{c}')} AS {m}_{c}" for m, t in (("capm", "f1"), ("ff3", "f3"), ("ff5", "f5"))
         for c in ("alpha", "alpha_pvalue", "r2")
@@ -395,11 +396,13 @@ def alpha_sql(aligned: str, long_form: bool) -> str:
     return with_(
         *portfolios(), FACTOR_ROWS, COMPLETE, aligned,
         fit_block("CAPM", "f1"), fit_block("FF3", "f3"), fit_block("FF5", "f5"), BEST,
-        """raw AS (
-  SELECT portfolio AS grp, count(*) AS n_obs, avg(ret) * 12 AS raw_return,
-         stddev_samp(ret) * sqrt(12) AS raw_volatility,
-         avg(ret - RF) / stddev_samp(ret - RF) * sqrt(12) AS raw_sharpe
-  FROM aligned WHERE ret IS NOT NULL AND RF IS NOT NULL GROUP BY 1 HAVING count(*) >= 12)""",
+        f"""sharpe AS (
+  SELECT portfolio AS grp, count(*) AS n_obs, avg(ret - RF) / stddev_samp(ret - RF) * sqrt(12) AS raw_sharpe
+  FROM aligned WHERE ret IS NOT NULL AND RF IS NOT NULL GROUP BY 1 HAVING count(*) >= 12),
+raw AS (
+  SELECT portfolio AS grp, any_value(n_obs) AS n_obs, any_value(raw_sharpe) AS raw_sharpe,
+         avg(ret) * 12 AS raw_return, stddev_samp(ret) * sqrt(12) AS raw_volatility
+  FROM {described} JOIN sharpe ON grp = portfolio WHERE ret IS NOT NULL GROUP BY 1)""",
         final=f"""SELECT raw.grp AS portfolio, raw.n_obs, {rounds('raw_return', 'raw_volatility', 'raw_sharpe')},
   {cells}, best_model, {verdict_case(long_form)} AS verdict, best_pvalue > 0.05 AS supports
   FROM raw JOIN best USING (grp) LEFT JOIN f1 USING (grp) LEFT JOIN f3 USING (grp) LEFT JOIN f5 USING (grp)""",
@@ -896,6 +899,11 @@ ORACLES: dict[str, str] = {
     "grs_ff3": grs_sql("FF3", QUINTILES),
     "grs_ff5": grs_sql("FF5", QUINTILES),
     "grs_simple": grs_sql("FF5", QUINTILES, full=False),
+    "grs_singular": with_(*portfolios(), FACTOR_ROWS,
+        "doubled AS (SELECT * FROM long UNION ALL SELECT lookback, 'COPY', date, ret FROM long WHERE portfolio = 'P1')",
+        "aligned AS (SELECT l.*, f.* EXCLUDE (date) FROM doubled l JOIN factors f USING (date))", residual_block("CAPM"),
+        final="""SELECT CASE WHEN 1 - abs(corr(a.resid, b.resid)) < 1e-12 THEN 'singular' ELSE 'ok' END AS status,
+  2 AS n_portfolios, 1 AS n_factors FROM resid a JOIN resid b USING (date) WHERE a.portfolio = 'P1' AND b.portfolio = 'COPY'"""),
     # robustness and reports
     "subperiods": with_(*portfolios(LOOKBACKS), f"""halves AS (
   SELECT *, CASE WHEN date <= DATE '{START}' + CAST((DATE '{END}' - DATE '{START}') // 2 AS INTEGER) THEN 'first_half' ELSE 'second_half' END AS half

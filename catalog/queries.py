@@ -119,7 +119,7 @@ def _formations(t):
 def membership_asof(t):
     """JOIN2, TOPK2, ELG1, SET2: members at each formation that have prices."""
     return U.members_asof(
-        t.membership, _formations(t), t.prices.select("ticker").distinct()
+        t.membership, _formations(t), t.panel.select("ticker").distinct()
     )
 
 
@@ -827,8 +827,16 @@ def grs_simple(t):
 
 @query
 def grs_singular(t):
-    """GRS2 on linearly dependent portfolios: a status instead of a statistic."""
-    return _grs(t, "CAPM", ["P1", "P5", LONG_SHORT]).select("status", "n_portfolios", "n_factors")
+    """GRS2 with a portfolio and its copy: a status instead of a statistic."""
+    long = t.portfolios()
+    doubled = long.unionByName(
+        long.filter(F.col("portfolio") == "P1").withColumn("portfolio", F.lit("COPY"))
+    )
+    design = R.design_rows(R.align_by_date(doubled, t.factors), ["portfolio"], ["CAPM"])
+    fit = R.fit(design, ["portfolio", "model"])
+    resid = R.residuals(design, fit, ["portfolio", "model"])
+    test = inference.grs_test(R.describe(fit, ["portfolio"]), resid, t.factors, ["P1", "COPY"], "CAPM")
+    return test.select("status", "n_portfolios", "n_factors")
 
 
 # ---- robustness and reports -----------------------------------------------
@@ -851,6 +859,15 @@ def report_table(t):
     return REP.report_table(P.performance(t.portfolios(LOOKBACKS), SERIES))
 
 
+@query
+def results_document(t):
+    """SNK4: the nested document per lookback, as the JSON text the sink writes. Rows only."""
+    long = t.portfolios(LOOKBACKS)
+    results = R.regressions(R.design_rows(R.align_by_date(long, t.factors), SERIES), SERIES)
+    document = REP.results_document(P.performance(long, SERIES), results, START, END)
+    return document.select("lookback", F.to_json(F.struct("*")).alias("document"))
+
+
 @query
 def final_summary(t):
     """SNK6."""

@@ -39,10 +39,11 @@ def _whole(column: str, scale: int = 100) -> Column:
     return F.sum(F.floor(F.col(column) * scale + 0.5))
 
 
-def daily_sums(spark: SparkSession, sf_dir: str, ticker: Column) -> DataFrame:
+def daily_sums(spark: SparkSession, sf_dir: str, keys: list[str], ticker: Column) -> DataFrame:
+    """Sums per ticker and day, grouped by the raw ``keys``; the ticker is spelled out afterwards."""
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(ticker.alias("ticker"), F.to_date("l_shipdate").alias("date"))
+        .groupBy(*keys, F.to_date("l_shipdate").alias("date"))
         .agg(
             F.count("*").alias("n"),
             _whole("l_tax").alias("tax"),
@@ -50,6 +51,7 @@ def daily_sums(spark: SparkSession, sf_dir: str, ticker: Column) -> DataFrame:
             _whole("l_quantity", 1).alias("qty"),
             _whole("l_extendedprice").alias("cents"),
         )
+        .withColumn("ticker", ticker)
     )
 
 
@@ -61,15 +63,19 @@ def _price() -> Column:
     return F.lit(100.0) + (F.col("tax") - F.col("disc")) / F.col("n")
 
 
+def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_sums(spark, sf_dir, ["l_suppkey"], _supplier())
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, price): one row per supplier and ship day."""
-    return daily_sums(spark, sf_dir, _supplier()).select("ticker", "date", _price().alias("price"))
+    return supplier_days(spark, sf_dir).select("ticker", "date", _price().alias("price"))
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense panel of few tickers: line flags and status as the ticker."""
-    ticker = F.concat("l_returnflag", "l_linestatus")
-    return daily_sums(spark, sf_dir, ticker).select("ticker", "date", _price().alias("price"))
+    keys = ["l_returnflag", "l_linestatus"]
+    return daily_sums(spark, sf_dir, keys, F.concat(*keys)).select("ticker", "date", _price().alias("price"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +157,7 @@ class Tables:
     @cached_property
     def panel(self) -> DataFrame:
         """Monthly returns beside the month's sums: one scan of the lines, two shuffles, one write."""
-        daily = daily_sums(self.spark, self.sf_dir, _supplier()).withColumn("price", _price())
+        daily = supplier_days(self.spark, self.sf_dir).withColumn("price", _price())
         carry = [F.sum(c).alias(c) for c in SUMS]
         return stage(monthly_returns(daily, START, END, carry=carry), "panel")
 

@@ -363,14 +363,18 @@ def alpha_analysis(
     else:
         raise ValueError(f"unknown alignment {align}")
     complete = aligned.filter(F.col("ret").isNotNull() & F.col("RF").isNotNull())
-    raw = complete.groupBy(*keys).agg(
-        F.count("ret").alias("n_obs"),
+    sharpe = complete.groupBy(*keys).agg(
+        F.count("*").alias("n_obs"),
+        (monthly_sharpe((F.col("ret") - F.col("RF")) / 100) * F.sqrt(F.lit(12.0))).alias("raw_sharpe"),
+    ).filter(F.col("n_obs") >= MIN_MONTHS)
+    # By position, return and volatility describe the whole series, paired or not.
+    described = complete if align == "date" else portfolios.filter(F.col("ret").isNotNull())
+    raw = described.groupBy(*keys).agg(
         F.min("date").alias("period_start"),
         F.max("date").alias("period_end"),
         (F.avg("ret") * 12).alias("raw_return"),
         (F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("raw_volatility"),
-        (monthly_sharpe((F.col("ret") - F.col("RF")) / 100) * F.sqrt(F.lit(12.0))).alias("raw_sharpe"),
-    ).filter(F.col("n_obs") >= MIN_MONTHS)
+    ).join(sharpe, keys)
     results = regressions(design_rows(aligned, keys, models), keys)
     detail = F.struct("alpha", "alpha_tstat", "alpha_pvalue", "loadings", "r2", "adj_r2", "n_obs")
     order = F.struct("r2", (-F.size("loadings")).alias("smaller"))

@@ -66,7 +66,8 @@ def session(shuffle: int = 8):
     spark = (
         SparkSession.builder.master("local[8]").appName("factorlab")
         .config("spark.sql.shuffle.partitions", shuffle)
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
