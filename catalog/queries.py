@@ -14,7 +14,7 @@ from factorlab.operators import (
     robustness as RB, signals as V, universe as U,
 )
 from factorlab.plans import analysis as A, reports as REP
-from factorlab.schemas import FACTORS, LONG_SHORT, MODELS, QUINTILES
+from factorlab.schemas import FACTORS, MODELS, QUINTILES
 from factorlab.sources import constituents as C, factors as FAC, prices as PR
 
 from .views import END, START, Tables

@@ -153,10 +153,12 @@ def _solve_batch(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def solve(moment_rows: DataFrame, by: list[str]) -> DataFrame:
-    """Coefficients, standard errors, tests and fit per moment row (REG4, DIST1)."""
+    """Coefficients, standard errors, tests and fit per moment row (REG4, DIST1).
+
+    ``by`` includes ``k``, the number of regressors.
+    """
     fields = {f.name: f for f in moment_rows.schema.fields}
-    schema = T.StructType([fields[c] for c in by] + [fields["k"]] + COEFFICIENTS
-                          if "k" not in by else [fields[c] for c in by] + COEFFICIENTS)
+    schema = T.StructType([fields[c] for c in by] + COEFFICIENTS)
     names = schema.names
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -108,7 +108,7 @@ def daily_returns(prices: DataFrame, calendar: DataFrame | None = None) -> DataF
         prices.select("ticker", "date", "price")
         .join(F.broadcast(calendar), "date")  # one row per day of history
         .withColumn("ret", pct_change(F.col("price"), before))
-        .select("ticker", *[c for c in calendar.columns], "price", "ret")
+        .select("ticker", *calendar.columns, "price", "ret")
     )
 
 

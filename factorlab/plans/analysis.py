@@ -41,6 +41,7 @@ class AnalysisConfig:
     min_coverage: float = 0.6
     min_per_quintile: int = 5
     method: str = "monthly12"
+    clean_symbols: bool = True  # bring a custom list of tickers to canonical symbols
     models: tuple[str, ...] = ("CAPM", "FF3", "FF5")
     output_dir: str | None = None
     output_formats: tuple[str, ...] = ("csv", "json", "report")
@@ -62,7 +63,7 @@ def load_universe_prices(
     The universe is the index membership of the period, or a custom list.
     """
     if tickers is not None:
-        universe = custom_universe(tickers)
+        universe = custom_universe(tickers, config.clean_symbols)
     elif membership is not None:
         universe = universe_for_period(membership, config.start, config.end).select("symbol")
     else:

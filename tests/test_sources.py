@@ -136,3 +136,15 @@ def test_factor_summaries(spark):
     corr = FAC.factor_correlations(factors).first()
     assert (corr["mkt_smb"], corr["mkt_hml"]) == (pytest.approx(1), pytest.approx(-1))
     assert FAC.factor_validation(factors).first()["n_months"] == 4
+
+
+def test_hot_ticker_combines_before_it_shuffles(spark):
+    hot = spark.range(3000).selectExpr(
+        "'HOT' AS ticker", "date_add(DATE'2020-01-01', CAST(id % 20 AS INT)) AS date", "double(1 + id % 7) AS price")
+    rest = spark.range(6000).selectExpr(
+        "concat('T', id % 300) AS ticker", "date_add(DATE'2020-01-01', CAST(id % 20 AS INT)) AS date", "2.0D AS price")
+    daily = PR.one_price_per_day(hot.unionByName(rest))
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and plan.index("partial_min") > plan.index("Exchange hashpartitioning")
+    got = {r["ticker"]: r["n"] for r in daily.groupBy("ticker").agg(F.count("*").alias("n")).collect()}
+    assert got["HOT"] == 20 and len(got) == 301
