@@ -66,29 +66,40 @@ def _without(text: Column, characters: str) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the measures of each text; the second value says under which names.
 
-    Three projections, as later columns read earlier ones several times: words
-    and lines; the three-word windows sorted with their places, so that equal
-    ones are neighbours; the counts.
+    A projection for each level, as later columns read earlier ones several
+    times: words and lines; a number for each three-word window, hash above and
+    place below, sorted so that equal windows are neighbours; the counts. Windows
+    count as equal when their words are; the hash only brings them together.
     """
     names = {n: fresh(docs, n) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines",
         "n_ellipsis_lines", "n_bullet_lines")}
-    body, words, lines, windows, repeated = (fresh(docs, f"_{n}") for n in ("body", "words", "lines", "windows", "repeated"))
+    body, bare, words, lines, low, windows, repeated = (
+        fresh(docs, f"_{n}") for n in ("body", "bare", "words", "lines", "low", "windows", "repeated"))
     gap = F.lit(BLANKS)
 
     out = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn(bare, F.trim(body, gap))
     out = out.withColumns({
-        words: F.filter(F.split(body, GAP), lambda w: w != ""),
-        lines: F.filter(F.split(body, "\n"), lambda x: F.translate(x, BLANKS, "") != ""),
+        words: F.when(F.col(bare) == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP)),
+        lines: F.filter(F.split(body, "\n"), lambda x: F.trim(x, gap) != ""),
     })
-    w, x = F.col(words), F.col(lines)
-    places = F.sequence(F.lit(0), F.size(w) - 3)
-    out = out.withColumn(windows, F.when(F.size(w) >= 4, F.sort_array(F.transform(places, lambda i: F.struct(
-        F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("window"), i.alias("place"))))))
+    w, x, m = F.col(words), F.col(lines), F.col(low)
+    # As many low bits as the number of words has.
+    out = out.withColumn(low, F.expr(f"shiftleft(1L, length(bin(size(`{words}`)))) - 1"))
+    high = F.bitwise_not(m)
+    number = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))
+    numbers = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.coalesce(number(i), F.lit(0).cast("long")))
+    out = out.withColumn(windows, F.when(F.size(w) >= 4, F.sort_array(numbers)))
     v = F.col(windows)
-    same = F.transform(v, lambda one, i: F.when(
-        (F.get(v, i - 1)["window"] == one["window"]) | (F.get(v, i + 1)["window"] == one["window"]), one["place"]))
-    out = out.withColumn(repeated, F.filter(same, lambda i: i.isNotNull()))
+
+    def equal(one: Column, other: Column) -> Column:
+        i, j = one.bitwiseAND(m).cast("int"), other.bitwiseAND(m).cast("int")
+        alike = (F.get(w, i + k) == F.get(w, j + k) for k in range(3))
+        return reduce(Column.__and__, alike, one.bitwiseXOR(other).bitwiseAND(high) == 0)
+
+    found = F.filter(v, lambda one, i: equal(one, F.get(v, i - 1)) | equal(one, F.get(v, i + 1)))
+    out = out.withColumn(repeated, F.transform(found, lambda one: one.bitwiseAND(m)))
     covered = F.flatten(F.transform(F.col(repeated), lambda i: F.array(i, i + 1, i + 2)))
     out = out.withColumns({
         names["n_words"]: _long(F.size(w)),
@@ -96,12 +107,12 @@ def measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str,
         names["n_symbols"]: _long(_without(F.col(body), SYMBOLS)),
         names["n_dup_lines"]: _long(F.size(x) - F.size(F.array_distinct(x))),
         names["n_repeat_words"]: _long(F.coalesce(F.size(F.array_distinct(covered)), F.lit(0))),
-        names["n_stop_words"]: _long(F.size(F.filter(w, lambda s: F.lower(F.rtrim(s, F.lit(".,;:!?"))).isin(*STOP_WORDS)))),
+        names["n_stop_words"]: _long(F.size(F.filter(w, lambda s: s.isin(*sorted(set(STOP_WORDS)))))),
         names["n_lines"]: _long(F.size(x)),
         names["n_ellipsis_lines"]: _long(F.size(F.filter(x, lambda s: F.rtrim(s, gap).endswith("...") | F.rtrim(s, gap).endswith("…")))),
         names["n_bullet_lines"]: _long(F.size(F.filter(x, lambda s: F.substring(F.ltrim(s, gap), 1, 1).isin("-", "•", "*")))),
     })
-    return out.drop(body, words, lines, windows, repeated), names
+    return out.drop(body, bare, words, lines, low, windows, repeated), names
 
 
 def base_failed(names: dict[str, str]) -> Column:
