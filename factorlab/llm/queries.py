@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, near_duplicates, quality_rules, sharding
+from . import decontamination, licenses, mixing, near_duplicates, quality_rules, sharding, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents")).drop("places")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.ordered(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judged(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_mixing, op4_near_duplicates, op5_sharding, op7_quality_rules)
+    f.__name__: f for f in (
+        op1_decontamination, op2_licenses, op3_mixing, op4_near_duplicates, op5_sharding, op7_quality_rules,
+        op10_url_templates)
 }
