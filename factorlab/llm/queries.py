@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, licenses, mixing, near_duplicates, quality_rules, sharding, url_templates
+from . import (
+    decontamination, licenses, mixing, near_duplicates, quality_rules, sharding, token_files, url_templates,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judged(_table(spark, sf_dir, "pages"))
 
@@ -47,5 +55,5 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_licenses, op3_mixing, op4_near_duplicates, op5_sharding, op7_quality_rules,
-        op10_url_templates)
+        op9_token_files, op10_url_templates)
 }

@@ -97,7 +97,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> tuple[
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of ``data``; equal for equal bytes, wherever they stand."""
-    size = 1 << max(16, int(len(data)).bit_length())
+    size = 1 << max(16, (len(data) - 1).bit_length())
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * _powers(_BASE, size)[:len(data)], out=sums[1:])
     h = (sums[stops] - sums[starts]) * _powers(_INVERSE, size)[starts]
