@@ -30,8 +30,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back with its lineage cut.
 
     Later jobs then prune columns, survive lost executors, and see one and the
-    same copy of values that a recomputation might order differently.
+    same copy of values that a recomputation might order differently. The job
+    runs while the caller's plan is being built.
     """
     path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_staged_at", None)
+        if path is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            table._staged_at = None
