@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontamination, licenses, mixing, near_duplicates, quality_rules, sharding, token_files, url_templates,
+    decontamination, language_model, licenses, mixing, near_duplicates, quality_rules, sharding, token_files, url_templates,
 )
 
 
@@ -42,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,5 +59,5 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_licenses, op3_mixing, op4_near_duplicates, op5_sharding, op7_quality_rules,
-        op9_token_files, op10_url_templates)
+        op8_language_model, op9_token_files, op10_url_templates)
 }
