@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontamination, language_model, licenses, mixing, near_duplicates, quality_rules, sharding, token_files, url_templates,
+    decontamination, language_model, licenses, mixing, near_duplicates, quality_model, quality_rules, sharding,
+    token_files, url_templates,
 )
 
 
@@ -38,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,6 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op2_licenses, op3_mixing, op4_near_duplicates, op5_sharding, op7_quality_rules,
-        op8_language_model, op9_token_files, op10_url_templates)
+        op1_decontamination, op2_licenses, op3_mixing, op4_near_duplicates, op5_sharding, op6_quality_model,
+        op7_quality_rules, op8_language_model, op9_token_files, op10_url_templates)
 }
