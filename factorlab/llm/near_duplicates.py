@@ -8,18 +8,27 @@ taken and kept in text order: two texts share such a sketch if they share these
 k-mers in the same order, which follows edit similarity rather than set overlap.
 
 Texts with a common sketch form a bucket. A bucket's most typical text, the one
-whose sketches are the most common, is compared with all others there; those
-that it is not similar to form the rest, which goes round again. A rest above
-``LARGE_REST`` is first split by a second common sketch, then a third. So a
-bucket costs its size times its number of different clusters, never all its pairs.
+whose sketches are the most common, is compared with all others there. Those
+below 0.5 form the rest, which goes round again; a rest above ``LARGE_REST`` is
+first split by a second common sketch, then a third. In a rest of up to
+``LARGE_REST`` texts every one becomes a centre in its turn.
+
+Those from 0.3 to 0.95 may be linked with each other, and a large group of edited
+copies would have them compared in all pairs. So they are sketched again, by
+what sets them apart: by the k-mers that they have and the centre has not (or,
+where these are few, by those that only the centre has). Copies with edits of
+their own share nothing there; copies of a copy do: texts at 0.8 that are both
+below 0.8 with the centre have at least a third of this in common. These sketches
+are buckets for the next rounds: up to ``LARGE_REST`` texts are all compared; more
+(what many edits have in common says little) are compared with one centre, and
+left to their other marks. Buckets within one class are left out. A round costs
+its buckets' sizes, never all their pairs.
 
 Two texts are linked when an alignment of their k-mer sequences matches m of na
 and nb k-mers with m / (na + nb - m) >= ``SIMILARITY``. That is Jaccard similarity
 with order. The band is (na + nb) / 9 wide: an alignment outside cannot reach 0.8.
-1 minus this similarity is a metric, so a text below 0.6 with a centre cannot be
-linked to what the centre is linked to; texts between 0.6 and 0.8 that no link has
-joined are compared with the bucket's linked texts too. Classes are the connected
-components of the links.
+1 minus this similarity is a metric, so texts below 0.3 with a centre cannot be
+linked to those above 0.5. Classes are the connected components of the links.
 
 Recall: at similarity 0.8 a sketch agrees with probability of about 0.5, and at
 least one of 16 does with 0.99998.
@@ -37,9 +46,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..staging import stage
+from ..staging import release, stage
 from .words import fresh, hashed_words, mix, pieces, span_hashes, text_bytes
 
 K = 5
@@ -49,7 +58,11 @@ SKETCHES, SAMPLED = 16, 3
 CENTRES = 8
 LARGE_REST = 24
 # Sketches that name a bucket at most, after splits.
-MAX_SHARED = 5
+MAX_SHARED = 3
+# Similarities with a centre below which a text stays in the bucket's rest, and between which it is sketched again.
+FAR, APART = 0.5, (0.3, 0.95)
+# Centres that a text is sketched against.
+AGAINST = 2
 # Comparisons with one centre in one task.
 PER_TASK = 200
 
@@ -136,11 +149,13 @@ def digests(kmers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
-    """m / (na + nb - m), where m is the most k-mers that an alignment within the band matches."""
+    """m / (na + nb - m), where m is the most k-mers that an alignment within the band matches.
+
+    Where not even the k-mers in common, in any order, reach ``SIMILARITY``, their
+    own ratio is returned: it is below, and no less than that of an alignment.
+    """
     na, nb = len(a), len(b)
     band = (na + nb) // 9
-    if abs(na - nb) > band or not na or not nb:
-        return 0.0
     both = min(na, nb)
     # Common ends are part of a best alignment.
     differs = np.flatnonzero(a[:both] != b[:both])
@@ -156,7 +171,7 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
         uy, cy = np.unique(y, return_counts=True)
         _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
         most = m + int(np.minimum(cx[ix], cy[iy]).sum())
-        if most < 0.5 * (na + nb - most):
+        if most < SIMILARITY * (na + nb - most):
             return most / (na + nb - most)
         m += _banded(x.tolist(), y.tolist(), band)
     return m / (na + nb - m)
@@ -222,21 +237,43 @@ def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("digest", "text").mapInArrow(rows, "digest binary, kmers binary")
 
 
+def marks(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """For each of two texts: MinHash of what it has and the other has not; of the reverse where that is much more."""
+    x, y = (labelled(k.astype(np.uint64), np.array([0, len(k)])) for k in (a, b))
+    only_x, only_y = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+
+    def hashed(more: np.ndarray, less: np.ndarray) -> list[int]:
+        apart = mix(less ^ _SEEDS[60]) if 4 * len(more) < len(less) else more
+        return mix(apart[:, None] ^ _SEEDS[None, :SKETCHES]).min(axis=0).view(np.int64).tolist() if len(apart) else []
+
+    return hashed(only_x, only_y), hashed(only_y, only_x)
+
+
 def _compared(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their similarity. A text of many pairs is sent to several tasks, in parts."""
+    """``pairs`` (a, b, star) with their similarity, and with marks of each against the other where ``star`` and ``APART`` want them.
+
+    A text of many pairs is sent to several tasks, in parts.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = []
-            for x, y in zip(batch.column("kmers_a"), batch.column("kmers_b"), strict=True):
-                values.append(aligned(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(values, pa.float64())], ["a", "b", "similarity"])
+            values, marks_a, marks_b = [], [], []
+            for x, y, star in zip(batch.column("kmers_a"), batch.column("kmers_b"), batch.column("star").to_pylist(), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                values.append(aligned(p, q))
+                of_a, of_b = marks(p, q) if star and APART[0] <= values[-1] <= APART[1] else (None, None)
+                marks_a.append(of_a)
+                marks_b.append(of_b)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(values, pa.float64()), pa.array(marks_a, longs), pa.array(marks_b, longs)],
+                ["a", "b", "similarity", "marks_a", "marks_b"])
 
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
     left = sequences.withColumnsRenamed({"digest": "a", "kmers": "kmers_a"}).join(parts, "a")
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     right = right.join(sequences.withColumnsRenamed({"digest": "b", "kmers": "kmers_b"}), "b")
-    return right.join(left, ["a", "part"]).select("a", "b", "kmers_a", "kmers_b").mapInArrow(rows, "a binary, b binary, similarity double")
+    return right.join(left, ["a", "part"]).select("a", "b", "star", "kmers_a", "kmers_b").mapInArrow(rows, "a binary, b binary, similarity double, marks_a array<long>, marks_b array<long>")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -245,6 +282,7 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b, similarity) of digests that were compared; those at ``SIMILARITY`` or above are the links."""
+    nothing = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
     exploded = nodes.select("digest", "n", F.explode("sketches").alias("sketch"))
     exploded = exploded.select("digest", "n", F.array("sketch").alias("shared")).withColumn("bucket", F.xxhash64("shared"))
     sizes = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -253,63 +291,67 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = stage(members.drop("size").join(typical, "digest"), "rest")
     sequences = stage(_sequences(docs, typical.join(nodes, "digest").select("digest", "text_key", "id_key")), "kmers")
 
-    tested, tried = None, []
+    # ``component``: the smallest digest that links so far have joined a text to. ``star``: one centre for the bucket.
+    # ``mates``: texts of its component in the bucket; who has fewest is a centre first, and meets all the others at once.
+    rest = stage(rest.withColumns({"component": F.col("digest"), "star": F.lit(True), "mates": F.lit(1).cast("long")}), "rest")
+    tested = None
     while not rest.isEmpty():
-        # One centre at first, as most of a large bucket is alike; then one of each of several parts.
-        parts = CENTRES if tried else 1
-        centres = rest.groupBy("bucket", F.pmod(F.xxhash64("digest"), F.lit(parts)).alias("part")).agg(
-            F.max(F.struct("typical", "digest", "n")).alias("c"))
-        centres = centres.select("bucket", F.col("c.digest").alias("centre"), F.col("c.n").alias("centre_n"))
-        rays = stage(rest.join(centres, "bucket"), "rays")
-        near = F.least("n", "centre_n") >= SIMILARITY * F.greatest("n", "centre_n") - 1e-9
-        pairs = rays.where(near & (F.col("digest") != F.col("centre"))).select(*_ordered(F.col("centre"), F.col("digest"))).distinct()
+        part = F.when(F.col("star") & (F.size("shared") < MAX_SHARED), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("digest"), F.lit(CENTRES)))
+        centres = rest.groupBy("bucket", part.alias("part")).agg(F.max(F.struct(-F.col("mates"), "typical", "digest", "n", "component")).alias("c"))
+        centres = centres.select("bucket", *(F.col(f"c.{c}").alias(n) for c, n in (
+            ("digest", "centre"), ("n", "centre_n"), ("typical", "centre_typical"), ("component", "centre_component"))))
+        own = F.col("digest") == F.col("centre")
+        rays = rest.join(centres, "bucket").where(own | (F.col("component") != F.col("centre_component")))
+        rays = stage(rays.select("bucket", "digest", "n", "typical", "star", (F.size("shared") == 0).alias("apart"), "centre", "centre_n", "centre_typical"), "rays")
+        near = F.least("n", "centre_n") >= APART[0] * F.greatest("n", "centre_n")
+        pairs = rays.where(near & ~own).select(*_ordered(F.col("centre"), F.col("digest")), "star").groupBy("a", "b").agg(F.max("star").alias("star"))
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = stage(_compared(stage(pairs, "pairs"), sequences), "compared")
         tested = now if tested is None else tested.unionByName(now)
-        seen = rays.select("*", *_ordered(F.col("centre"), F.col("digest"))).join(tested, ["a", "b"], "left").drop("a", "b")
-        own = F.col("digest") == F.col("centre")
+        # Marks come with the round that compares a pair; its similarity counts wherever the pair meets again.
+        seen = rays.select("*", *_ordered(F.col("centre"), F.col("digest"))).join(tested.select("a", "b", "similarity"), ["a", "b"], "left")
+        seen = seen.join(now.drop("similarity"), ["a", "b"], "left")
+        mark = F.when(F.col("digest") == F.col("a"), F.col("marks_a")).otherwise(F.col("marks_b"))
+        seen = seen.withColumn("marks", mark).drop("a", "b", "marks_a", "marks_b")
         seen = stage(seen.withColumn("similarity", F.when(own, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0)))), "seen")
-        tried.append(seen.where(~own))
-        best = seen.groupBy("bucket", "digest").agg(
-            F.max("similarity").alias("best"), *(F.first(c).alias(c) for c in ("n", "shared", "typical")))
-        rest = stage(_split(best.where(F.col("best") < SIMILARITY).drop("best"), nodes), "rest")
-    if tested is None:
-        return docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-
-    # Texts that a centre is nearly similar to, against what it is linked to, unless they are joined already.
-    label = stage(components(tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "labels")
-    rays = tried[0]
-    for one in tried[1:]:
-        rays = rays.unionByName(one)
-    nearly = rays.where((F.col("similarity") >= 2 * SIMILARITY - 1 - 1e-9) & (F.col("similarity") < SIMILARITY))
-    root = lambda name: label.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    apart = nearly.join(root("digest"), "digest", "left").join(root("centre"), "centre", "left")
-    apart = apart.where(~F.coalesce("digest_root", "digest").eqNullSafe(F.coalesce("centre_root", "centre")))
-    linked = rays.where(F.col("similarity") >= SIMILARITY).select("bucket", "centre", F.col("digest").alias("other"), F.col("n").alias("other_n"))
-    more = apart.join(linked, ["bucket", "centre"])
-    near = F.least("n", "other_n") >= SIMILARITY * F.greatest("n", "other_n") - 1e-9
-    more = more.where(near).select(*_ordered(F.col("digest"), F.col("other"))).distinct()
-    more = stage(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return tested
-    return tested.unionByName(stage(_compared(more, sequences), "compared"))
-
-
-def _split(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``rest`` with company in their bucket; large buckets are dealt out anew by one more common sketch."""
-    rest = stage(rest, "left")
-    counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    counted = rest.join(counts, "bucket")
-    large = (F.col("size") > LARGE_REST) & (F.size("shared") < MAX_SHARED)
+        label = stage(components(tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "labels")
+        old, rest = rest, stage(_rest(rest, seen, label, nodes), "rest")
+        release(old, rays, seen, label)
+    release(members, typical, sequences)
+    return tested.select("a", "b", "similarity") if tested is not None else nothing
+
+
+def _rest(rest: DataFrame, seen: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets of the next round: what has not met all of its bucket, and what was near a large one's centre, by its new marks."""
+    columns = ["bucket", "digest", "n", "shared", "typical", "component"]
+    met = F.when(F.col("star"), F.col("similarity") >= FAR).otherwise(F.col("digest") == F.col("centre"))
+    far = rest.where(~F.col("star") | (F.size("shared") > 0)).join(seen.where(met).select("bucket", "digest").distinct(), ["bucket", "digest"], "left_anti").drop("component", "star", "mates")
+    near = seen.where(F.col("star") & ~F.col("apart") & (F.size("marks") > 0)).groupBy("centre", "digest").agg(
+        *(F.first(c).alias(c) for c in ("n", "typical", "marks", "centre_typical")))
+    # Against the most typical of the centres that a text has met: a text has at most one for each sketch.
+    best = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("centre_typical"), "centre"))
+    near = near.withColumn("best", best).where(F.col("best") <= AGAINST)
+    near = near.select("centre", "digest", "n", "typical", F.posexplode("marks").alias("place", "mark"))
+    near = near.select(F.xxhash64("centre", "place", "mark").alias("bucket"), "digest", "n", F.array().cast("array<long>").alias("shared"), "typical")
+    root = label.select(F.col("node").alias("digest"), F.col("root"))
+    left = far.unionByName(near).join(root, "digest", "left").withColumn("component", F.coalesce("root", "digest")).drop("root")
+    left = stage(left, "left")
+    # What is in one class already has nothing left to find.
+    counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counted = left.join(counts.where("low != high"), "bucket")
+    large = (F.col("size") > LARGE_REST) & (F.size("shared") > 0) & (F.size("shared") < MAX_SHARED)
     wide = counted.where(large).join(nodes.select("digest", F.explode("sketches").alias("other")), "digest")
     wide = wide.where(~F.array_contains("shared", F.col("other")))
     wide = wide.withColumn("shared", F.array_sort(F.array_append("shared", F.col("other"))))
-    columns = ["bucket", "digest", "n", "shared", "typical"]
     # The same set of sketches is reached in several orders; one bucket of it is enough.
-    wide = wide.withColumn("bucket", F.xxhash64("shared")).select(columns).dropDuplicates(["bucket", "digest"])
-    alone = wide.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    return counted.where(~large).select(columns).unionByName(wide.join(alone, "bucket").select(columns))
+    wide = wide.withColumn("bucket", F.xxhash64("shared")).groupBy("bucket", "digest").agg(*(F.first(c).alias(c) for c in columns[2:]))
+    sizes = wide.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    wide = wide.join(sizes.where("low != high"), "bucket")
+    star = (F.col("size") > LARGE_REST).alias("star")
+    out = stage(counted.where(~large).select(*columns, star).unionByName(wide.select(*columns, star)), "dealt")
+    mates = out.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("mates"))
+    return out.join(mates, ["bucket", "component"])
 
 
 def components(edges: DataFrame) -> DataFrame:
