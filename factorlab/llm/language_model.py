@@ -43,19 +43,20 @@ from pyspark.sql import DataFrame, functions as F
 from ..staging import release, stage
 from .words import LOWER, NONBLANK, crc_remainder, list_column, pieces, span_hashes, spans, text_bytes
 
-CONTEXT = 6
+CONTEXT = 5
 BURN_IN, SAMPLES = 3, 3
 # By length of the context.
-DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.8)
+DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8)
 STRENGTH = (1.0,) * (CONTEXT + 1)
 EXACT = 30
 # Dishes of the model that a task is given at once; a larger model is gone through in parts.
-PART_DISHES = 2_000_000
+PART_DISHES = 1_000_000
 # Text bytes that a bucket of the vocabulary is sized for.
 BUCKET_BYTES = 8 << 20
 BLANK, END = 0x20, 0x0A
 _END_KEY = np.uint64(0x0E17D0F7EC7ED001)
-_SLICE = 1 << 19
+PART_BYTES = 1 << 20
+_SLICE = 1 << 18
 
 
 # --- texts ----------------------------------------------------------------
@@ -78,6 +79,12 @@ def _of(batch: pa.RecordBatch | pa.Table, name: str, k: int) -> pa.Array:
     return batch.column(name)[k].values
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in turns of about PART_BYTES, as characters take more room than words."""
+    for batch in pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), size=PART_BYTES):
+        yield batch.column(0)
+
+
 def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted different keys of words and end, which of them each word is, words before each row, place of the end)."""
     data, offsets = text_bytes(texts)
@@ -405,10 +412,11 @@ def counted(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 train = pa.compute.invert(_of(batch, "held_out", k))
-                text, places, _ = symbols(_of(batch, "texts", k).filter(train))
-                own, n = np.unique(grams(text, places), return_counts=True)
-                keys, which = np.unique(np.concatenate((keys, own)), return_inverse=True)
-                counts = np.bincount(which, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+                for texts in _parts(_of(batch, "texts", k).filter(train)):
+                    text, places, _ = symbols(texts)
+                    own, n = np.unique(grams(text, places), return_counts=True)
+                    keys, which = np.unique(np.concatenate((keys, own)), return_inverse=True)
+                    counts = np.bincount(which, np.concatenate((counts, n)), len(keys)).astype(np.int64)
                 if len(keys) > PART_DISHES:
                     yield out()
                     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -472,13 +480,16 @@ def model_scores(chunks: DataFrame, state: DataFrame, upper: np.ndarray) -> Data
             model: Model = shared.value
             for batch in batches:
                 for k in range(batch.num_rows):
-                    text, places, offsets = symbols(_of(batch, "texts", k))
-                    logs = np.zeros(len(places))
-                    for begin in range(0, len(places), _SLICE):
-                        keys = grams(text, places[begin:begin + _SLICE])
-                        own = np.flatnonzero(model.shards[(keys >> 8) & 0xFFFF]) if not everything else np.arange(len(keys))
-                        logs[begin + own] = model.log10(keys[own])
-                    sums = np.add.reduceat(logs, offsets[:-1])  # every row has its end symbol
+                    sums = []
+                    for texts in _parts(_of(batch, "texts", k)):
+                        text, places, offsets = symbols(texts)
+                        logs = np.zeros(len(places))
+                        for begin in range(0, len(places), _SLICE):
+                            keys = grams(text, places[begin:begin + _SLICE])
+                            own = np.arange(len(keys)) if everything else np.flatnonzero(model.shards[(keys >> 8) & 0xFFFF])
+                            logs[begin + own] = model.log10(keys[own])
+                        sums.append(np.add.reduceat(logs, offsets[:-1]))  # every row has its end symbol
+                    sums = np.concatenate(sums)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(sums), batch.column("chunk")[k].as_py())), pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)],
                         ["chunk", "place", "score"])
