@@ -37,9 +37,9 @@ from .words import pieces, span_hashes, text_bytes
 
 END_ID = 2
 # Ids of a file, at which the next one is begun.
-FILE_IDS = 8_000_000
-# Pieces of text whose ids a worker remembers.
-MEMO = 300_000
+FILE_IDS = 2_000_000
+# Bytes of text worked on at once, units encoded in one call, and units whose ids a worker remembers.
+PIECE_BYTES, CALL_UNITS, MEMO = 1 << 20, 10_000, 200_000
 MAGIC = b"DACIDS01"
 _BLOCK = 512  # bits of a directory entry
 
@@ -188,9 +188,11 @@ class Encoder:
             self.memo = {}
         new = [j for j, key in enumerate(keys) if key not in self.memo]
         raw = data.tobytes()
-        texts = [raw[starts[first[j]]:stops[first[j]]].decode() for j in new]
-        for j, found in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.memo[keys[j]] = np.array(found.ids, np.uint32)
+        for begin in range(0, len(new), CALL_UNITS):
+            call = new[begin:begin + CALL_UNITS]
+            texts = [raw[starts[first[j]]:stops[first[j]]].decode() for j in call]
+            for j, found in zip(call, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                self.memo[keys[j]] = np.array(found.ids, np.uint32)
         known = [self.memo[key] for key in keys]
         sizes = np.array([len(x) for x in known], np.int64)
         flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
@@ -244,7 +246,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
                 "n_docs": [len(sizes)], "n_ids": [len(ids)]})
 
         size = 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=PIECE_BYTES):
             ids, starts = encoder.ids(batch.column("text"), end_id)
             doc_ids = batch.column("doc_id")
             null = np.asarray(doc_ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
