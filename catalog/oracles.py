@@ -664,11 +664,10 @@ def strict_outcomes(final: str) -> str:
 
 
 def limited_pti() -> str:
-    """PF4: the universe's first 1500 symbols."""
+    """PF4: the whole universe of the period."""
     parts = [
         CHARACTERISTICS, MEMBERSHIP, price_rows("all_prices", "daily"),
-        f"""universe AS (SELECT DISTINCT symbol FROM membership WHERE date BETWEEN DATE '{START}' AND DATE '{END}'
-  ORDER BY symbol LIMIT 1500),
+        f"""universe AS (SELECT DISTINCT symbol FROM membership WHERE date BETWEEN DATE '{START}' AND DATE '{END}'),
 prices AS (SELECT * FROM all_prices WHERE ticker IN (SELECT symbol FROM universe))""",
         MONTHLY, GRID, lookback_rows((12,)), FORMATIONS, history(0.6), ELIGIBLE, outcomes(0.6, 1),
     ]
@@ -679,7 +678,7 @@ def limited_extremes() -> str:
     parts = [
         CHARACTERISTICS, MEMBERSHIP, price_rows("all_prices", "daily"),
         f"""universe AS (SELECT symbol, min(date) AS seen FROM membership WHERE date BETWEEN DATE '{START}' AND DATE '{END}'
-  GROUP BY 1 ORDER BY seen, symbol LIMIT 100),
+  GROUP BY 1),
 prices AS (SELECT * FROM all_prices WHERE ticker IN (SELECT symbol FROM universe))""",
         MONTHLY, GRID, TRAILING, trailing_signals(), extremes(20),
     ]

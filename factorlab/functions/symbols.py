@@ -61,8 +61,8 @@ def normal(symbol: str | Column) -> Column:
     return F.regexp_replace(F.upper(text), r"^\s+|\s+$", "")
 
 
-def clean_symbol(symbol: str | Column) -> Column:
-    """Canonical form of a raw symbol (SC1)."""
+def clean_symbol(symbol: str | Column, cut: bool = True) -> Column:
+    """Canonical form of a raw symbol (SC1); ``cut`` shortens one of more than eight characters to five."""
     raw = normal(symbol)
     renames = F.create_map(*[F.lit(text) for pair in CLEAN_RENAMES.items() for text in pair])
     text = F.regexp_replace(raw, r"\.([AB])$", "-$1")
@@ -70,7 +70,8 @@ def clean_symbol(symbol: str | Column) -> Column:
     text = F.regexp_replace(text, r"\s+CLASS\s+[AB]$", "")
     text = F.regexp_replace(text, r"\.", "-")
     text = F.regexp_replace(text, r"[^A-Z0-9\-]", "")
-    shortened = F.when(F.length(text) > 8, F.substring(text, 1, 5)).otherwise(text)
+    # The patterns above and the two lengths are fixed values.
+    shortened = F.when(F.length(text) > 8, F.substring(text, 1, 5)).otherwise(text) if cut else text
     return F.coalesce(F.try_element_at(renames, raw), shortened)
 
 

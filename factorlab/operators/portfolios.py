@@ -10,6 +10,7 @@ from ..functions.dates import first_of_month, month_grid, shift_months
 from ..functions.stats import annual_return, annual_vol, at_least, ratio
 from ..schemas import LONG_SHORT, PORTFOLIOS, QUINTILES
 from ..sources.constituents import first_symbols, universe_for_period, universe_in_order
+from ..sources.prices import sound_prices
 from ..staging import stage
 from .ranking import rank_within
 from .returns import dense_months, monthly_returns
@@ -290,18 +291,18 @@ def quintiles_from_prices(
     end: dt.date,
     min_coverage: float = 0.7,
     min_per_quintile: int = 8,
-    max_tickers: int | None = 1500,
+    max_tickers: int | None = None,
     method: str = "monthly12",
     **options,
 ) -> DataFrame:
     """Universe, returns and point-in-time quintiles in one call (PF4).
 
-    ``max_tickers`` keeps the first symbols of the sorted universe; ``None`` keeps all.
+    All symbols take part; ``max_tickers`` keeps the first of the sorted universe.
     """
     universe = universe_for_period(membership, start, end)
     if max_tickers is not None:
         universe = first_symbols(universe, max_tickers)
-    chosen = prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
+    chosen = sound_prices(prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi"))
     return quintiles_pti(
         monthly_returns(chosen, start, end), start, end, membership=membership, prices=chosen,
         min_coverage=min_coverage, min_per_quintile=min_per_quintile, method=method, **options,
@@ -313,15 +314,15 @@ def extremes_from_prices(
     membership: DataFrame,
     start: dt.date,
     end: dt.date,
-    max_tickers: int | None = 100,
+    max_tickers: int | None = None,
     size: int = 20,
 ) -> DataFrame:
     """Universe, returns and extreme portfolios in one call (PF5).
 
-    The universe keeps the order in which symbols first appear.
+    All symbols take part; ``max_tickers`` keeps the first in order of appearance.
     """
     universe = universe_in_order(membership, start, end)
     if max_tickers is not None:
         universe = universe.limit(max_tickers)
-    chosen = prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
+    chosen = sound_prices(prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi"))
     return extreme_portfolios(monthly_returns(chosen, start, end), start, end, size=size)

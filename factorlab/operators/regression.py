@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.distributions import t_two_sided
 from ..functions.stats import monthly_sharpe, significance, verdict
 from ..schemas import FACTORS, MODELS, missing_columns, require_columns
+from ..staging import stage
 from .sizing import broadcast_if_small
 
 MIN_MONTHS = 12  # fixed value: fewer complete months give no regression
@@ -205,6 +206,7 @@ def newey_west(design: DataFrame, fitted: DataFrame, keys: list[str], lags: int
     if nw_scale not in ("textbook", "reference"):
         raise ValueError(f"unknown nw_scale {nw_scale}")
     xs = _regressors(design)
+    fitted = stage(fitted, "fitted")  # a row for each fit; residuals and the last join read it
     ordered = Window.partitionBy(*keys).orderBy("date")
     rows = _with_residual(design, fitted, keys).withColumn("s0", F.col("_e"))
     for i, x in enumerate(xs, start=1):

@@ -19,10 +19,10 @@ from ..operators.regression import (
 )
 from ..operators.returns import monthly_returns
 from ..operators.robustness import lookback_correlations, subperiod_performance
-from ..schemas import QUINTILES, require_columns
+from ..schemas import MODELS, QUINTILES, missing_columns, require_columns
 from ..sources.constituents import custom_universe, universe_for_period
 from ..sources.factors import factors_for_period
-from ..sources.prices import acquire_prices
+from ..sources.prices import acquire_prices, sound_prices
 from ..staging import stage
 from .reports import (
     final_summary, report_table, results_document, write_json, write_portfolio_csv,
@@ -70,7 +70,7 @@ def load_universe_prices(
         raise ValueError("give an index membership or a list of tickers")
     wanted = universe.select(F.col("symbol").alias("ticker"))
     return stage(
-        acquire_prices(wanted, prices, config.start, config.end).select("ticker", "date", "price"),
+        sound_prices(acquire_prices(wanted, prices, config.start, config.end).select("ticker", "date", "price")),
         "prices",
     )
 
@@ -109,7 +109,8 @@ def run_analysis(
     if factors is not None and config.models:
         in_range = factors_for_period(factors, config.start, config.end)
         design = design_rows(align_by_date(long, in_range), SERIES, list(config.models))
-        fitted = fit(design, [*SERIES, "model"])
+        # A row for each series and model, solved once for all that reads it.
+        fitted = stage(fit(design, [*SERIES, "model"]), "fitted")
         results = describe(fitted, SERIES)
         resid = residuals(design, fitted, [*SERIES, "model"])
         tables["regressions"] = results
@@ -118,9 +119,7 @@ def run_analysis(
         tables["alphas"] = alpha_analysis(
             long, in_range, SERIES, models=list(config.models), thesis=config.thesis
         )
-        tables["joint_test"] = grs_test(
-            results, resid, in_range, QUINTILES, config.models[-1], ["lookback"]
-        )
+        tables["joint_test"] = joint_tests(results, resid, in_range, config)
     if config.run_series:
         tables["cumulative"] = growth_path(long, SERIES)
         tables["drawdowns"] = drawdown_series(long, SERIES)
@@ -142,6 +141,31 @@ def run_analysis(
     return tables
 
 
+def joint_tests(
+    results: DataFrame, resid: DataFrame, factors: DataFrame, config: AnalysisConfig
+) -> DataFrame:
+    """The joint test of every model, by lookback and model.
+
+    A model that lacks a factor has a row with status ``missing_factors`` and no
+    figures, as it has no fit; the others are tested.
+    """
+    usable = [m for m in config.models if not missing_columns(factors, MODELS[m])]
+    tests = [
+        grs_test(results, resid, factors, QUINTILES, m, ["lookback"]).withColumn("model", F.lit(m))
+        for m in usable
+    ]
+    lookbacks = results.sparkSession.createDataFrame([(x,) for x in config.lookbacks], "lookback int")
+    for m in config.models:
+        if m not in usable:
+            tests.append(lookbacks.select(
+                F.col("lookback").cast(results.schema["lookback"].dataType).alias("lookback"),
+                F.lit("missing_factors").alias("status"), F.lit(m).alias("model")))
+    out = tests[0]
+    for test in tests[1:]:
+        out = out.unionByName(test, allowMissingColumns=True)
+    return out
+
+
 def save(tables: dict[str, DataFrame], config: AnalysisConfig) -> None:
     """Write the study under ``output_dir/<start>_to_<end>`` (SNK3-SNK7)."""
     base = f"{config.output_dir}/{config.start}_to_{config.end}"
@@ -151,7 +175,7 @@ def save(tables: dict[str, DataFrame], config: AnalysisConfig) -> None:
         write_json(tables["document"], f"{base}/results")
     if "report" in config.output_formats:
         write_json(tables["report"], f"{base}/report")
-    for name in ("subperiods", "rolling_summary", "lookback_correlations", "summary"):
+    for name in ("subperiods", "rolling", "rolling_summary", "lookback_correlations", "summary"):
         if name in tables:
             write_json(tables[name], f"{base}/{name}")
 

@@ -52,11 +52,14 @@ def constituent_profile(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def explode_members(snapshots: DataFrame, clean: bool = True) -> DataFrame:
-    """Long membership ``(date, symbol)`` under canonical symbols, without duplicates."""
+def explode_members(snapshots: DataFrame, clean: bool = True, cut: bool = False) -> DataFrame:
+    """Long membership ``(date, symbol)`` under canonical symbols, without duplicates.
+
+    Long symbols stay whole unless ``cut``: two of them must not become one member.
+    """
     raw = snapshots.select("date", F.explode("tickers").alias("symbol"))
     if clean:
-        raw = raw.withColumn("symbol", clean_symbol("symbol"))
+        raw = raw.withColumn("symbol", clean_symbol("symbol", cut))
     return raw.distinct()
 
 
@@ -94,10 +97,10 @@ def universe_from_raw(raw: DataFrame, start: dt.date, end: dt.date) -> DataFrame
     )
 
 
-def custom_universe(symbols: DataFrame, clean: bool = True) -> DataFrame:
-    """A caller's own one-column list in place of the index (UNI4)."""
+def custom_universe(symbols: DataFrame, clean: bool = True, cut: bool = False) -> DataFrame:
+    """A caller's own one-column list in place of the index (UNI4); long symbols stay whole unless ``cut``."""
     column = symbols.columns[0]
-    chosen = clean_symbol(column) if clean else F.col(column)
+    chosen = clean_symbol(column, cut) if clean else F.col(column)
     return symbols.select(chosen.alias("symbol")).distinct()
 
 

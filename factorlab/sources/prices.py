@@ -58,6 +58,15 @@ def one_price_per_day(prices: DataFrame, arrival: str | None = None) -> DataFram
     return prices.groupBy("ticker", "date").agg(first.alias("price"))
 
 
+def sound_prices(prices: DataFrame) -> DataFrame:
+    """What every study reads: a price of each ticker and day, without missing ones (DED1).
+
+    A day without a price is as if it had not been delivered, so that a month's
+    last day may lack one without the month losing its return.
+    """
+    return one_price_per_day(prices.where(F.col("price").isNotNull()))
+
+
 def validity(prices: DataFrame) -> DataFrame:
     """First and last day and row count of each ticker (D4)."""
     return prices.groupBy("ticker").agg(

@@ -8,13 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.views import Tables, END as CAT_END, START as CAT_START
-from factorlab.operators.portfolios import eligible_signals, quintiles_pti
+from factorlab.operators.portfolios import (
+    eligible_signals, extreme_portfolios, extremes_from_prices, quintiles_pti,
+)
 from factorlab.operators.returns import monthly_returns
 from factorlab.operators.sizing import broadcast_if_small
 from factorlab.plans.analysis import (
     AnalysisConfig, joint_significance, quick_analysis, run_analysis,
 )
 from factorlab.schemas import FACTOR_TABLE
+from factorlab.sources.constituents import explode_members
 from tests.panels import END, START, months, random_prices
 
 SF = "/root/testdata/sf0.01"
@@ -39,7 +42,7 @@ def test_whole_study(spark, inputs, tmp_path):
                            lookbacks=[4, 6], min_coverage=0.6, min_per_quintile=1)
     assert sorted(map(tuple, tables["portfolios"].collect())) == sorted(map(tuple, direct.collect()))
     assert tables["performance"].count() == 12 and tables["regressions"].count() == 36
-    assert tables["alphas"].count() == 12 and tables["joint_test"].count() == 2
+    assert tables["alphas"].count() == 12 and tables["joint_test"].count() == 2 * 3
     assert tables["lookback_correlations"].first()["lb1"] == 4
     assert {r["status"] for r in tables["joint_test"].collect()} == {"ok"}
     for name in ("cumulative", "drawdowns", "rolling", "risk_return", "subperiods", "rolling_summary",
@@ -108,3 +111,36 @@ def test_broadcast_depends_on_size(spark):
     assert "ResolvedHint" in broadcast_if_small(small)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in broadcast_if_small(small, 5)._jdf.queryExecution().analyzed().toString()
     assert broadcast_if_small(small, 5).agg(F.count("*")).first()[0] == 10
+
+
+def test_study_without_five_factors(spark, inputs):
+    """Models whose factors lack are skipped with a status; the others are tested."""
+    prices, members, factors = inputs
+    config = AnalysisConfig(start=START, end=END, lookbacks=(4,), min_per_quintile=1)
+    tables = run_analysis(config, prices, factors.drop("RMW", "CMA"), members)
+    assert {r["model"]: r["status"] for r in tables["joint_test"].collect()} == {
+        "CAPM": "ok", "FF3": "ok", "FF5": "missing_factors"}
+    assert {r["model"] for r in tables["regressions"].select("model").distinct().collect()} == {"CAPM", "FF3"}
+
+
+def test_repeated_and_missing_prices_change_nothing(spark, inputs):
+    prices, members, _ = inputs
+    config = AnalysisConfig(start=START, end=END, lookbacks=(4,), min_per_quintile=1, run_series=False, run_subperiods=False, run_robustness=False)
+    twice = prices.unionByName(prices).unionByName(prices.selectExpr("ticker", "date", "CAST(NULL AS DOUBLE) AS price"))
+    once = run_analysis(config, prices, None, members)["portfolios"].collect()
+    assert sorted(map(tuple, run_analysis(config, twice, None, members)["portfolios"].collect())) == sorted(map(tuple, once))
+
+
+def test_a_universe_of_more_than_a_hundred_is_whole(spark):
+    rows = random_prices(130, seed=3, gap=0.0, steps=(3, 4))
+    prices = spark.createDataFrame(rows, "ticker string, date date, price double")
+    members = spark.createDataFrame([(START, t) for t in sorted({r[0] for r in rows})], "date date, symbol string")
+    capped = extremes_from_prices(prices, members, START, END, max_tickers=100, size=20)
+    whole = extremes_from_prices(prices, members, START, END, size=20)
+    direct = extreme_portfolios(monthly_returns(prices, START, END), START, END, size=20)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, direct.collect())) != sorted(map(tuple, capped.collect()))
+
+
+def test_long_symbols_do_not_merge(spark):
+    snapshots = spark.createDataFrame([(START, ["ABCDEFGHIJ", "ABCDEFGHIK"])], "date date, tickers array<string>")
+    assert explode_members(snapshots).count() == 2 and explode_members(snapshots, cut=True).count() == 1
