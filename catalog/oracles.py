@@ -708,7 +708,7 @@ ORACLES: dict[str, str] = {
     "universe_raw": with_(RAW, final=f"""SELECT DISTINCT trim(t) AS symbol FROM (
   SELECT unnest(string_split(tickers, ',')) AS t FROM raw WHERE CAST(date AS DATE) BETWEEN {MID})"""),
     "universe_cleaned": with_(RAW, final=f"""SELECT DISTINCT symbol, ends_with(symbol, 'Q') AS looks_extinct FROM (
-  SELECT CASE WHEN length(t) > 8 THEN left(t, 5) ELSE t END AS symbol FROM (
+  SELECT t AS symbol FROM (
     SELECT regexp_replace(upper(name), '[^A-Z0-9-]', '', 'g') AS t FROM sold WHERE CAST(month AS DATE) BETWEEN {MID}))"""),
     "universe_period": with_(*MEMBER_VIEWS, final=f"""SELECT DISTINCT symbol, ends_with(symbol, 'Q') AS looks_extinct
   FROM membership WHERE date BETWEEN {MID}"""),
