@@ -4,8 +4,8 @@ The paths of a host form a tree of segments. Level by level, under each parent,
 a segment that holds a fair share of the parent's pages stays as it is; where many
 others are left, they are variable and become one wildcard, which keeps a file
 ending. Numbers are always variable. Then, from the deepest level up, branches of one parent whose
-continuations are distributed like those of all the parent's branches, up to what
-their size lets one tell, are merged. The rules' verdicts are the labels: a
+continuations are distributed alike are merged: each is held against all branches
+that mostly go on in the same way, up to what its size lets one tell. The rules' verdicts are the labels: a
 template is rejected when its share of blocked pages among labelled ones,
 smoothed towards the share in the whole table, is high enough.
 
@@ -113,17 +113,20 @@ def _merged(templates: DataFrame, limits: Limits) -> DataFrame:
             "below": F.to_json(F.slice("merged", level + 2, DEPTH + 1))}), "branches")
         literal = rows.where(F.col("branch").startswith("="))
         own = literal.groupBy("host", "above", "branch", "below").agg(F.sum("n").alias("n"))
-        size = own.groupBy("host", "above", "branch").agg(F.sum("n").alias("size"))
-        pool = own.groupBy("host", "above", "below").agg(F.sum("n").alias("pool"))
-        whole = own.groupBy("host", "above").agg(F.sum("n").alias("whole"))
-        shares = own.join(size, ["host", "above", "branch"]).join(pool, ["host", "above", "below"]).join(whole, ["host", "above"])
+        # Branches are weighed with those that mostly go on in the same way.
+        size = own.groupBy("host", "above", "branch").agg(F.sum("n").alias("size"), F.max(F.struct("n", "below"))["below"].alias("mode"))
+        own = own.join(size, ["host", "above", "branch"])
+        group = ["host", "above", "mode"]
+        pool = own.groupBy(*group, "below").agg(F.sum("n").alias("pool"))
+        whole = own.groupBy(*group).agg(F.sum("n").alias("whole"))
+        shares = own.join(pool, [*group, "below"]).join(whole, group)
         # Total variation: what the branch has above the pool's share.
         excess = F.greatest(F.lit(0.0), F.col("n") / F.col("size") - F.col("pool") / F.col("whole"))
-        distance = shares.groupBy("host", "above", "branch").agg(F.sum(excess).alias("distance"), F.first("size").alias("size"))
+        distance = shares.groupBy(*group, "branch").agg(F.sum(excess).alias("distance"), F.first("size").alias("size"))
         alike = distance.where(F.col("distance") <= limits.distance + limits.slack / F.sqrt("size"))
         # One name for them, if there are two at least: that of the first.
-        groups = alike.groupBy("host", "above").agg(F.min("branch").alias("name"), F.count(F.lit(1)).alias("count")).where("count > 1")
-        names = alike.join(groups, ["host", "above"]).select("host", "above", "branch", F.concat(F.lit("~"), F.substring("name", 2, 1 << 30)).alias("name"))
+        groups = alike.groupBy(*group).agg(F.min("branch").alias("name"), F.count(F.lit(1)).alias("count")).where("count > 1")
+        names = alike.join(groups, group).select("host", "above", "branch", F.concat(F.lit("~"), F.substring("name", 2, 1 << 30)).alias("name"))
         rows = rows.join(names, ["host", "above", "branch"], "left")
         renamed = F.transform("merged", lambda part, i: F.when(i == level, F.coalesce("name", part)).otherwise(part))
         rows = rows.withColumn("merged", renamed).drop("above", "branch", "below", "name")
