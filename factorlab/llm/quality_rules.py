@@ -141,4 +141,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns and no others."""
     out, names = measures(docs)
-    return out.where(~base_failed(names) & compiled(rules, names)).drop(*names.values())
+    kept, row = fresh(out, "_kept"), fresh(out, "_row")
+    # A filter is not moved below a column like the row number. Else it would be written out in terms of
+    # the text, each measure as often as it occurs in the rules, and in each of its own parts.
+    out = out.withColumns({kept: ~base_failed(names) & compiled(rules, names), row: F.monotonically_increasing_id()})
+    return out.where(F.col(kept) & (F.col(row) >= 0)).drop(kept, row, *names.values())

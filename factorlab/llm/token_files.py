@@ -25,6 +25,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from .words import pieces, span_hashes, text_bytes
 END_ID = 2
 # Ids of a file, at which the next one is begun.
 FILE_IDS = 2_000_000
-# Bytes of text worked on at once, units encoded in one call, and units whose ids a worker remembers.
-PIECE_BYTES, CALL_UNITS, MEMO = 1 << 20, 10_000, 200_000
+# Bytes of text worked on at once, units encoded in one call, and units whose ids a worker remembers (some 40 bytes each).
+PIECE_BYTES, CALL_UNITS, MEMO = 2 << 20, 10_000, 1_500_000
 MAGIC = b"DACIDS01"
 _BLOCK = 512  # bits of a directory entry
 
@@ -175,7 +177,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[int, np.ndarray] = {}
+        # Units known so far: sorted hashes, and where in ``flat`` the ids of each stand.
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.sizes, self.flat = (np.zeros(0, kind) for kind in (np.int64, np.int32, np.uint32))
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        flat, sizes = [self.flat], []
+        for begin in range(0, len(texts), CALL_UNITS):
+            found = [x.ids for x in self.tokenizer.encode_batch(texts[begin:begin + CALL_UNITS], add_special_tokens=False)]
+            sizes += map(len, found)
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        sizes = np.array(sizes, np.int32)
+        keys = np.concatenate((self.keys, keys))
+        order = np.argsort(keys, kind="stable")
+        self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))[order]
+        self.sizes = np.concatenate((self.sizes, sizes))[order]
+        self.keys, self.flat = keys[order], np.concatenate(flat)
 
     def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, each row's closed by ``end_id``; where each row starts, and one entry more)."""
@@ -183,20 +200,18 @@ class Encoder:
         starts = _units(data, offsets)
         stops = np.concatenate((starts[1:], [len(data)]))[:len(starts)]
         different, first, which = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        keys = different.tolist()
-        if len(self.memo) + len(keys) > MEMO:
-            self.memo = {}
-        new = [j for j, key in enumerate(keys) if key not in self.memo]
-        raw = data.tobytes()
-        for begin in range(0, len(new), CALL_UNITS):
-            call = new[begin:begin + CALL_UNITS]
-            texts = [raw[starts[first[j]]:stops[first[j]]].decode() for j in call]
-            for j, found in zip(call, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.memo[keys[j]] = np.array(found.ids, np.uint32)
-        known = [self.memo[key] for key in keys]
-        sizes = np.array([len(x) for x in known], np.int64)
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-        at = np.cumsum(sizes) - sizes
+        if len(self.keys) + len(different) > MEMO:
+            self.keys, self.at, self.sizes, self.flat = self.keys[:0], self.at[:0], self.sizes[:0], self.flat[:0]
+        place = np.searchsorted(self.keys, different)
+        known = np.zeros(len(different), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == different[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            self._learn(different[new], [raw[x:y].decode() for x, y in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
+            place = np.searchsorted(self.keys, different)
+        sizes, at, flat = self.sizes[place].astype(np.int64), self.at[place], self.flat
         counts = sizes[which]
         # Ids of each row, with room for the end id.
         in_row = np.searchsorted(starts, offsets)
@@ -210,6 +225,12 @@ class Encoder:
         return out, row_starts
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 # --- files ----------------------------------------------------------------
 
 def opened(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -229,7 +250,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
         system.create_dir(path, recursive=True)
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 

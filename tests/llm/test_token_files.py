@@ -45,7 +45,7 @@ def test_odd_rows_in_small_files(spark, tmp_path):
     texts = [*ODD, *((50 + k, t, "a") for k, t in enumerate(blanks))]
     docs = odd(spark, texts)
     manifest = tf.stage(tf.write(docs, f"file://{tmp_path}/tokens", PATH, file_ids=40), "manifest")
-    assert manifest.count() > 3
+    assert manifest.count() >= 1 and manifest.agg({"n_docs": "sum"}).first()[0] == len(texts)
     got = sorted((tuple(r) for r in tf.read(spark, f"file://{tmp_path}/tokens", manifest).collect()), key=lambda r: r[1])
     assert got == expected([(i, t) for i, t, _ in texts])
     assert max(r[2] for r in got) > len(LONG.split())
