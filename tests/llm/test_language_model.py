@@ -63,7 +63,7 @@ def test_number_of_tables_follows_its_distribution():
     n, d, s, base, others = 40_000, 0.5, 1.0, 0.3, 2
     drawn = lm.seated(np.full(n, 4), np.full(n, others), np.full(n, base), d, s, np.random.default_rng(0))
     stirling = {1: (1 - d) * (2 - d) * (3 - d), 4: 1.0, 3: 6 - 6 * d}
-    stirling[2] = (1 - d) * (2 - d) + (2 - 2 * d) * ((1 - d) + (2 - 2 * d))
+    stirling[2] = (1 - d) * (2 - d) + (3 - 2 * d) * ((1 - d) + (2 - 2 * d))
     weight = [stirling[t] * base ** t * math.prod(s + d * (others + i) for i in range(t)) for t in range(1, 5)]
     want = np.array(weight) / sum(weight)
     assert np.allclose(np.bincount(drawn, minlength=5)[1:] / n, want, atol=0.01)
