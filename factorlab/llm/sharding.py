@@ -123,17 +123,22 @@ def _placed(rows: DataFrame, shards: int, totals: pd.DataFrame, range_: str, has
 def _first_numbers(keys: DataFrame, found: list[tuple[int, int]], totals: pd.DataFrame, shards: int) -> dict[int, int]:
     """Number of each shard's first row. Only the ranges in which a shard begins are sorted for it."""
     total = int(totals["bytes"].sum())
-    end = totals["bytes"].cumsum()
-    begin = end - totals["bytes"]
-    crossing = totals[(begin * shards // max(1, total) != (end - 1) * shards // max(1, total)) | (begin == 0) | (begin * shards % max(1, total) == 0)]
-    # A range may also begin a shard when the row before it ends beyond the shard's start.
-    wanted = sorted({r for x in crossing.index for r in (x, x + 1) if r in totals.index})
+    end = totals["bytes"].cumsum().to_numpy()
+    # A shard's first row is the first that begins at or after byte ceil(k * total / shards): it holds
+    # that byte or follows the row that does, so it is in the byte's range or the one after.
+    holds = {int(np.searchsorted(end, -(-k * total // shards), "right")) for k in range(shards)}
+    wanted = sorted({x for r in holds for x in (r, r + 1) if x in totals.index})
     ranges = totals.loc[wanted, "range"].tolist()
     ranged = keys.withColumn("range", range_of(found, F.col("hash"), F.col("id"))).where(F.col("range").isin(ranges))
     placed, shard, number = _placed(ranged, shards, totals, "range", "hash", "id", "size", ["size"])
     return {r[0]: r[1] for r in placed.groupBy(shard).agg(F.min(number)).collect()}
 
 
+def _slot(number: Column, first: str) -> Column:
+    """Number of a row within its shard; a shard without a first number is an error, never a lost row."""
+    return number - F.coalesce(F.col(first), F.raise_error(F.lit("a shard has no first row")).cast("long"))
+
+
 def laid_out(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``shard``, ``slot`` (0, 1, ... within the shard), ``size`` and ``text_crc32``.
 
@@ -152,8 +157,8 @@ def laid_out(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.withColumn(inner["range"], range_of(found, F.col(inner["hash"]), F.col(inner["id"])))
     placed, shard, number = _placed(rows, shards, totals, inner["range"], inner["hash"], inner["id"], names["size"], [names["size"], names["text_crc32"]])
     starts = rows.sparkSession.createDataFrame(list(firsts.items()), f"`{shard}` int, `{inner['first']}` long")
-    out = placed.join(F.broadcast(starts), shard)  # a row for each shard
-    out = out.withColumns({names["shard"]: F.col(shard), names["slot"]: F.col(number) - F.col(inner["first"])})
+    out = placed.join(F.broadcast(starts), shard, "left")  # a row for each shard
+    out = out.withColumns({names["shard"]: F.col(shard), names["slot"]: _slot(F.col(number), inner["first"])})
     return out.select(*docs.columns, *names.values())
 
 
@@ -169,6 +174,6 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = narrow.withColumn("range", range_of(found, F.col("hash"), F.col("id")))
     placed, shard, number = _placed(rows, shards, totals, "range", "hash", "id", "size", ["size", "text_crc32"])
     starts = narrow.sparkSession.createDataFrame(list(firsts.items()), f"`{shard}` int, first long")
-    return placed.join(F.broadcast(starts), shard).select(
+    return placed.join(F.broadcast(starts), shard, "left").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col(shard).alias("shard"),
-        (F.col(number) - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        _slot(F.col(number), "first").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

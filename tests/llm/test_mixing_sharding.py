@@ -86,3 +86,18 @@ def test_overfull_ranges_are_split(spark, monkeypatch):
 def test_fewer_rows_than_shards(spark):
     rows = sharding.assigned(odd(spark, ODD[:3]), 8).collect()
     assert len(rows) == 3 and all(0 <= r.shard < 8 for r in rows)
+
+
+@pytest.mark.parametrize("texts", [[""] * 3, [None] * 12, ["", None] * 50, [prose(k, 1)[:k % 9] for k in range(100)]])
+def test_short_texts_keep_every_row_and_slot(spark, texts):
+    docs = odd(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    total, at = sum(len(t or "") + 1 for t in texts), 0
+    rows = sharding.assigned(docs, 8).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    for r in sorted(rows, key=lambda r: (r.shard, r.slot)):
+        assert r.shard == at * 8 // total
+        at += r.size
+    out = sharding.laid_out(docs, 8)
+    assert Counter((r.doc_id, r["shard_"], r["slot_"]) for r in out.collect()) == Counter((r.doc_id, r.shard, r.slot) for r in rows)
