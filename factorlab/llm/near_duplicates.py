@@ -8,30 +8,22 @@ taken and kept in text order: two texts share such a sketch if they share these
 k-mers in the same order, which follows edit similarity rather than set overlap.
 
 Texts with a common sketch form a bucket. A bucket's most typical text, the one
-whose sketches are the most common, is compared with all others there. Those
-below 0.5 form the rest, which goes round again; a rest above ``LARGE_REST`` is
-first split by a second common sketch, then a third. In a rest of up to
-``LARGE_REST`` texts every one becomes a centre in its turn.
-
-Those from 0.3 to 0.95 may be linked with each other, and a large group of edited
-copies would have them compared in all pairs. So they are sketched again, by
-what sets them apart: by the k-mers that they have and the centre has not (or,
-where these are few, by those that only the centre has). Copies with edits of
-their own share nothing there; copies of a copy do: texts at 0.8 that are both
-below 0.8 with the centre have at least a third of this in common. These sketches
-are buckets for the next rounds: up to ``LARGE_REST`` texts are all compared; more
-(what many edits have in common says little) are compared with one centre, and
-left to their other marks. Buckets within one class are left out. A round costs
-its buckets' sizes, never all their pairs.
+whose sketches are the most common, is compared with all others there; links
+found so join texts to components. Then every two texts of a bucket that are of
+different components meet, however large the bucket is: what they have in common in
+any order is counted for a block of texts at once, and those that could reach
+``SIMILARITY`` by it are aligned. A bucket above ``BLOCK`` texts is cut into blocks
+by length and hash, and each two blocks whose lengths allow a link meet in a task
+of their own. So no pair of a bucket is left out. The price is that the counting,
+some 40 ns a pair, grows with the square of a bucket that holds several components.
 
 Two texts are linked when an alignment of their k-mer sequences matches m of na
 and nb k-mers with m / (na + nb - m) >= ``SIMILARITY``. That is Jaccard similarity
 with order. The band is (na + nb) / 9 wide: an alignment outside cannot reach 0.8.
-1 minus this similarity is a metric, so texts below 0.3 with a centre cannot be
-linked to those above 0.5. Classes are the connected components of the links.
+Classes are the connected components of the links.
 
 Recall: at similarity 0.8 a sketch agrees with probability of about 0.5, and at
-least one of 16 does with 0.99998.
+least one of 16 does with 0.99998. Within a bucket nothing is lost.
 
 Defined results for odd input: texts with the same words are copies; texts
 without words are copies when their bytes are equal; a null text is an empty
@@ -42,11 +34,12 @@ one. Extra columns pass through ``deduplicated`` unread.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import release, stage
 from .words import fresh, hashed_words, mix, pieces, span_hashes, text_bytes
@@ -54,15 +47,12 @@ from .words import fresh, hashed_words, mix, pieces, span_hashes, text_bytes
 K = 5
 SIMILARITY = 0.8
 SKETCHES, SAMPLED = 16, 3
-# Centres of a bucket in each round but the first.
-CENTRES = 8
-LARGE_REST = 24
-# Sketches that name a bucket at most, after splits.
-MAX_SHARED = 3
-# Similarities with a centre below which a text stays in the bucket's rest, and between which it is sketched again.
-FAR, APART = 0.5, (0.3, 0.95)
-# Centres that a text is sketched against.
-AGAINST = 2
+# Texts of a block, and its k-mers about: what a task holds twice.
+BLOCK, BLOCK_KMERS = 1024, 1 << 20
+# Lengths of a class differ by less than this factor; a link spans two classes more at most.
+LENGTHS, SPAN = 1.12, 2
+# Texts with a k-mer up to which their pairs are listed; above, they are a column of a matrix product.
+LISTED, COLUMNS = 16, 2048
 # Comparisons with one centre in one task.
 PER_TASK = 200
 
@@ -237,43 +227,62 @@ def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("digest", "text").mapInArrow(rows, "digest binary, kmers binary")
 
 
-def marks(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each of two texts: MinHash of what it has and the other has not; of the reverse where that is much more."""
-    x, y = (labelled(k.astype(np.uint64), np.array([0, len(k)])) for k in (a, b))
-    only_x, only_y = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+def in_common(sequences: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers, in any order, each two texts have in common: no alignment matches more."""
+    n, sizes = len(sequences), np.array([len(x) for x in sequences])
+    names = labelled(np.concatenate(sequences).astype(np.uint64), np.concatenate(([0], np.cumsum(sizes))))
+    order = np.argsort(names, kind="stable")
+    rows = np.repeat(np.arange(n), sizes)[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(names[order]) != 0)))
+    held = np.diff(np.append(first, len(names)))
+    out = np.zeros((n, n), np.float32)
+    for t in range(2, min(LISTED, n) + 1):
+        begin = first[held == t]
+        for k in range(0, len(begin), 1 << 15):
+            who = rows[begin[k:k + (1 << 15), None] + np.arange(t)]
+            out += np.bincount((who[:, :, None] * n + who[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+    often = np.flatnonzero(held > LISTED)
+    for k in range(0, len(often), COLUMNS):
+        some = often[k:k + COLUMNS]
+        has = np.zeros((n, len(some)), np.float32)
+        for j, x in enumerate(some.tolist()):
+            has[rows[first[x]:first[x] + held[x]], j] = 1
+        out += has @ has.T
+    return out
 
-    def hashed(more: np.ndarray, less: np.ndarray) -> list[int]:
-        apart = mix(less ^ _SEEDS[60]) if 4 * len(more) < len(less) else more
-        return mix(apart[:, None] ^ _SEEDS[None, :SKETCHES]).min(axis=0).view(np.int64).tolist() if len(apart) else []
 
-    return hashed(only_x, only_y), hashed(only_y, only_x)
+def joined(sequences: list[np.ndarray], component: list, block: np.ndarray) -> list[tuple[int, int, float]]:
+    """Links that join all components of these texts which a link joins; of two blocks, only links between them."""
+    common, sizes = in_common(sequences), np.array([len(x) for x in sequences])
+    _, root = np.unique(component, return_inverse=True)
+    able = np.triu(common >= SIMILARITY * (sizes[:, None] + sizes[None, :] - common) - 1e-3, 1) & (root[:, None] != root[None, :])
+    if block.any() and not block.all():
+        able &= block[:, None] != block[None, :]
+    x, y = np.nonzero(able)
+    # The most alike first, as they join the most.
+    best = np.argsort(-(common[x, y] / (sizes[x] + sizes[y] - common[x, y])), kind="stable")
+    out = []
+    for i, j in zip(x[best].tolist(), y[best].tolist(), strict=True):
+        if root[i] != root[j] and (value := aligned(sequences[i], sequences[j])) >= SIMILARITY:
+            out.append((i, j, value))
+            root[root == root[j]] = root[i]
+    return out
 
 
 def _compared(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, star) with their similarity, and with marks of each against the other where ``star`` and ``APART`` want them.
-
-    A text of many pairs is sent to several tasks, in parts.
-    """
+    """``pairs`` (a, b) with their similarity. A text of many pairs is sent to several tasks, in parts."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, marks_a, marks_b = [], [], []
-            for x, y, star in zip(batch.column("kmers_a"), batch.column("kmers_b"), batch.column("star").to_pylist(), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                values.append(aligned(p, q))
-                of_a, of_b = marks(p, q) if star and APART[0] <= values[-1] <= APART[1] else (None, None)
-                marks_a.append(of_a)
-                marks_b.append(of_b)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(values, pa.float64()), pa.array(marks_a, longs), pa.array(marks_b, longs)],
-                ["a", "b", "similarity", "marks_a", "marks_b"])
+            values = [aligned(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32))
+                      for x, y in zip(batch.column("kmers_a"), batch.column("kmers_b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(values, pa.float64())], ["a", "b", "similarity"])
 
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
     left = sequences.withColumnsRenamed({"digest": "a", "kmers": "kmers_a"}).join(parts, "a")
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     right = right.join(sequences.withColumnsRenamed({"digest": "b", "kmers": "kmers_b"}), "b")
-    return right.join(left, ["a", "part"]).select("a", "b", "star", "kmers_a", "kmers_b").mapInArrow(rows, "a binary, b binary, similarity double, marks_a array<long>, marks_b array<long>")
+    return right.join(left, ["a", "part"]).select("a", "b", "kmers_a", "kmers_b").mapInArrow(rows, "a binary, b binary, similarity double")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -281,77 +290,65 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, similarity) of digests that were compared; those at ``SIMILARITY`` or above are the links."""
-    nothing = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-    exploded = nodes.select("digest", "n", F.explode("sketches").alias("sketch"))
-    exploded = exploded.select("digest", "n", F.array("sketch").alias("shared")).withColumn("bucket", F.xxhash64("shared"))
-    sizes = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(exploded.join(sizes, "bucket"), "members")
+    """Pairs (a, b, similarity) of digests; those at ``SIMILARITY`` or above are links, and join all that links join."""
+    members = nodes.select("digest", "n", F.explode("sketches").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stage(members.join(sizes, "bucket"), "members")
     typical = stage(members.groupBy("digest").agg(F.sum("size").alias("typical")), "typical")
     rest = stage(members.drop("size").join(typical, "digest"), "rest")
     sequences = stage(_sequences(docs, typical.join(nodes, "digest").select("digest", "text_key", "id_key")), "kmers")
 
-    # ``component``: the smallest digest that links so far have joined a text to. ``star``: one centre for the bucket.
-    # ``mates``: texts of its component in the bucket; who has fewest is a centre first, and meets all the others at once.
-    rest = stage(rest.withColumns({"component": F.col("digest"), "star": F.lit(True), "mates": F.lit(1).cast("long")}), "rest")
-    tested = None
-    while not rest.isEmpty():
-        part = F.when(F.col("star") & (F.size("shared") < MAX_SHARED), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("digest"), F.lit(CENTRES)))
-        centres = rest.groupBy("bucket", part.alias("part")).agg(F.max(F.struct(-F.col("mates"), "typical", "digest", "n", "component")).alias("c"))
-        centres = centres.select("bucket", *(F.col(f"c.{c}").alias(n) for c, n in (
-            ("digest", "centre"), ("n", "centre_n"), ("typical", "centre_typical"), ("component", "centre_component"))))
-        own = F.col("digest") == F.col("centre")
-        rays = rest.join(centres, "bucket").where(own | (F.col("component") != F.col("centre_component")))
-        rays = stage(rays.select("bucket", "digest", "n", "typical", "star", (F.size("shared") == 0).alias("apart"), "centre", "centre_n", "centre_typical"), "rays")
-        near = F.least("n", "centre_n") >= APART[0] * F.greatest("n", "centre_n")
-        pairs = rays.where(near & ~own).select(*_ordered(F.col("centre"), F.col("digest")), "star").groupBy("a", "b").agg(F.max("star").alias("star"))
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = stage(_compared(stage(pairs, "pairs"), sequences), "compared")
-        tested = now if tested is None else tested.unionByName(now)
-        # Marks come with the round that compares a pair; its similarity counts wherever the pair meets again.
-        seen = rays.select("*", *_ordered(F.col("centre"), F.col("digest"))).join(tested.select("a", "b", "similarity"), ["a", "b"], "left")
-        seen = seen.join(now.drop("similarity"), ["a", "b"], "left")
-        mark = F.when(F.col("digest") == F.col("a"), F.col("marks_a")).otherwise(F.col("marks_b"))
-        seen = seen.withColumn("marks", mark).drop("a", "b", "marks_a", "marks_b")
-        seen = stage(seen.withColumn("similarity", F.when(own, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0)))), "seen")
-        label = stage(components(tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "labels")
-        old, rest = rest, stage(_rest(rest, seen, label, nodes), "rest")
-        release(old, rays, seen, label)
-    release(members, typical, sequences)
-    return tested.select("a", "b", "similarity") if tested is not None else nothing
-
-
-def _rest(rest: DataFrame, seen: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets of the next round: what has not met all of its bucket, and what was near a large one's centre, by its new marks."""
-    columns = ["bucket", "digest", "n", "shared", "typical", "component"]
-    met = F.when(F.col("star"), F.col("similarity") >= FAR).otherwise(F.col("digest") == F.col("centre"))
-    far = rest.where(~F.col("star") | (F.size("shared") > 0)).join(seen.where(met).select("bucket", "digest").distinct(), ["bucket", "digest"], "left_anti").drop("component", "star", "mates")
-    near = seen.where(F.col("star") & ~F.col("apart") & (F.size("marks") > 0)).groupBy("centre", "digest").agg(
-        *(F.first(c).alias(c) for c in ("n", "typical", "marks", "centre_typical")))
-    # Against the most typical of the centres that a text has met: a text has at most one for each sketch.
-    best = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("centre_typical"), "centre"))
-    near = near.withColumn("best", best).where(F.col("best") <= AGAINST)
-    near = near.select("centre", "digest", "n", "typical", F.posexplode("marks").alias("place", "mark"))
-    near = near.select(F.xxhash64("centre", "place", "mark").alias("bucket"), "digest", "n", F.array().cast("array<long>").alias("shared"), "typical")
-    root = label.select(F.col("node").alias("digest"), F.col("root"))
-    left = far.unionByName(near).join(root, "digest", "left").withColumn("component", F.coalesce("root", "digest")).drop("root")
-    left = stage(left, "left")
-    # What is in one class already has nothing left to find.
-    counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    counted = left.join(counts.where("low != high"), "bucket")
-    large = (F.col("size") > LARGE_REST) & (F.size("shared") > 0) & (F.size("shared") < MAX_SHARED)
-    wide = counted.where(large).join(nodes.select("digest", F.explode("sketches").alias("other")), "digest")
-    wide = wide.where(~F.array_contains("shared", F.col("other")))
-    wide = wide.withColumn("shared", F.array_sort(F.array_append("shared", F.col("other"))))
-    # The same set of sketches is reached in several orders; one bucket of it is enough.
-    wide = wide.withColumn("bucket", F.xxhash64("shared")).groupBy("bucket", "digest").agg(*(F.first(c).alias(c) for c in columns[2:]))
-    sizes = wide.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    wide = wide.join(sizes.where("low != high"), "bucket")
-    star = (F.col("size") > LARGE_REST).alias("star")
-    out = stage(counted.where(~large).select(*columns, star).unionByName(wide.select(*columns, star)), "dealt")
-    mates = out.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("mates"))
-    return out.join(mates, ["bucket", "component"])
+    centres = rest.groupBy("bucket").agg(F.max(F.struct("typical", "digest", "n")).alias("c"))
+    centres = stage(centres.select("bucket", F.col("c.digest").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+    # The centre has met all others of its bucket, and leaves it.
+    rays = rest.join(centres, "bucket").where(F.col("digest") != F.col("centre"))
+    rays = stage(rays.select("bucket", "digest", "n", "centre", "centre_n"), "rays")
+    near = F.least("n", "centre_n") >= SIMILARITY * F.greatest("n", "centre_n") - 1e-6
+    pairs = stage(rays.where(near).select(*_ordered(F.col("centre"), F.col("digest"))).distinct(), "pairs")
+    tested = stage(_compared(pairs, sequences), "compared")
+    label = stage(components(tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "labels")
+    root = label.select(F.col("node").alias("digest"), "root")
+    left = rays.select("bucket", "digest", "n").join(root, "digest", "left").withColumn("component", F.coalesce("root", "digest")).drop("root")
+    found = stage(_blocks(stage(left, "left"), sequences), "met")
+    release(members, typical, rest, centres, rays, pairs, label, sequences)
+    return tested.unionByName(found)
+
+
+def _blocks(left: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Links between the components of each bucket of ``left``: every two texts of different ones meet."""
+    of = [F.count(F.lit(1)).alias("size"), F.sum("n").alias("kmers_in"), F.min("component").alias("low"), F.max("component").alias("high")]
+    # Sketches that name the same texts make one bucket.
+    same = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    buckets = left.groupBy("bucket").agg(*of, *same).where("low != high").groupBy("size", "x0", "x1").agg(F.min(F.struct("bucket", "kmers_in")).alias("one"))
+    buckets = buckets.select("one.bucket", "size", "one.kmers_in")
+    large = (F.col("size") > BLOCK) | (F.col("kmers_in") > BLOCK_KMERS)
+    length = F.when(large, F.floor(F.log("n") / math.log(LENGTHS)).cast("int")).otherwise(0)
+    dealt = left.join(buckets, "bucket").withColumn("length", length).drop("size", "kmers_in")
+    cuts = dealt.groupBy("bucket", "length").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_KMERS)).cast("int").alias("cuts"))
+    dealt = dealt.join(cuts, ["bucket", "length"]).withColumn("cut", F.pmod(F.xxhash64("digest", F.lit("cut")), F.col("cuts")).cast("int"))
+    dealt = stage(dealt.select("bucket", "length", "cut", "digest", "component"), "dealt")
+    blocks = stage(dealt.groupBy("bucket", "length", "cut").agg(of[2], of[3]), "blocks")
+    x, y = (blocks.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("length", "cut", "low", "high"))) for s in "xy")
+    two = x.join(y, "bucket").where(
+        (F.struct("length_x", "cut_x") <= F.struct("length_y", "cut_y")) & (F.col("length_y") - F.col("length_x") <= SPAN)
+        & (F.least("low_x", "low_y") != F.greatest("high_x", "high_y")))
+    two = two.withColumn("meeting", F.xxhash64("bucket", "length_x", "cut_x", "length_y", "cut_y"))
+    # A block goes to each of its meetings; one with itself is there once.
+    sides = two.select("meeting", "bucket", F.explode(F.array_distinct(F.array(
+        F.struct(F.col("length_x").alias("length"), F.col("cut_x").alias("cut")), F.struct(F.col("length_y").alias("length"), F.col("cut_y").alias("cut"))))).alias("at"))
+    sides = sides.select("meeting", "bucket", "at.length", "at.cut")
+    sent = dealt.join(sides, ["bucket", "length", "cut"]).join(sequences, "digest")
+
+    def rows(table: pa.Table) -> pa.Table:
+        digest = table.column("digest").to_pylist()
+        block = np.array([table.column(c).to_numpy() for c in ("length", "cut")])
+        links_ = joined([np.frombuffer(x, np.uint32) for x in table.column("kmers").to_pylist()],
+                        [x.hex() for x in table.column("component").to_pylist()], (block != block[:, :1]).any(axis=0))
+        pairs = [(*sorted((digest[i], digest[j])), value) for i, j, value in links_]
+        a, b, values = zip(*pairs, strict=True) if pairs else ((), (), ())
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(values, pa.float64())], ["a", "b", "similarity"])
+
+    return sent.select("meeting", "length", "cut", "digest", "component", "kmers").groupBy("meeting").applyInArrow(rows, "a binary, b binary, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factorlab.llm import near_duplicates as nd
@@ -79,3 +80,57 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 70), (50, 80)]
     got = nd.components(spark.createDataFrame(chain, "a int, b int")).collect()
     assert {r.node: r.root for r in got} == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, 70: 50, 80: 50}
+
+
+def all_pairs(texts):
+    """Classes (sorted lists of places) by aligning all pairs."""
+    kmers, offsets = nd.kmer_sequences(pa.array(texts))
+    k = [kmers[a:b].astype(np.uint32) for a, b in zip(offsets, offsets[1:])]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and nd.aligned(k[i], k[j]) >= nd.SIMILARITY:
+                root = [root[j] if r == root[i] else r for r in root]
+    return sorted([i for i in range(len(texts)) if root[i] == r] for r in set(root))
+
+
+def found(spark, texts):
+    got = defaultdict(list)
+    for r in nd.classes(odd(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect():
+        got[r.class_id].append(r.doc_id)
+    return sorted(sorted(x) for x in got.values())
+
+
+def changed(text, seed, edits):
+    words = text.split()
+    for i in np.random.default_rng(seed).choice(len(words), edits, replace=False):
+        words[i] = f"new{seed}w{i}"
+    return " ".join(words)
+
+
+def test_a_text_above_095_with_the_centre_keeps_its_links(spark):
+    # Copies of one edit that are just below 0.8 with the text that all others are edits of.
+    base = prose(11, 300)
+    one = [changed(base, k, 1) for k in range(10)]
+    texts = [base, *one, *(changed(x, 50 + 10 * k + j, 6) for k, x in enumerate(one) for j in range(4))]
+    assert found(spark, texts) == all_pairs(texts)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_a_large_group_below_the_threshold_loses_no_link(spark, monkeypatch, block):
+    # More than 24 copies share the edits that set them apart from others; few are at 0.8 with each other.
+    monkeypatch.setattr(nd, "BLOCK", block)
+    base = prose(12, 300)
+    far = [changed(base, 200 + k, 6 + k % 9) for k in range(60)]
+    texts = [*far, *(changed(x, 400 + k, 4) for k, x in enumerate(far[:30]))]
+    want = all_pairs(texts)
+    assert len(want) > 10 and found(spark, texts) == want
+
+
+def test_what_texts_have_in_common():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, n).astype(np.uint32) for n in rng.integers(5, 60, 50)]
+    got = nd.in_common(texts)
+    for i in range(50):
+        for j in range(i):
+            assert got[i, j] == sum(min((texts[i] == v).sum(), (texts[j] == v).sum()) for v in range(40))
