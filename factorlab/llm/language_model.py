@@ -43,10 +43,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..staging import release, stage
 from .words import LOWER, NONBLANK, crc_remainder, list_column, pieces, span_hashes, spans, text_bytes
 
-CONTEXT = 5
+CONTEXT = 6
 BURN_IN, SAMPLES = 3, 3
 # By length of the context.
-DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8)
+DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.8)
 STRENGTH = (1.0,) * (CONTEXT + 1)
 EXACT = 30
 # Dishes of the model that a task is given at once; a larger model is gone through in parts.

@@ -69,3 +69,9 @@ def test_number_of_tables_follows_its_distribution():
     assert np.allclose(np.bincount(drawn, minlength=5)[1:] / n, want, atol=0.01)
     many = lm.seated(np.array([10_000]), np.array([0]), np.array([0.5]), d, s, np.random.default_rng(0))
     assert 1 < many[0] < 10_000
+
+
+def test_contexts_reach_back_six_bytes():
+    text, places, offsets = lm.symbols(pa.array(["a12345x", "b12345x"]))
+    keys = lm.grams(text, places)
+    assert keys[offsets[0] + 6] != keys[offsets[1] + 6]  # of x, after texts that differ six bytes before it
