@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontamination, language_model, licenses, mixing, near_duplicates, quality_model, quality_rules, sharding,
-    token_files, url_templates,
+    decontamination, fill_in_middle, language_model, licenses, mixing, near_duplicates, nearest, quality_model,
+    quality_rules, sharding, token_files, url_templates, whitening,
 )
 
 
@@ -61,8 +61,21 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judged(_table(spark, sf_dir, "pages"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digested(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_licenses, op3_mixing, op4_near_duplicates, op5_sharding, op6_quality_model,
-        op7_quality_rules, op8_language_model, op9_token_files, op10_url_templates)
+        op7_quality_rules, op8_language_model, op9_token_files, op10_url_templates, op11_nearest, op12_whitening,
+        op13_fill_in_middle)
 }

@@ -9,7 +9,7 @@ from tests.llm.rows import SMALL
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -20,7 +20,7 @@ def test_query_matches_sql(name, spark):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in set(TABLES) & {"documents", "benchmark", "labels", "pages"}:
+    for name in set(TABLES) & {"documents", "benchmark", "labels", "pages", "embeddings"}:
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
