@@ -16,6 +16,11 @@ def month_index(day: str | Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
 
+def day_bit(day: str | Column) -> Column:
+    """The day of the month as one bit, so that OR collects the different days of a month."""
+    return F.call_function("shiftleft", F.lit(1), F.dayofmonth(day) - 1)
+
+
 def months_before(day: str | Column, months: int) -> Column:
     return F.add_months(day, -months)
 

@@ -10,10 +10,10 @@ from ..functions.dates import first_of_month, month_grid, shift_months
 from ..functions.stats import annual_return, annual_vol, at_least, ratio
 from ..schemas import LONG_SHORT, PORTFOLIOS, QUINTILES
 from ..sources.constituents import first_symbols, universe_for_period, universe_in_order
-from ..sources.prices import sound_prices
+from ..sources.prices import sound_prices, stored_months
 from ..staging import stage
 from .ranking import rank_within
-from .returns import dense_months, monthly_returns
+from .returns import dense_months, month_buckets, returns_of_months
 from .signals import vol_at_formation, vol_daily, vol_monthly, formation_months
 from .universe import asof_snapshots, snapshots_of_ticker
 
@@ -302,9 +302,11 @@ def quintiles_from_prices(
     universe = universe_for_period(membership, start, end)
     if max_tickers is not None:
         universe = first_symbols(universe, max_tickers)
-    chosen = sound_prices(prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi"))
+    chosen = prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
+    daily = None if method == "monthly12" else stage(sound_prices(chosen), "chosen")
+    buckets = stored_months(chosen, start, end) if daily is None else month_buckets(daily, start, end)
     return quintiles_pti(
-        monthly_returns(chosen, start, end), start, end, membership=membership, prices=chosen,
+        returns_of_months(buckets, end), start, end, membership=membership, prices=daily,
         min_coverage=min_coverage, min_per_quintile=min_per_quintile, method=method, **options,
     )
 
@@ -324,5 +326,5 @@ def extremes_from_prices(
     universe = universe_in_order(membership, start, end)
     if max_tickers is not None:
         universe = universe.limit(max_tickers)
-    chosen = sound_prices(prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi"))
-    return extreme_portfolios(monthly_returns(chosen, start, end), start, end, size=size)
+    chosen = prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
+    return extreme_portfolios(returns_of_months(stored_months(chosen, start, end), end), start, end, size=size)

@@ -352,12 +352,14 @@ def alpha_analysis(
     align: str = "date",
     models: list[str] | None = None,
     thesis: str = "the risk explanation",
+    results: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group: raw performance, the models side by side, best model and verdict.
 
     ``align="date"`` joins by month (REG10, ANA2); ``align="position"`` pairs
     the n-th return with the n-th factor month (REG6). ``thesis`` names the
     claim in the verdict text (SC9); ``supports`` says whether it holds (SC12).
+    ``results`` are the regressions of these rows, if the caller has them already.
     """
     keys = keys or ["portfolio"]
     if align == "date":
@@ -379,7 +381,8 @@ def alpha_analysis(
         (F.avg("ret") * 12).alias("raw_return"),
         (F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("raw_volatility"),
     ).join(sharpe, keys)
-    results = regressions(design_rows(aligned, keys, models), keys)
+    if results is None:
+        results = stage(regressions(design_rows(aligned, keys, models), keys), "results")
     detail = F.struct("alpha", "alpha_tstat", "alpha_pvalue", "loadings", "r2", "adj_r2", "n_obs")
     order = F.struct("r2", (-F.size("loadings")).alias("smaller"))
     by_model = results.groupBy(*keys).agg(

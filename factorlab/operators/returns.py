@@ -18,11 +18,12 @@ def _by_month() -> WindowSpec:
 def month_buckets(
     prices: DataFrame, start: dt.date, end: dt.date, carry: list[Column] | None = None
 ) -> DataFrame:
-    """Days, first and last price of each ticker and month (AGG1, FLT2).
+    """Days, first and last price of each ticker and month (AGG1, FLT2), one row a day given.
 
     Months combine before they shuffle: a store sorted by ticker sends about one
     row per ticker and month, and no ticker can crowd a task. ``carry`` adds
     aggregates of other columns of the price table to the same pass.
+    :func:`factorlab.sources.prices.stored_months` is for panels with repeated days.
     """
     return (
         prices.filter(in_period(start, end))
@@ -53,7 +54,13 @@ def monthly_returns(
     last month of the grid while ``drop_last_month`` holds. The base is the last
     price of the calendar month before, else the month's own first price.
     """
-    buckets = month_buckets(prices, start, end, carry)
+    return returns_of_months(month_buckets(prices, start, end, carry), end, min_days, drop_last_month)
+
+
+def returns_of_months(
+    buckets: DataFrame, end: dt.date, min_days: int = 5, drop_last_month: bool = True
+) -> DataFrame:
+    """:func:`monthly_returns` of ready month buckets."""
     adjacent = F.lag("month_idx").over(_by_month()) == F.col("month_idx") - 1
     base = F.coalesce(
         F.when(adjacent, F.lag("last_price").over(_by_month())), F.col("first_price")

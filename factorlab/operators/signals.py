@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import first_of_month, month_grid, shift_months
 from ..functions.stats import at_least
+from ..staging import stage
 from .returns import daily_returns, trading_calendar
 
 # Volatilities are compared at this many decimals, so that the order of a
@@ -85,12 +86,15 @@ def vol_at_formation(
     )
 
 
-def formation_days(calendar: DataFrame, formations: DataFrame, window_days: int) -> DataFrame:
-    """Calendar with, per trading day, the formations whose window contains it.
+def formation_blocks(
+    calendar: DataFrame, formations: DataFrame, window_days: int
+) -> tuple[DataFrame, DataFrame]:
+    """The calendar cut into blocks at the edges of all windows, and the formations of each block.
 
     A formation is anchored at its first trading day on or after it, and counts
-    only when more than ``window_days`` trading days precede... the anchor index.
-    Both inputs are calendars, so this stays small.
+    only when more than ``window_days`` trading days precede the anchor. Its window
+    is a run of whole blocks. Returns ``(date, cal_idx, block)`` and ``(block,
+    formations)``, both as small as a calendar.
     """
     marks = formations.select(F.col("formation").alias("date"), "formation", F.lit(0).alias("kind"))
     days = calendar.select(
@@ -101,13 +105,21 @@ def formation_days(calendar: DataFrame, formations: DataFrame, window_days: int)
         marks.withColumn("cal_idx", F.lit(None).cast("int")).unionByName(days)
         .withColumn("anchor", F.first("cal_idx", ignorenulls=True).over(onward))
         .filter((F.col("kind") == 0) & (F.col("anchor") > window_days))
+        .select("formation", "anchor").distinct()
     )
-    inside = anchors.select(
-        "formation",
-        F.explode(F.sequence(F.col("anchor") - window_days, F.col("anchor") - 1)).alias("cal_idx"),
+    edges = anchors.select(
+        F.explode(F.array(F.col("anchor") - window_days, F.col("anchor"))).alias("cal_idx")
+    ).distinct().withColumn("edge", F.row_number().over(Window.orderBy("cal_idx")))
+    so_far = Window.orderBy("cal_idx").rowsBetween(Window.unboundedPreceding, 0)
+    blocked = calendar.join(F.broadcast(edges), "cal_idx", "left").withColumn(
+        "block", F.coalesce(F.last("edge", ignorenulls=True).over(so_far), F.lit(0))
+    ).select("date", "cal_idx", "block")
+    begins = edges.select((F.col("cal_idx") + window_days).alias("anchor"), F.col("edge").alias("low"))
+    ends = edges.select(F.col("cal_idx").alias("anchor"), (F.col("edge") - 1).alias("high"))
+    inside = anchors.join(begins, "anchor").join(ends, "anchor").select(
+        "formation", F.explode(F.sequence("low", "high")).alias("block")
     )
-    used = inside.groupBy("cal_idx").agg(F.collect_set("formation").alias("formations"))
-    return calendar.join(F.broadcast(used), "cal_idx", "left")
+    return blocked, inside.groupBy("block").agg(F.collect_list("formation").alias("formations"))
 
 
 def vol_daily(
@@ -115,19 +127,39 @@ def vol_daily(
 ) -> DataFrame:
     """Annualised deviation of the ``window_days`` trading days before each formation (VOL4).
 
-    Every daily return is sent to the windows it belongs to (about window / 21
-    of them) and the deviation is an ordinary aggregate, so tickers that do not
-    trade on the anchor day still count.
+    In two levels: count, mean and squared deviations of each ticker and block of
+    days between window edges, then the blocks of a window merged by the parallel
+    variance formula. A daily row is read once, and only its block (about two a
+    month) is sent to the windows it belongs to. Tickers that do not trade on the
+    anchor day still count.
     """
-    calendar = formation_days(trading_calendar(prices), formations, window_days)
-    return (
+    calendar, inside = formation_blocks(stage(trading_calendar(prices), "calendar"), formations, window_days)
+    blocks = (
         daily_returns(prices, calendar)
         .filter(F.col("ret").isNotNull())
-        .select("ticker", "ret", F.explode("formations").alias("formation"))
-        .groupBy("ticker", "formation")
+        .groupBy("ticker", "block")
         .agg(
-            F.round(F.stddev_samp("ret") * math.sqrt(252), VOL_DECIMALS).alias("vol"),
-            F.count("ret").cast("int").alias("n_obs"),
+            F.count("ret").alias("n"), F.avg("ret").alias("mean"),
+            (F.var_pop("ret") * F.count("ret")).alias("squares"),
+        )
+    )
+    merged = (
+        blocks.join(F.broadcast(inside), "block")  # one row per block of the calendar
+        .select("ticker", "n", "mean", "squares", F.explode("formations").alias("formation"))
+        .groupBy("ticker", "formation")
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "mean", "squares")).alias("parts"))
+    )
+    centre = F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["n"] * p["mean"]) / F.col("n")
+    squares = F.aggregate(
+        "parts", F.lit(0.0),
+        lambda total, p: total + p["squares"] + p["n"] * (p["mean"] - F.col("centre")) * (p["mean"] - F.col("centre")),
+    )
+    return (
+        merged.withColumn("centre", centre)
+        .select(
+            "ticker", "formation",
+            F.round(F.sqrt(F.try_divide(squares, F.col("n") - 1)) * math.sqrt(252), VOL_DECIMALS).alias("vol"),
+            F.col("n").cast("int").alias("n_obs"),
         )
         .filter((F.col("n_obs") >= min_obs) & F.col("vol").isNotNull())
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.dates import month_floor, months_before
+from ..functions.dates import day_bit, month_floor, months_before
 from ..sources.prices import validity
 from .sizing import broadcast_if_small
 
@@ -97,17 +97,39 @@ def valid_tickers(
     )
 
 
+def gap_summaries(prices: DataFrame) -> DataFrame:
+    """Per ticker and month: rows, first and last day, largest gap between days inside (WIN6).
+
+    The days of a month are bits of one number, which merges by OR; so months
+    combine before they shuffle and repeated days fall together by themselves.
+    """
+    months = prices.filter(F.col("date").isNotNull()).groupBy("ticker", month_floor("date").alias("month")).agg(
+        F.count("*").alias("n"), F.bit_or(day_bit("date")).alias("days")
+    )
+    traded = F.filter(
+        F.sequence(F.lit(1), F.lit(31)), lambda d: F.col("days").bitwiseAND(F.call_function("shiftleft", F.lit(1), d - 1)) != 0
+    )
+    return months.withColumn("traded", traded).select(
+        "ticker", "month", "n",
+        F.date_add("month", F.element_at("traded", 1) - 1).alias("first_day"),
+        F.date_add("month", F.element_at("traded", -1) - 1).alias("last_day"),
+        F.array_max(F.zip_with(
+            F.slice("traded", 2, 31), F.slice("traded", 1, F.size("traded") - 1), lambda later, day: later - day
+        )).alias("gap"),
+    )
+
+
 def validity_metadata(prices: DataFrame) -> DataFrame:
     """Span, observations and gaps of each ticker (AGG4, WIN6); gaps NULL for one row.
 
-    Rows of a day are combined first, so the window sees calendar days only. The
-    mean gap needs no window: the gaps add up to the span.
+    Month summaries are combined in order: the window sees a row per ticker and
+    month, however many days or rows a ticker has. The mean gap needs no window: the
+    gaps add up to the span.
     """
-    days = prices.groupBy("ticker", "date").agg(F.count("*").alias("n"))
-    gap = F.datediff("date", F.lag("date").over(Window.partitionBy("ticker").orderBy("date")))
-    spans = days.withColumn("gap", gap).groupBy("ticker").agg(
-        F.min("date").alias("data_start"),
-        F.max("date").alias("data_end"),
+    between = F.datediff("first_day", F.lag("last_day").over(Window.partitionBy("ticker").orderBy("month")))
+    spans = gap_summaries(prices).withColumn("gap", F.greatest("gap", between)).groupBy("ticker").agg(
+        F.min("first_day").alias("data_start"),
+        F.max("last_day").alias("data_end"),
         F.sum("n").alias("total_observations"),
         F.max("gap").alias("max_gap"),
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import in_period
-from ..operators.inference import grs_test
+from ..operators.inference import grs_test, joint_tests
 from ..operators.performance import (
     drawdown_series, growth_path, performance, risk_return_table, rolling_long_short,
     rolling_metrics, rolling_summary,
@@ -17,12 +17,12 @@ from ..operators.portfolios import portfolios_long, processed_months, pti_outcom
 from ..operators.regression import (
     alpha_analysis, align_by_date, design_rows, factor_loadings, fit, describe, residuals,
 )
-from ..operators.returns import monthly_returns
+from ..operators.returns import monthly_returns, returns_of_months
 from ..operators.robustness import lookback_correlations, subperiod_performance
 from ..schemas import MODELS, QUINTILES, missing_columns, require_columns
 from ..sources.constituents import custom_universe, universe_for_period
 from ..sources.factors import factors_for_period
-from ..sources.prices import acquire_prices, sound_prices
+from ..sources.prices import acquire_months, acquire_prices, sound_prices
 from ..staging import stage
 from .reports import (
     final_summary, report_table, results_document, write_json, write_portfolio_csv,
@@ -52,23 +52,40 @@ class AnalysisConfig:
     portfolio_options: dict = field(default_factory=dict)
 
 
-def load_universe_prices(
-    config: AnalysisConfig,
-    prices: DataFrame,
-    membership: DataFrame | None = None,
-    tickers: DataFrame | None = None,
+def study_universe(
+    config: AnalysisConfig, membership: DataFrame | None = None, tickers: DataFrame | None = None
 ) -> DataFrame:
-    """Prices of the study's universe, staged once for all later steps (PIPE3).
-
-    The universe is the index membership of the period, or a custom list.
-    """
+    """``(ticker)``: the index membership of the period, or a custom list."""
     if tickers is not None:
         universe = custom_universe(tickers, config.clean_symbols)
     elif membership is not None:
         universe = universe_for_period(membership, config.start, config.end).select("symbol")
     else:
         raise ValueError("give an index membership or a list of tickers")
-    wanted = universe.select(F.col("symbol").alias("ticker"))
+    return universe.select(F.col("symbol").alias("ticker"))
+
+
+def load_universe_months(
+    config: AnalysisConfig,
+    prices: DataFrame,
+    membership: DataFrame | None = None,
+    tickers: DataFrame | None = None,
+) -> DataFrame:
+    """Month buckets of the study's universe: one scan, no daily row moved (PIPE3)."""
+    wanted = study_universe(config, membership, tickers)
+    return acquire_months(wanted, prices, config.start, config.end).drop(
+        "source_symbol", "data_start", "data_end"
+    )
+
+
+def load_universe_prices(
+    config: AnalysisConfig,
+    prices: DataFrame,
+    membership: DataFrame | None = None,
+    tickers: DataFrame | None = None,
+) -> DataFrame:
+    """Daily prices of the study's universe, staged once, for signals from daily returns (PIPE3)."""
+    wanted = study_universe(config, membership, tickers)
     return stage(
         sound_prices(acquire_prices(wanted, prices, config.start, config.end).select("ticker", "date", "price")),
         "prices",
@@ -87,8 +104,12 @@ def run_analysis(
     The panel is reduced to monthly portfolio returns once and staged; what
     follows works on a row per lookback, portfolio and month.
     """
-    universe_prices = load_universe_prices(config, prices, membership, tickers)
-    monthly = monthly_returns(universe_prices, config.start, config.end)
+    if config.method == "monthly12":
+        universe_prices = None
+        monthly = returns_of_months(load_universe_months(config, prices, membership, tickers), config.end)
+    else:
+        universe_prices = load_universe_prices(config, prices, membership, tickers)
+        monthly = monthly_returns(universe_prices, config.start, config.end)
     outcomes = stage(
         pti_outcomes(
             monthly, config.start, config.end, membership=membership,
@@ -117,9 +138,9 @@ def run_analysis(
         tables["residuals"] = resid
         tables["loadings"] = factor_loadings(results, SERIES)
         tables["alphas"] = alpha_analysis(
-            long, in_range, SERIES, models=list(config.models), thesis=config.thesis
+            long, in_range, SERIES, models=list(config.models), thesis=config.thesis, results=results
         )
-        tables["joint_test"] = joint_tests(results, resid, in_range, config)
+        tables["joint_test"] = joint_test_table(results, resid, in_range, config)
     if config.run_series:
         tables["cumulative"] = growth_path(long, SERIES)
         tables["drawdowns"] = drawdown_series(long, SERIES)
@@ -132,7 +153,9 @@ def run_analysis(
         if len(config.lookbacks) > 1:
             tables["lookback_correlations"] = lookback_correlations(long, list(config.lookbacks))
     tables["report"] = report_table(tables["performance"])
-    tables["summary"] = final_summary(tables["performance"])
+    tables["summary"] = final_summary(
+        tables["performance"], config.start, config.end, config.lookbacks, config.models
+    )
     tables["document"] = results_document(
         tables["performance"], results, config.start, config.end
     )
@@ -141,29 +164,21 @@ def run_analysis(
     return tables
 
 
-def joint_tests(
+def joint_test_table(
     results: DataFrame, resid: DataFrame, factors: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
-    """The joint test of every model, by lookback and model.
+    """The joint test of every model, by lookback and model, in one plan.
 
     A model that lacks a factor has a row with status ``missing_factors`` and no
     figures, as it has no fit; the others are tested.
     """
     usable = [m for m in config.models if not missing_columns(factors, MODELS[m])]
-    tests = [
-        grs_test(results, resid, factors, QUINTILES, m, ["lookback"]).withColumn("model", F.lit(m))
-        for m in usable
-    ]
-    lookbacks = results.sparkSession.createDataFrame([(x,) for x in config.lookbacks], "lookback int")
-    for m in config.models:
-        if m not in usable:
-            tests.append(lookbacks.select(
-                F.col("lookback").cast(results.schema["lookback"].dataType).alias("lookback"),
-                F.lit("missing_factors").alias("status"), F.lit(m).alias("model")))
-    out = tests[0]
-    for test in tests[1:]:
-        out = out.unionByName(test, allowMissingColumns=True)
-    return out
+    tests = joint_tests(results, resid, factors, QUINTILES, usable, ["lookback"])
+    lacking = [(x, "missing_factors", m) for x in config.lookbacks for m in config.models if m not in usable]
+    if not lacking:
+        return tests
+    rows = results.sparkSession.createDataFrame(lacking, "lookback int, status string, model string")
+    return tests.unionByName(rows.withColumn("lookback", F.col("lookback").cast(results.schema["lookback"].dataType)), allowMissingColumns=True)
 
 
 def save(tables: dict[str, DataFrame], config: AnalysisConfig) -> None:

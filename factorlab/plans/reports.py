@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import datetime as dt
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.stats import anomaly_status
 from ..schemas import LONG_SHORT, PORTFOLIOS
@@ -21,29 +24,64 @@ def report_table(performance: DataFrame) -> DataFrame:
     )
 
 
-def final_summary(performance: DataFrame) -> DataFrame:
-    """Long-short return, Sharpe ratio and months per lookback (SNK6)."""
+def final_summary(
+    performance: DataFrame,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    lookbacks: Sequence[int] | None = None,
+    models: Sequence[str] | None = None,
+) -> DataFrame:
+    """Long-short return, Sharpe ratio and months per lookback, beside what was asked of the study (SNK6)."""
+    asked = []
+    if start is not None:
+        asked = [
+            F.concat_ws(" to ", F.lit(str(start)), F.lit(str(end))).alias("period"),
+            F.concat_ws(",", *map(F.lit, map(str, lookbacks or []))).alias("lookbacks"),
+            F.concat_ws(",", *map(F.lit, models or [])).alias("models"),
+        ]
     return performance.filter(F.col("portfolio") == LONG_SHORT).select(
-        "lookback", "annual_return", "sharpe_ratio", "n_months"
+        "lookback", "annual_return", "sharpe_ratio", "n_months", *asked
+    )
+
+
+PER_DOCUMENT = 64  # portfolios about
+
+
+def results_document(
+    performance: DataFrame, results: DataFrame | None, start, end, per_document: int = PER_DOCUMENT
+) -> DataFrame:
+    """Nested rows of period, performance and regressions (SNK4): one per lookback and chunk of portfolios.
+
+    A chunk holds about ``per_document`` portfolios, chosen by a hash of the name,
+    so that a document's size does not grow with the study. Six portfolios are one chunk.
+    """
+    chunks = performance.groupBy("lookback").agg(
+        F.ceil(F.count_distinct("portfolio") / per_document).cast("int").alias("chunks")
     )
 
+    def chunked(table: DataFrame) -> DataFrame:
+        number = F.pmod(F.xxhash64("portfolio"), F.col("chunks")).cast("int")
+        return table.join(chunks, "lookback").withColumn("chunk", number).drop("chunks")
 
-def results_document(performance: DataFrame, results: DataFrame | None, start, end) -> DataFrame:
-    """One nested row per lookback: period, performance and regressions (SNK4)."""
+    keys = ["lookback", "chunk"]
     measures = [c for c in performance.columns if c not in ("lookback", "portfolio")]
-    by_lookback = performance.groupBy("lookback").agg(
+    document = chunked(performance).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("portfolio", *measures))).alias("performance")
-    )
-    document = by_lookback.withColumn("period", F.struct(
+    ).withColumn("period", F.struct(
         F.lit(str(start)).alias("start"), F.lit(str(end)).alias("end")
     ))
     if results is None:
         return document
     columns = [c for c in results.columns if c != "lookback"]
-    fits = results.groupBy("lookback").agg(
+    fits = chunked(results).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(*columns))).alias("factor_results")
     )
-    return document.join(fits, "lookback", "left")
+    return document.join(fits, keys, "left")
+
+
+def read_documents(spark: SparkSession, path: str, document: DataFrame) -> DataFrame:
+    """The documents of a folder that :func:`write_json` left, in the shape of ``document``."""
+    return spark.read.schema(document.schema).json(path)
 
 
 def write_portfolio_csv(wide: DataFrame, path: str) -> None:
