@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import NONBLANK, spans
 
 UNITS, PIECE = 1024, 1 << 18
+PARTITION_BYTES = 1 << 26
 SEED = 42
 FIM_PERCENT, SPM_PERCENT = 50, 80
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -121,9 +122,14 @@ def _of_row(key: tuple[bytes, int]) -> int:
 
 
 def sorted_pieces(docs: DataFrame, partitions: int | None = None) -> RDD:
-    """Pieces of all rows, those of a row in one partition and in the order of its output."""
-    if partitions is None:  # grows with the files read
-        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    """Pieces of all rows, those of a row in one partition and in the order of its output.
+
+    There are as many partitions as the bytes of all texts need, so that what a task sorts
+    is bounded (but for a single longer text, which it streams and spills).
+    """
+    if partitions is None:
+        held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), held // PARTITION_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").rdd
     return rows.mapPartitions(_keyed).repartitionAndSortWithinPartitions(partitions, _of_row)
 
