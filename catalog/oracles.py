@@ -387,14 +387,14 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY grp ORDER BY r2 DESC, k) = 1)"""
 
 
-def alpha_sql(aligned: str, long_form: bool) -> str:
+def alpha_sql(aligned: str, long_form: bool, views: list[str] | None = None) -> str:
     described = "long" if long_form else "aligned"
     cells = ", ".join(
         f"{r(f'{t}.{c}')} AS {m}_{c}" for m, t in (("capm", "f1"), ("ff3", "f3"), ("ff5", "f5"))
         for c in ("alpha", "alpha_pvalue", "r2")
     )
     return with_(
-        *portfolios(), FACTOR_ROWS, COMPLETE, aligned,
+        *(views or portfolios()), FACTOR_ROWS, COMPLETE, aligned,
         fit_block("CAPM", "f1"), fit_block("FF3", "f3"), fit_block("FF5", "f5"), BEST,
         f"""sharpe AS (
   SELECT portfolio AS grp, count(*) AS n_obs, avg(ret - RF) / stddev_samp(ret - RF) * sqrt(12) AS raw_sharpe
@@ -434,7 +434,18 @@ def quadratic_form(tag: str, source: str, columns: list[str], values: str) -> st
     return ",\n".join(parts)
 
 
-def grs_sql(model: str, names: list[str], full: bool = True) -> str:
+def critical(df1: int, source: str, tag: str = "crit") -> str:
+    """The value that F exceeds with 5 %, halving from [0, 1000]; one for each df2 of the source."""
+    return f"""{tag} AS (
+  WITH RECURSIVE halved(df2, step, low, high) AS (
+    SELECT DISTINCT df2, 0, 0.0::DOUBLE, 1000.0::DOUBLE FROM {source} WHERE df2 > 0
+    UNION ALL
+    SELECT df2, step + 1, CASE WHEN tail > 0.05 THEN middle ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE middle END
+    FROM (SELECT *, {f_pvalue('middle', df1, 'df2')} AS tail FROM (SELECT *, (low + high) / 2 AS middle FROM halved WHERE step < 56)))
+  SELECT df2, (low + high) / 2 AS critical_value FROM halved WHERE step = 56)"""
+
+
+def grs_sql(model: str, names: list[str], full: bool = True, views: list[str] | None = None, final: str | None = None) -> str:
     names_sql = ", ".join(f"'{p}'" for p in names)
     fs = MODELS[model]
     k, n = len(fs), len(names)
@@ -445,7 +456,7 @@ def grs_sql(model: str, names: list[str], full: bool = True) -> str:
     stat = "term1 * term2 * term3"
     significant = f"({f_pvalue('f_statistic', n, 'df2')}) < 0.05"
     return with_(
-        *portfolios(), FACTOR_ROWS, BY_DATE, fit_block(model, "f"), residual_block(model),
+        *(views or portfolios()), FACTOR_ROWS, BY_DATE, fit_block(model, "f"), residual_block(model),
         f"""pairs AS (SELECT date, {side} FROM resid WHERE portfolio IN ({names_sql}) GROUP BY date),
 used AS (SELECT f.* FROM factors f JOIN pairs USING (date)),
 moves AS (SELECT {centred} FROM used)""",
@@ -456,10 +467,44 @@ moves AS (SELECT {centred} FROM used)""",
          qe.months - {n} - {k} AS df2, CAST(qe.months - {n} - {k} AS DOUBLE) / {n} AS term1,
          {"1 / (1 + qf.form)" if full else "1.0::DOUBLE"} AS term2, qe.form AS term3 FROM qe, qf),
 stat AS (SELECT *, {stat} AS f_statistic FROM terms)""",
-        final=f"""SELECT status, n_portfolios, n_factors, n_obs, df2, {rounds('f_statistic', 'term1', 'term2', 'term3')},
+        critical(n, "stat"),
+        final=final or f"""SELECT status, n_portfolios, n_factors, n_obs, df2, {rounds('f_statistic', 'critical_value', 'term1', 'term2', 'term3')},
   {r(f_pvalue('f_statistic', n, 'df2'))} AS p_value, {significant} AS is_significant,
   CASE WHEN {significant} THEN 'REJECT H0: at least one alpha differs from zero'
-       ELSE 'FAIL TO REJECT H0: all alphas are statistically zero' END AS conclusion FROM stat""",
+       ELSE 'FAIL TO REJECT H0: all alphas are statistically zero' END AS conclusion FROM stat JOIN crit USING (df2)""",
+    )
+
+
+def grs_fifty(groups: int = 50) -> str:
+    """The test over many portfolios: covariances by pairs, then elimination on lists, a step for each portfolio."""
+    return with_(
+        *FACTORS_ONLY, f"""sold_parts AS (
+  SELECT l_linenumber % 2 AS side, 'G' || (l_partkey % {groups}) AS portfolio, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+         100::DOUBLE + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) - sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS price
+  FROM lineitem GROUP BY 1, 2, 3),
+long AS (SELECT side, portfolio, date, (price / lag(price) OVER (PARTITION BY side, portfolio ORDER BY date) - 1) * 100 AS ret FROM sold_parts)""",
+        BY_DATE, design(["MKT_RF"], "aligned", "side || ' ' || portfolio"), gram_schmidt(1), f"""e AS (
+  SELECT CAST(split_part(u.grp, ' ', 1) AS INTEGER) AS side, CAST(substr(split_part(u.grp, ' ', 2), 2) AS INTEGER) AS g, u.date, u.y AS e,
+         count(*) OVER (PARTITION BY split_part(u.grp, ' ', 1), u.date) AS held
+  FROM u1 u JOIN fit USING (grp)),
+whole AS (SELECT * FROM e WHERE held = {groups}),
+months AS (SELECT side, count(DISTINCT date) AS n_obs FROM whole GROUP BY 1),
+alphas AS (SELECT CAST(split_part(grp, ' ', 1) AS INTEGER) AS side, CAST(substr(split_part(grp, ' ', 2), 2) AS INTEGER) AS g, beta0 AS alpha FROM fit),
+covs AS (SELECT a.side, a.g AS i, b.g AS j, covar_samp(a.e, b.e) AS c FROM whole a JOIN whole b ON a.side = b.side AND a.date = b.date GROUP BY 1, 2, 3),
+lines AS (SELECT c.side, c.i, list_append(list(c ORDER BY j), any_value(alpha)) AS line FROM covs c JOIN alphas a ON a.side = c.side AND a.g = c.i GROUP BY 1, 2),
+matrices AS (SELECT side, list(line ORDER BY i) AS m FROM lines GROUP BY 1),
+forms AS (
+  WITH RECURSIVE swept(side, k, m, form) AS (
+    SELECT side, 1, m, 0.0::DOUBLE FROM matrices
+    UNION ALL
+    SELECT side, k + 1, list_transform(m, lambda r, i: CASE WHEN i <= k THEN r ELSE list_transform(r, lambda x, j: x - r[k] / m[k][k] * m[k][j]) END),
+           form + m[k][{groups + 1}] * m[k][{groups + 1}] / m[k][k]
+    FROM swept WHERE k <= {groups})
+  SELECT side, form FROM swept WHERE k = {groups + 1}),
+stat AS (SELECT side, n_obs, n_obs - {groups} - 1 AS df2, form * (n_obs - {groups} - 1) / {groups} AS f_statistic FROM forms JOIN months USING (side))""",
+        critical(groups, "stat"),
+        final=f"""SELECT side, 'ok' AS status, {groups} AS n_portfolios, 1 AS n_factors, n_obs, df2, {rounds('f_statistic', 'critical_value', digits=5)},
+  {r(f_pvalue('f_statistic', groups, 'df2'), 5)} AS p_value, f_statistic > critical_value AS is_significant FROM stat JOIN crit USING (df2)""",
     )
 
 
@@ -527,9 +572,9 @@ def in_list(column: str, values) -> str:
     return f"{column} IN ({', '.join(map(literal, values))})"
 
 
-def resolved(check_extinct: bool = True) -> str:
+def resolved(check_extinct: bool = True, mappings: dict[str, str] = FLAT_MAPPINGS) -> str:
     gone = in_list("sym", S.EXTINCT) if check_extinct else "false"
-    repl, target = case_map("sym", S.REPLACEMENTS), case_map("sym", FLAT_MAPPINGS)
+    repl, target = case_map("sym", S.REPLACEMENTS), case_map("sym", mappings)
     return f"""tagged AS (SELECT *, {gone} AS gone, {repl} AS repl, {target} AS target FROM normal),
 resolved AS (
   SELECT listing, raw_symbol, sym AS original,
@@ -685,10 +730,19 @@ prices AS (SELECT * FROM all_prices WHERE ticker IN (SELECT symbol FROM universe
     return with_(*parts, final=extremes_final())
 
 
-def study(lookbacks, min_per_quintile: int) -> list[str]:
+LATE = """late AS (
+  SELECT ticker, date, CAST(qty AS DOUBLE) / n AS price FROM daily WHERE ticker IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal < 0))"""
+UPSERTED = f"""SELECT ticker, date, {r('price')} AS price FROM late
+  UNION ALL SELECT ticker, date, {r('price')} FROM prices WHERE ticker NOT IN (SELECT ticker FROM late)"""
+ASKED = f"'{START} to {END}' AS period, {{lookbacks}} AS lookbacks, 'CAPM,FF3,FF5' AS models"
+LOWEST = QUOTES + """,
+all_prices AS (SELECT ticker, date, min(price) AS price FROM quotes GROUP BY 1, 2)"""
+
+
+def study(lookbacks, min_per_quintile: int, prices: str = price_rows("all_prices", "daily")) -> list[str]:
     """PIPE1: the index universe, symbols resolved (all of them stand), prices clipped to the period."""
     return [
-        CHARACTERISTICS, MEMBERSHIP, price_rows("all_prices", "daily"),
+        CHARACTERISTICS, MEMBERSHIP, prices,
         f"""prices AS (SELECT * FROM all_prices WHERE ticker IN (
   SELECT symbol FROM membership WHERE date BETWEEN DATE '{START}' AND DATE '{END}'))""",
         MONTHLY, GRID, lookback_rows(lookbacks), FORMATIONS, history(0.6), ELIGIBLE,
@@ -749,14 +803,27 @@ ORACLES: dict[str, str] = {
     "source_choice": with_(PRICES, DIMENSIONS, CHOSEN, final="SELECT * FROM chosen"),
     "acquired_prices": with_(PRICES, DIMENSIONS, CHOSEN, final=f"""SELECT c.ticker, c.source_symbol, p.date, {r('p.price')} AS price,
   c.data_start, c.data_end FROM chosen c JOIN prices p ON p.ticker = c.source_symbol WHERE p.date BETWEEN {MID}"""),
-    "price_upsert": with_(PRICES, f"""late AS (
-  SELECT {SUPPLIER} AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS price
-  FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09 GROUP BY 1, 2)""",
-        final=f"""SELECT ticker, date, {r('price')} AS price FROM late
-  UNION ALL SELECT ticker, date, {r('price')} FROM prices WHERE ticker NOT IN (SELECT ticker FROM late)"""),
+    "acquired_months": with_(PRICES, DIMENSIONS, CHOSEN.replace(MID, f"DATE '{START}' AND DATE '{END}'"), MONTHLY, final=f"""SELECT c.ticker, c.source_symbol, b.month, b.n_days,
+  {rounds('b.first_price', 'b.last_price').replace(' AS b.', ' AS ')}, b.first_day, b.last_day, c.data_start, c.data_end
+  FROM chosen c JOIN buckets b ON b.ticker = c.source_symbol"""),
+    "price_upsert": with_(PRICES, LATE, final=UPSERTED),
+    "price_store_round_trip": with_(PRICES, LATE, final=UPSERTED),
+    "price_directories_round_trip": with_(PANEL, final=f"SELECT ticker, date, {r('price')} AS price FROM panel"),
+    "factor_store_round_trip": with_(*FACTORS_ONLY, final=f"SELECT date, {rounds(*FACTORS, 'RF')} FROM factors"),
     # symbols
     "symbol_clean": with_(LISTINGS, CLEAN, final=f"SELECT listing, raw_symbol, {CLEANED} AS symbol FROM stripped"),
     "symbol_resolve": with_(LISTINGS, resolved(), final=f"SELECT listing, raw_symbol, symbol, status, {REASON} AS reason, original FROM resolved"),
+    "symbol_resolve_without_proxies": with_(LISTINGS, resolved(mappings={
+        old: new for kind, pairs in S.MAPPINGS.items() if kind != "proxy" for old, new in pairs.items()
+    }), final=f"SELECT listing, raw_symbol, symbol, status, {REASON} AS reason, original FROM resolved"),
+    "symbol_resolve_dated": with_(PRICES, f"""dated AS (
+  SELECT 'S' || s_suppkey AS ticker, 'S' || (s_suppkey + s_nationkey) AS target, 'renamed' AS kind,
+         CAST(DATE '{START}' + to_months(s_nationkey + 12) AS DATE) AS since FROM supplier WHERE s_acctbal > 3000
+  UNION ALL
+  SELECT 'S' || s_suppkey, 'S' || (s_suppkey + 1), 'proxy', CAST(DATE '{START}' + to_months(s_nationkey + 36) AS DATE)
+  FROM supplier WHERE s_acctbal > 3000)""", final="""SELECT p.ticker, coalesce(d.target, p.ticker) AS resolved, d.kind AS mapping_kind,
+  count(*) AS n_days, min(p.date) AS first_day, max(p.date) AS last_day
+  FROM prices p ASOF LEFT JOIN dated d ON d.ticker = p.ticker AND p.date >= d.since GROUP BY 1, 2, 3"""),
     "symbol_resolve_keep_extinct": with_(LISTINGS, resolved(False), final="SELECT symbol, status, count(*) AS n FROM resolved GROUP BY 1, 2"),
     "resolution_stats": with_(LISTINGS, resolved(), final="""SELECT
   count(*) FILTER (WHERE status = 'original') AS original, count(*) FILTER (WHERE status = 'mapped') AS mapped,
@@ -898,6 +965,11 @@ ORACLES: dict[str, str] = {
     "grs_ff3": grs_sql("FF3", QUINTILES),
     "grs_ff5": grs_sql("FF5", QUINTILES),
     "grs_simple": grs_sql("FF5", QUINTILES, full=False),
+    "grs_alphas": with_(*portfolios(), FACTOR_ROWS, BY_DATE, fit_block("FF3", "f"), residual_block("FF3"),
+        f"used AS (SELECT * FROM factors WHERE date IN (SELECT date FROM resid))",
+        final=f"""SELECT grp AS name, {r('alpha / 1200', 8)} AS alpha, {r('alpha_pvalue', 8)} AS alpha_pvalue, NULL::DOUBLE AS factor_mean FROM f WHERE grp <> '{LONG_SHORT}'
+  UNION ALL """ + " UNION ALL ".join(f"SELECT '{c}', NULL, NULL, {r(f'avg({c} / 100)', 8)} FROM used" for c in MODELS["FF3"])),
+    "grs_fifty_portfolios": grs_fifty(),
     "grs_singular": with_(*portfolios(), FACTOR_ROWS,
         "doubled AS (SELECT * FROM long UNION ALL SELECT lookback, 'COPY', date, ret FROM long WHERE portfolio = 'P1')",
         "aligned AS (SELECT l.*, f.* EXCLUDE (date) FROM doubled l JOIN factors f USING (date))", residual_block("CAPM"),
@@ -918,11 +990,35 @@ long_enough AS (SELECT * FROM halves QUALIFY count(*) OVER (PARTITION BY lookbac
   round_even(max_drawdown * 100, 2) + 0.0 AS max_drawdown,
   CASE WHEN portfolio <> '{LONG_SHORT}' THEN NULL WHEN annual_return > 2 THEN 'STRONG ANOMALY DETECTED'
        WHEN annual_return > 0 THEN 'WEAK ANOMALY DETECTED' ELSE 'ANOMALY REVERSED' END AS anomaly_status FROM perf"""),
+    "results_document": with_(*portfolios(LOOKBACKS), FACTOR_ROWS, BY_DATE, performance_rows("long", "lookback, portfolio"),
+        *[fit_block(m, t, group="lookback || ' ' || portfolio") for m, t in (("CAPM", "f1"), ("FF3", "f3"), ("FF5", "f5"))], BEST,
+        final=f"""SELECT lookback, '{START}' AS period_start, '{END}' AS period_end, portfolio,
+  {rounds('annual_return', 'sharpe_ratio', 'max_drawdown')}, n_months, model, {rounds('alpha', 'alpha_pvalue', 'r2')}, n_obs, k AS n_loadings
+  FROM perf JOIN fits ON grp = lookback || ' ' || portfolio"""),
     "final_summary": with_(*portfolios(LOOKBACKS), performance_rows("long", "lookback, portfolio"),
-        final=f"SELECT lookback, {rounds('annual_return', 'sharpe_ratio')}, n_months FROM perf WHERE portfolio = '{LONG_SHORT}'"),
+        final=f"SELECT lookback, {rounds('annual_return', 'sharpe_ratio')}, n_months, {ASKED.format(lookbacks=literal('6,12,24'))} FROM perf WHERE portfolio = '{LONG_SHORT}'"),
     "portfolios_side_by_side": with_(*portfolios(), final=f"SELECT lookback, date, {rounds(*PORTFOLIOS)} FROM wide"),
     "study_summary": with_(*study((12, 24), 1), performance_rows("long", "lookback, portfolio"),
-        final=f"SELECT lookback, {rounds('annual_return', 'sharpe_ratio')}, n_months FROM perf WHERE portfolio = '{LONG_SHORT}'"),
-    "quick_study": with_(*study((12,), 5), performance_rows("long", "lookback, portfolio"),
-        final=f"SELECT lookback, portfolio, {rounds('annual_return', 'sharpe_ratio')}, n_months FROM perf"),
+        final=f"SELECT lookback, {rounds('annual_return', 'sharpe_ratio')}, n_months, {ASKED.format(lookbacks=literal('12,24'))} FROM perf WHERE portfolio = '{LONG_SHORT}'"),
+    "study_repeated_quotes": with_(*study((12,), 1, LOWEST), performance_rows("long", "lookback, portfolio"),
+        final=f"SELECT lookback, {rounds('annual_return', 'sharpe_ratio')}, n_months, {ASKED.format(lookbacks=literal('12'))} FROM perf WHERE portfolio = '{LONG_SHORT}'"),
+    "study_regressions": with_(*study((12, 24), 1), FACTOR_ROWS, BY_DATE,
+        *[fit_block(m, t, group="lookback || ' ' || portfolio") for m, t in (("CAPM", "f1"), ("FF3", "f3"), ("FF5", "f5"))], BEST,
+        final=f"""SELECT CAST(string_split(grp, ' ')[1] AS INTEGER) AS lookback, string_split(grp, ' ')[2] AS portfolio, model,
+  {rounds('alpha', 'alpha_tstat', 'alpha_pvalue', 'r2', 'adj_r2')}, n_obs,
+  CASE WHEN alpha_pvalue < 0.01 THEN 'highly significant' WHEN alpha_pvalue < 0.05 THEN 'significant'
+       WHEN alpha_pvalue < 0.1 THEN 'marginally significant' ELSE 'not significant' END AS significance FROM fits"""),
+    "study_alphas": alpha_sql(BY_DATE, False, study((12,), 1)),
+    "study_three_factors": " UNION ALL ".join("SELECT * FROM (" + grs_sql(m, QUINTILES, views=study((12,), 1), final=f"""SELECT 12 AS lookback, '{m}' AS model, status, n_portfolios, n_factors, n_obs, df2,
+  {rounds('f_statistic', 'critical_value')}, {r(f_pvalue('f_statistic', 5, 'df2'))} AS p_value, f_statistic > critical_value AS is_significant
+  FROM stat JOIN crit USING (df2)""") + ")" for m in ("CAPM", "FF3")) + " UNION ALL SELECT 12, 'FF5', 'missing_factors', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
+    "study_files": with_(*study((12,), 1), f"""halves AS (
+  SELECT *, CASE WHEN date <= DATE '{START}' + CAST((DATE '{END}' - DATE '{START}') // 2 AS INTEGER) THEN 'first_half' ELSE 'second_half' END AS half
+  FROM long),
+long_enough AS (SELECT * FROM halves QUALIFY count(*) OVER (PARTITION BY lookback, portfolio, half) > 12)""",
+        performance_rows("long_enough", "lookback, portfolio, half"),
+        final=f"SELECT lookback, portfolio, half, {rounds(*MEASURES)}, n_months FROM perf"),
+    "quick_study": with_(*study((12,), 5), FACTOR_ROWS, BY_DATE, performance_rows("long", "lookback, portfolio"), fit_block("CAPM", "f"),
+        final=f"""SELECT lookback, portfolio, {rounds('annual_return', 'sharpe_ratio')}, n_months, model,
+  {rounds('alpha', 'alpha_tstat', 'alpha_pvalue', 'r2')}, n_obs FROM perf JOIN f ON grp = portfolio"""),
 }

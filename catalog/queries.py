@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from factorlab.operators import (
 from factorlab.plans import analysis as A, reports as REP
 from factorlab.schemas import FACTORS, MODELS, QUINTILES
 from factorlab.sources import constituents as C, factors as FAC, prices as PR
+from factorlab.staging import stage, staging_root
 
 from .views import END, START, Tables
 
@@ -215,17 +217,49 @@ def acquired_prices(t):
 
 
 @query
-def price_upsert(t):
-    """JOIN11, SET6: a later batch of returned lines replaces its tickers whole."""
-    lines = t.source("lineitem")
-    ticker = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
-    first = t.prices
-    second = (
-        lines.filter((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09))
-        .groupBy(ticker.alias("ticker"), F.to_date("l_shipdate").alias("date"))
-        .agg((F.sum(F.col("l_quantity").cast("long")) / F.count("*")).alias("price"))
+def acquired_months(t):
+    """SRC4, SRC6: month buckets of the chosen source, bound after one scan of the store."""
+    wanted = t.source("supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")
     )
-    return rounded(PR.upsert_batches([first, second]))
+    return rounded(PR.acquire_months(
+        wanted, t.prices, START, END, **_ticker_dimensions(t)
+    ).drop("month_idx"))
+
+
+@query
+def price_upsert(t):
+    """JOIN11, SET6: a later batch replaces its tickers whole."""
+    return rounded(PR.upsert_batches([t.prices, t.debtor_prices]))
+
+
+def _folder(t, name):
+    return f"{staging_root(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def price_store_round_trip(t):
+    """SNK1, JOIN11, SET6: the bucketed store written, some buckets renewed, and read back."""
+    path = _folder(t, "price-buckets")
+    PR.write_price_buckets(t.prices, path)
+    PR.replace_tickers(t.debtor_prices, path)
+    return rounded(PR.read_price_buckets(t.spark, path))
+
+
+@query
+def price_directories_round_trip(t):
+    """SRC3, SNK1: a directory of CSV for each ticker, written and scanned."""
+    path = _folder(t, "price-directories")
+    PR.write_price_directories(t.daily_panel, path)
+    return rounded(PR.read_price_directories(t.spark, path))
+
+
+@query
+def factor_store_round_trip(t):
+    """SNK2: the factor table stored whole and read back."""
+    path = _folder(t, "factors")
+    FAC.write_factors(t.factors, path)
+    return rounded(FAC.read_factors(t.spark, path))
 
 
 # ---- symbols --------------------------------------------------------------
@@ -250,6 +284,31 @@ def symbol_resolve_keep_extinct(t):
     return resolved.groupBy("resolution.symbol", "resolution.status").agg(F.count("*").alias("n"))
 
 
+@query
+def symbol_resolve_without_proxies(t):
+    """SC2: stand-ins of other companies do not count as mappings."""
+    resolved = S.resolve_symbols(t.listings, "raw_symbol", leave_out=("proxy",))
+    return resolved.select("listing", "raw_symbol", "resolution.*")
+
+
+@query
+def symbol_resolve_dated(t):
+    """SC2, DIM1: each price under the symbol that its ticker stood for on its day."""
+    supplier = t.source("supplier").filter(F.col("s_acctbal") > 3000)
+    own = F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol")
+
+    def mapped(step, kind, months):
+        target = F.concat(F.lit("S"), (F.col("s_suppkey") + step).cast("string")).alias("target")
+        since = F.add_months(F.lit(START), F.col("s_nationkey") + months).alias("valid_from")
+        return supplier.select(own, target, F.lit(kind).alias("kind"), since)
+
+    mappings = mapped(F.col("s_nationkey"), "renamed", 12).unionByName(mapped(F.lit(1), "proxy", 36))
+    resolved = S.resolve_symbols_asof(t.prices, "ticker", "date", mappings)
+    return resolved.groupBy("ticker", "resolved", "mapping_kind").agg(
+        F.count("*").alias("n_days"), F.min("date").alias("first_day"), F.max("date").alias("last_day")
+    )
+
+
 @query
 def resolution_stats(t):
     """AGG10."""
@@ -774,7 +833,8 @@ def _fitted(t, model):
     months = t.factors
     rows = R.align_by_date(t.portfolios(), months)
     design = R.design_rows(rows, ["portfolio"], [model])
-    fit = R.fit(design, ["portfolio", "model"])
+    # A row for each portfolio, solved once for results and residuals.
+    fit = stage(R.fit(design, ["portfolio", "model"]), "fitted")
     return R.describe(fit, ["portfolio"]), R.residuals(design, fit, ["portfolio", "model"]), months
 
 
@@ -796,11 +856,40 @@ def _grs(t, model, names, variant="full"):
     results, resid, months = _fitted(t, model)
     test = inference.grs_test(results, resid, months, names, model, variant=variant)
     return rounded(test.select(
-        "status", "n_portfolios", "n_factors", "n_obs", "df2", "f_statistic", "p_value",
+        "status", "n_portfolios", "n_factors", "n_obs", "df2", "f_statistic", "critical_value", "p_value",
         "term1", "term2", "term3", "is_significant", "conclusion",
     ))
 
 
+@query
+def grs_alphas(t):
+    """GRS2: the alphas, their tests and the factor means that entered the joint test."""
+    results, resid, months = _fitted(t, "FF3")
+    test = inference.grs_test(results, resid, months, QUINTILES, "FF3")
+    entered = F.arrays_zip(F.array(*map(F.lit, QUINTILES)).alias("name"), "alphas", "alpha_pvalues")
+    means = F.arrays_zip(F.array(*map(F.lit, MODELS["FF3"])).alias("name"), "factor_means")
+    own = test.select(F.inline(entered)).toDF("name", "alpha", "alpha_pvalue").withColumn("factor_mean", F.lit(None).cast("double"))
+    moves = test.select(F.inline(means)).toDF("name", "factor_mean")
+    return rounded(own.unionByName(moves, allowMissingColumns=True), 8)
+
+
+@query
+def grs_fifty_portfolios(t):
+    """GRS1 with fifty portfolios on each of two sides of an order: keys and cross products in long form."""
+    keys = ["side", "portfolio"]
+    long = stage(t.part_groups, "part-groups")
+    design = R.design_rows(R.align_by_date(long, t.factors), keys, ["CAPM"])
+    fit = stage(R.fit(design, [*keys, "model"]), "fitted")
+    test = inference.grs_test(
+        R.describe(fit, keys), R.residuals(design, fit, [*keys, "model"]), t.factors,
+        [f"G{i}" for i in range(50)], "CAPM", ["side"], variant="simple",
+    )
+    return rounded(test.select(
+        F.col("side").cast("int").alias("side"), "status", "n_portfolios", "n_factors", "n_obs", "df2",
+        "f_statistic", "critical_value", "p_value", "is_significant",
+    ), 5)
+
+
 @query
 def grs_capm_two_portfolios(t):
     """GRS2 with two portfolios."""
@@ -861,17 +950,28 @@ def report_table(t):
 
 @query
 def results_document(t):
-    """SNK4: the nested document per lookback, as the JSON text the sink writes. Rows only."""
+    """SNK4: the nested documents written as JSON, read back by their schema and unpacked."""
     long = t.portfolios(LOOKBACKS)
-    results = R.regressions(R.design_rows(R.align_by_date(long, t.factors), SERIES), SERIES)
+    results = stage(R.regressions(R.design_rows(R.align_by_date(long, t.factors), SERIES), SERIES), "results")
     document = REP.results_document(P.performance(long, SERIES), results, START, END)
-    return document.select("lookback", F.to_json(F.struct("*")).alias("document"))
+    path = _folder(t, "documents")
+    REP.write_json(document, path)
+    found = REP.read_documents(t.spark, path, document)
+    rows = found.select("lookback", "period", "factor_results", F.explode("performance").alias("p"))
+    own = F.filter("factor_results", lambda x: x["portfolio"] == F.col("p.portfolio"))
+    rows = rows.select("lookback", "period", "p", F.explode(own).alias("r"))
+    return rounded(rows.select(
+        "lookback", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"),
+        "p.portfolio", "p.annual_return", "p.sharpe_ratio", "p.max_drawdown", "p.n_months",
+        "r.model", "r.alpha", "r.alpha_pvalue", "r.r2", "r.n_obs", F.size("r.loadings").cast("int").alias("n_loadings"),
+    ))
 
 
 @query
 def final_summary(t):
-    """SNK6."""
-    return rounded(REP.final_summary(P.performance(t.portfolios(LOOKBACKS), SERIES)))
+    """SNK6: the long-short line beside period, lookbacks and models."""
+    performance = P.performance(t.portfolios(LOOKBACKS), SERIES)
+    return rounded(REP.final_summary(performance, START, END, LOOKBACKS, list(MODELS)))
 
 
 @query
@@ -880,20 +980,62 @@ def portfolios_side_by_side(t):
     return rounded(PF.portfolios_wide(t.portfolios()))
 
 
+def _study(t, prices=None, factors=None, **options):
+    config = A.AnalysisConfig(**{
+        "start": START, "end": END, "lookbacks": (12,), "min_per_quintile": 1, "run_series": False,
+        "run_subperiods": False, "run_robustness": False, **options})
+    return A.run_analysis(config, t.prices if prices is None else prices, factors, t.membership)
+
+
 @query
 def study_summary(t):
     """PIPE1, PIPE3: the whole study, its long-short line."""
-    config = A.AnalysisConfig(
-        start=START, end=END, lookbacks=(12, 24), min_per_quintile=1, run_series=False,
-    )
-    tables = A.run_analysis(config, t.price_store, t.factors, t.membership)
-    return rounded(tables["summary"])
+    return rounded(_study(t, factors=t.factors, lookbacks=(12, 24))["summary"])
+
+
+@query
+def study_repeated_quotes(t):
+    """PIPE3, DED1: a study over raw quotes, several a day, of which the lowest counts."""
+    return rounded(_study(t, t.quotes.select("ticker", "date", "price"))["summary"])
+
+
+@query
+def study_regressions(t):
+    """PIPE1: every model of every portfolio and lookback of a study."""
+    results = _study(t, factors=t.factors, lookbacks=(12, 24))["regressions"]
+    return rounded(results.drop("loadings", "period_start", "period_end"))
+
+
+@query
+def study_alphas(t):
+    """PIPE1, REG10: the alpha analysis of a study, from the regressions solved once."""
+    tables = _study(t, factors=t.factors)
+    return _alpha_columns(tables["alphas"])
+
+
+@query
+def study_three_factors(t):
+    """PIPE1, FLT6, SET4: joint tests of a study whose factor table lacks two factors."""
+    tests = _study(t, factors=t.factors.drop("RMW", "CMA"))["joint_test"]
+    return rounded(tests.select(
+        "lookback", "model", "status", "n_portfolios", "n_factors", "n_obs", "df2", "f_statistic",
+        "critical_value", "p_value", "is_significant",
+    ))
+
+
+@query
+def study_files(t):
+    """SNK5: a study written to its folder, its subperiods read back."""
+    folder = _folder(t, "study")
+    tables = _study(t, output_dir=folder, run_subperiods=True)
+    path = f"{folder}/{START}_to_{END}/subperiods"
+    return rounded(t.spark.read.schema(tables["subperiods"].schema).json(path))
 
 
 @query
 def quick_study(t):
-    """PIPE2: CAPM alphas of the quick preset."""
-    tables = A.quick_analysis(
-        START, END, t.price_store, factors=t.factors, membership=t.membership
-    )
-    return rounded(tables["performance"].select(*SERIES, "annual_return", "sharpe_ratio", "n_months"))
+    """PIPE2: CAPM alphas of the quick preset, beside the performance."""
+    tables = A.quick_analysis(START, END, t.prices, factors=t.factors, membership=t.membership)
+    measures = tables["performance"].select(*SERIES, "annual_return", "sharpe_ratio", "n_months")
+    alphas = tables["regressions"].select(*SERIES, "model", "alpha", "alpha_tstat", "alpha_pvalue", "r2", "n_obs")
+    return rounded(measures.join(alphas, SERIES))

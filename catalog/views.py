@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factorlab.operators.portfolios import portfolios_long, quintiles_pti
 from factorlab.operators.returns import monthly_returns
@@ -119,6 +119,20 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_groups(spark: SparkSession, sf_dir: str, groups: int = 50) -> DataFrame:
+    """(side, portfolio, date, ret): monthly returns of ``groups`` groups of parts, on two sides of an order."""
+    keys = [(F.col("l_linenumber") % 2).alias("side"), (F.col("l_partkey") % groups).alias("g"),
+            F.trunc("l_shipdate", "month").cast("date").alias("date")]
+    monthly = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(
+        F.count("*").alias("n"), _whole("l_tax").alias("tax"), _whole("l_discount").alias("disc")
+    ).withColumn("price", _price())
+    before = F.lag("price").over(Window.partitionBy("side", "g").orderBy("date"))
+    return monthly.select(
+        "side", F.concat(F.lit("G"), F.col("g").cast("string")).alias("portfolio"), "date",
+        ((F.col("price") / before - 1) * 100).alias("ret"),
+    )
+
+
 class Tables:
     """The derived tables one query needs, each built once and kept for that query."""
 
@@ -137,6 +151,19 @@ class Tables:
     def daily_panel(self) -> DataFrame:
         return daily_panel(self.spark, self.sf_dir)
 
+    @property
+    def debtor_prices(self) -> DataFrame:
+        """A second quotation, in units a line, of the suppliers in debt: whole histories."""
+        debt = self.source("supplier").filter(F.col("s_acctbal") < 0).select(
+            F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")
+        )
+        days = supplier_days(self.spark, self.sf_dir).join(debt, "ticker", "left_semi")
+        return days.select("ticker", "date", (F.col("qty") / F.col("n")).alias("price"))
+
+    @property
+    def part_groups(self) -> DataFrame:
+        return part_groups(self.spark, self.sf_dir)
+
     @property
     def quotes(self) -> DataFrame:
         return quotes(self.spark, self.sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ---- Fixed values ---------------------------------------------------------
@@ -147,14 +149,18 @@ def resolve_symbols(
     mappings: DataFrame | None = None,
     extinct: DataFrame | None = None,
     check_extinct: bool = True,
+    leave_out: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``resolution`` = struct(symbol, status, reason, original) (SC2).
 
-    Precedence: replaced, extinct, mapped, format_corrected, original. The
-    dimensions are small local tables, so Spark broadcasts them by their size.
+    Precedence: replaced, extinct, mapped, format_corrected, original. Mappings of
+    the kinds in ``leave_out`` (say ``proxy``) do not count. The dimensions are small
+    local tables, so Spark broadcasts them by their size.
     """
     spark = df.sparkSession
     mappings = mapping_dimension(spark) if mappings is None else mappings
+    if leave_out:
+        mappings = without_kinds(mappings, leave_out)
     extinct = extinct_dimension(spark) if extinct is None else extinct
     gone = extinct.select(
         F.col("symbol").alias("_sym"), F.col("replacement").alias("_repl"),
@@ -231,3 +237,47 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
             "success_rate", F.bround(F.try_divide(F.col("resolvable"), F.col("total")) * 100, 1)
         )
     )
+
+
+# ---- dated mappings --------------------------------------------------------
+
+def without_kinds(mappings: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """The mapping dimension without the named kinds, such as ``proxy``: stand-ins that are other companies."""
+    return mappings.filter(~F.col("kind").isin(list(kinds)) | F.col("kind").isNull())
+
+
+def mapping_spans(mappings: DataFrame) -> DataFrame:
+    """``(symbol, spans)`` of dated mappings ``(symbol, target, kind, valid_from)``.
+
+    A mapping holds from its day until the next one of the same symbol; without a day
+    it holds from the beginning. On one day the greatest target counts. The spans of a
+    symbol are an array in order of time, so that a panel meets the dimension
+    by symbol alone and picks its span in the row.
+    """
+    since = F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))
+    one = mappings.groupBy(normal("symbol").alias("symbol"), since.alias("since")).agg(
+        F.max_by(F.struct(normal("target").alias("target"), "kind"), normal("target")).alias("mapped")
+    )
+    return one.groupBy("symbol").agg(
+        F.sort_array(F.collect_list(F.struct("since", "mapped.target", "mapped.kind"))).alias("spans")
+    )
+
+
+def resolve_symbols_asof(df: DataFrame, column: str, day: str, mappings: DataFrame) -> DataFrame:
+    """Add ``resolved`` and ``mapping_kind``: the symbol that a raw one stood for on the row's day (SC2, DIM1).
+
+    The mapping is the last one dated on or before the day; before all of them, and
+    for a row without a day, the symbol stands for itself. An as-of join on the
+    dimension: the rows are not moved when Spark can broadcast the spans, which it
+    decides by their size.
+    """
+    spans = mapping_spans(mappings).withColumnRenamed("symbol", "_sym")
+    in_force = F.element_at(F.filter("spans", lambda s: s["since"] <= F.col(day)), -1)
+    return (
+        df.withColumn("_sym", normal(column))
+        .join(spans, "_sym", "left")
+        .withColumn("_span", F.when(F.size(F.filter("spans", lambda s: s["since"] <= F.col(day))) > 0, in_force))
+        .withColumn("resolved", F.coalesce("_span.target", "_sym"))
+        .withColumn("mapping_kind", F.col("_span.kind"))
+        .drop("_sym", "spans", "_span")
+    )

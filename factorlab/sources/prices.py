@@ -49,13 +49,23 @@ def write_prices(prices: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_price_directories(prices: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One directory per ticker, as CSV, for tools that look symbols up by name (SNK1)."""
+    """One directory per ticker, as CSV, for tools that look symbols up by name (SNK1).
+
+    Ranges of tickers and days share the writing: small tickers go out together, a
+    large one from several tasks, each adding a file to its directory.
+    """
     (
-        prices.repartition("ticker").sortWithinPartitions("ticker", "date")
+        prices.select("ticker", "date", "price").repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date")
         .write.mode(mode).option("header", True).partitionBy("ticker").csv(path)
     )
 
 
+def read_price_directories(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_price_directories` leaves; a filter on ``ticker`` reads its directory only (SRC3)."""
+    prices = spark.read.schema("date date, price double, ticker string").option("header", True).csv(path)
+    return prices.select("ticker", "date", "price")
+
+
 def one_price_per_day(prices: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row per ticker and day (DED1): the earliest by ``arrival``, else the lowest price.
 

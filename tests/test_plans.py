@@ -8,15 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.views import Tables, END as CAT_END, START as CAT_START
+from factorlab.operators import portfolios as portfolios_module
 from factorlab.operators.portfolios import (
     eligible_signals, extreme_portfolios, extremes_from_prices, quintiles_pti,
 )
 from factorlab.operators.returns import monthly_returns
 from factorlab.operators.sizing import broadcast_if_small
+from factorlab.plans import analysis as analysis_module
 from factorlab.plans.analysis import (
     AnalysisConfig, joint_significance, quick_analysis, run_analysis,
 )
 from factorlab.schemas import FACTOR_TABLE
+from factorlab.sources import prices as prices_module
 from factorlab.sources.constituents import explode_members
 from tests.panels import END, START, months, random_prices
 
@@ -144,3 +147,36 @@ def test_a_universe_of_more_than_a_hundred_is_whole(spark):
 def test_long_symbols_do_not_merge(spark):
     snapshots = spark.createDataFrame([(START, ["ABCDEFGHIJ", "ABCDEFGHIK"])], "date date, tickers array<string>")
     assert explode_members(snapshots).count() == 2 and explode_members(snapshots, cut=True).count() == 1
+
+
+def test_a_monthly_study_scans_the_prices_once_and_stages_no_days(spark, monkeypatch, tmp_path):
+    rows = random_prices(25, seed=8, gap=0.0, steps=(3, 4))
+    prices = spark.createDataFrame(rows, "ticker string, date date, price double")
+    prices.unionByName(prices).write.parquet(str(tmp_path / "each-quote-twice"))
+    store = spark.read.parquet(str(tmp_path / "each-quote-twice"))
+    members = spark.createDataFrame([(START, t) for t in sorted({r[0] for r in rows})], "date date, symbol string")
+    seen = []
+
+    def noted(df, name):
+        out = real(df, name)
+        seen.append((name, plan_of(df), out.count()))
+        return out
+
+    real = prices_module.stage
+    for module in (prices_module, analysis_module, portfolios_module):
+        monkeypatch.setattr(module, "stage", noted)
+    config = AnalysisConfig(start=START, end=END, lookbacks=(4,), min_per_quintile=1, run_series=False, run_subperiods=False, run_robustness=False)
+    run_analysis(config, store, None, members)["portfolios"].collect()
+    scans = [name for name, plan, _ in seen if "each-quote-twice" in plan]
+    assert scans == ["stored-months"]
+    months_plan = next(plan for name, plan, _ in seen if name == "stored-months")
+    # One exchange of month buckets; none by day.
+    assert months_plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(ticker#" in months_plan
+    assert all(count < len(rows) for _, _, count in seen)
+
+
+def test_joint_tests_of_all_models_have_one_plan(spark, inputs):
+    prices, members, factors = inputs
+    tables = run_analysis(AnalysisConfig(start=START, end=END, lookbacks=(4, 6), min_per_quintile=1), prices, factors, members)
+    plan = plan_of(tables["joint_test"])
+    assert plan.count("MapInPandas") == 1 and "Union" not in plan

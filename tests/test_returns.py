@@ -1,14 +1,18 @@
 import datetime as dt
+import math
+import random
+import statistics
 
 import pytest
 
 from factorlab.functions.dates import month_grid
 from factorlab.operators.returns import (
-    daily_returns, dense_months, monthly_returns, returns_long, returns_wide,
+    daily_returns, dense_months, monthly_returns, returns_long, returns_wide, trading_calendar,
 )
-from factorlab.operators.signals import vol_daily, vol_monthly
+from factorlab.operators.signals import formation_blocks, vol_daily, vol_monthly
+from factorlab.operators.universe import gap_summaries, validity_metadata
 from factorlab.sources.prices import one_price_per_day
-from tests.panels import END, START, brute_monthly, random_prices
+from tests.panels import END, START, brute_monthly, months, random_prices
 
 SCHEMA = "ticker string, date date, price double"
 
@@ -105,3 +109,42 @@ def test_one_price_per_day(spark):
 def test_month_grid(spark):
     got = [r["month"] for r in month_grid(spark, dt.date(2020, 1, 15), dt.date(2020, 3, 2)).collect()]
     assert got == [dt.date(2020, 1, 1), dt.date(2020, 2, 1), dt.date(2020, 3, 1)]
+
+
+def test_blocks_reduce_before_they_meet_windows(spark):
+    """Daily volatility by blocks equals the deviation over each window, and sends fewer rows than it reads."""
+    rng = random.Random(5)
+    rows = [(f"T{k}", START + dt.timedelta(days=i), 100 * math.exp(rng.gauss(0, 0.2))) for k in range(4) for i in range(400) if rng.random() < 0.9]
+    prices = spark.createDataFrame(rows, "ticker string, date date, price double")
+    formations = spark.createDataFrame([(m,) for m in months(START, END)], "formation date")
+    got = {(r.ticker, r.formation): (r.vol, r.n_obs) for r in vol_daily(prices, formations, 60, 20).collect()}
+    calendar = sorted({d for _, d, _ in rows})
+    at, by = {d: i + 1 for i, d in enumerate(calendar)}, {}
+    for t, d, p in rows:
+        by.setdefault(t, {})[at[d]] = p
+    want = {}
+    for m in months(START, END):
+        anchor = next((at[d] for d in calendar if d >= m), None)
+        if anchor is None or anchor <= 60:
+            continue
+        for t, own in by.items():
+            moves = [(own[i] / own[i - 1] - 1) * 100 for i in range(anchor - 60, anchor) if i in own and i - 1 in own]
+            if len(moves) >= 20:
+                want[t, m] = (round(statistics.stdev(moves) * math.sqrt(252), 9), len(moves))
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2e-9 and got[k][1] == want[k][1] for k in want)
+    blocks, inside = formation_blocks(trading_calendar(prices), formations, 60)
+    assert blocks.count() == len(calendar)
+    sent = prices.join(blocks, "date").groupBy("ticker", "block").count().join(inside, "block").selectExpr("sum(size(formations)) AS n").first()["n"]
+    assert sent < len(rows)
+
+
+def test_gaps_of_a_hot_ticker_need_no_daily_window(spark):
+    hot = spark.range(200_000).selectExpr("'HOT' AS ticker", "date_add(DATE'2000-01-03', CAST(id % 2000 * 3 AS INT)) AS date", "1.0D AS price")
+    few = spark.createDataFrame([("ONE", dt.date(2020, 2, 29), 1.0), ("TWO", dt.date(2019, 12, 31), 1.0), ("TWO", dt.date(2020, 3, 1), 1.0),
+                                 ("TWO", dt.date(2020, 3, 1), 2.0)], "ticker string, date date, price double")
+    prices = hot.unionByName(few)
+    got = {r.ticker: (r.total_observations, r.max_gap_days, r.duration_days) for r in validity_metadata(prices).collect()}
+    assert got == {"HOT": (200_000, 3, 1999 * 3), "ONE": (1, None, 0), "TWO": (3, 61, 61)}
+    assert gap_summaries(prices).count() < 400  # what the window sees
+    plan = validity_metadata(prices)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("partial_bit_or") and plan.count("Exchange hashpartitioning") == 2

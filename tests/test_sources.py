@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from factorlab.operators.returns import month_buckets
 from factorlab.schemas import CONSTITUENTS_FILE, FACTOR_TABLE
 from factorlab.sources import constituents as C, factors as FAC, prices as PR
 from factorlab.staging import stage
@@ -148,3 +149,53 @@ def test_hot_ticker_combines_before_it_shuffles(spark):
     assert "partial_min" in plan and plan.index("partial_min") > plan.index("Exchange hashpartitioning")
     got = {r["ticker"]: r["n"] for r in daily.groupBy("ticker").agg(F.count("*").alias("n")).collect()}
     assert got["HOT"] == 20 and len(got) == 301
+
+
+def test_stored_months_equal_buckets_of_sound_prices(spark):
+    rows = [("A", D(2020, 1, d), float(p)) for d, p in ((2, 5), (2, 3), (2, 4), (9, 7), (31, 8), (31, 6), (31, 9))]
+    rows += [("A", D(2020, 2, 3), None), ("A", D(2020, 2, 4), 2.0), ("B", D(2020, 1, 1), None)]
+    prices = spark.createDataFrame(rows, PRICES)
+    got = sorted(map(tuple, PR.stored_months(prices, D(2020, 1, 1), D(2020, 12, 31)).collect()))
+    want = sorted(map(tuple, month_buckets(PR.sound_prices(prices), D(2020, 1, 1), D(2020, 12, 31)).collect()))
+    assert got == want and got[0][2:5] == (3, 3.0, 6.0) and len(got) == 2
+
+
+def test_late_binding_equals_early_binding(spark):
+    days = [(D(2020, m, d), float(m + d)) for m in (1, 2) for d in (3, 10, 20)]
+    rows = [(t, day, p + k) for k, t in enumerate(("RTX", "UTX", "FB", "TWTR")) for day, p in days] + [("META", D(2019, 1, 1), 5.0)]
+    prices = spark.createDataFrame(rows, PRICES)
+    wanted = spark.createDataFrame([("UTX",), ("RTN",), ("FB",), ("TWTR",), ("NONE",)], "ticker string")
+    first, last = D(2020, 1, 1), D(2020, 12, 31)
+    early = PR.acquire_prices(wanted, prices, first, last)
+    late = PR.acquire_months(wanted, prices, first, last)
+    columns = ["ticker", "month", "n_days", "first_price", "last_price", "first_day", "last_day"]
+    assert sorted(map(tuple, late.select(columns).collect())) == sorted(map(tuple, month_buckets(early, first, last).select(columns).collect()))
+    assert {(r.ticker, r.source_symbol) for r in late.collect()} == {("UTX", "RTX"), ("RTN", "RTX"), ("FB", "FB"), ("TWTR", "TWTR")}
+
+
+def test_only_touched_buckets_are_renewed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(f"T{k}", D(2020, 1, d), float(d)) for k in range(40) for d in (1, 2, 3)]
+    PR.write_price_buckets(spark.createDataFrame(rows, PRICES), path, buckets=8)
+    before = {p: os.stat(os.path.join(folder, p)).st_mtime_ns for folder, _, names in os.walk(path) for p in names}
+    batch = spark.createDataFrame([("T3", D(2020, 1, 9), 9.0), ("NEW", D(2020, 1, 9), 1.0)], PRICES)
+    touched = PR.replace_tickers(batch, path, buckets=8)
+    again = PR.replace_tickers(batch, path, buckets=8)  # the same call once more changes nothing
+    got = {(r.ticker, r.date.day, r.price) for r in PR.read_price_buckets(spark, path).collect()}
+    assert got == {(t, d.day, p) for t, d, p in rows if t != "T3"} | {("T3", 9, 9.0), ("NEW", 9, 1.0)}
+    assert touched == again and 1 <= len(touched) <= 2
+    for folder, _, names in os.walk(path):
+        for name in names:
+            if name.endswith(".parquet"):
+                assert (name in before) == (int(folder.rsplit("=", 1)[1]) not in touched)
+    named = PR.read_price_buckets(spark, path, ["T3"], buckets=8)
+    assert [(r.ticker, r.price) for r in named.collect()] == [("T3", 9.0)]
+    assert "PartitionFilters: [isnotnull(bucket" in named._jdf.queryExecution().executedPlan().toString() or "bucket#" in named._jdf.queryExecution().executedPlan().toString()
+    assert PR.replace_tickers(batch.limit(0), path, buckets=8) == []
+
+
+def test_price_directories_split_a_large_ticker(spark, tmp_path):
+    hot = spark.range(20_000).selectExpr("'HOT' AS ticker", "date_add(DATE'1960-01-01', CAST(id AS INT)) AS date", "double(id) AS price")
+    PR.write_price_directories(hot.unionByName(hot.limit(1).withColumn("ticker", F.lit("ONE"))), str(tmp_path / "d"))
+    back = PR.read_price_directories(spark, str(tmp_path / "d"))
+    assert back.where("ticker = 'HOT'").count() == 20_000 and back.where("ticker = 'ONE'").count() == 1

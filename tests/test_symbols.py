@@ -1,7 +1,11 @@
+import datetime as dt
+
 import pytest
 
 from factorlab.functions import symbols as S
 
+D = dt.date
+
 
 def symbols(spark, names):
     return spark.createDataFrame([(n,) for n in names], "raw string")
@@ -59,3 +63,23 @@ def test_dimensions_can_grow(spark):
     # Dimensions are local relations: small enough for Spark to broadcast unasked.
     plan = S.resolve_symbols(symbols(spark, ["FB"]), "raw")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_dated_mappings(spark):
+    mappings = spark.createDataFrame(
+        [("OLD", "MID", "renamed", D(2010, 1, 1)), ("old", "new", "renamed", D(2015, 6, 1)), ("OLD", "NEWER", "proxy", D(2015, 6, 1)),
+         ("ALW", "ALWAYS", "merged", None)],
+        "symbol string, target string, kind string, valid_from date")
+    rows = spark.createDataFrame(
+        [("OLD", D(2009, 12, 31)), ("OLD", D(2010, 1, 1)), ("old ", D(2015, 5, 31)), ("OLD", D(2020, 1, 1)), ("ALW", D(1900, 1, 1)), ("X", D(2020, 1, 1)), ("OLD", None)],
+        "raw string, day date")
+    got = sorted(((r.raw, str(r.day), r.resolved, r.mapping_kind) for r in S.resolve_symbols_asof(rows, "raw", "day", mappings).collect()))
+    assert got == sorted([
+        ("OLD", "2009-12-31", "OLD", None), ("OLD", "2010-01-01", "MID", "renamed"), ("old ", "2015-05-31", "MID", "renamed"),
+        ("OLD", "2020-01-01", "NEWER", "proxy"), ("ALW", "1900-01-01", "ALWAYS", "merged"), ("X", "2020-01-01", "X", None), ("OLD", "None", "OLD", None)])
+
+
+def test_proxies_can_be_left_out(spark):
+    rows = spark.createDataFrame([("PEAK",), ("FB",)], "raw string")
+    got = {r.raw: (r.resolution.symbol, r.resolution.status) for r in S.resolve_symbols(rows, "raw", leave_out=("proxy",)).collect()}
+    assert got == {"PEAK": ("PEAK", "original"), "FB": ("META", "mapped")}
