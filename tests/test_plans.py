@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -159,7 +160,7 @@ def test_a_monthly_study_scans_the_prices_once_and_stages_no_days(spark, monkeyp
 
     def noted(df, name):
         out = real(df, name)
-        seen.append((name, plan_of(df), out.count()))
+        seen.append((name, plan_of(df), out.count(), any("each-quote-twice" in f for f in df.inputFiles())))
         return out
 
     real = prices_module.stage
@@ -167,12 +168,13 @@ def test_a_monthly_study_scans_the_prices_once_and_stages_no_days(spark, monkeyp
         monkeypatch.setattr(module, "stage", noted)
     config = AnalysisConfig(start=START, end=END, lookbacks=(4,), min_per_quintile=1, run_series=False, run_subperiods=False, run_robustness=False)
     run_analysis(config, store, None, members)["portfolios"].collect()
-    scans = [name for name, plan, _ in seen if "each-quote-twice" in plan]
+    scans = [name for name, _, _, from_store in seen if from_store]
     assert scans == ["stored-months"]
-    months_plan = next(plan for name, plan, _ in seen if name == "stored-months")
-    # One exchange of month buckets; none by day.
-    assert months_plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(ticker#" in months_plan
-    assert all(count < len(rows) for _, _, count in seen)
+    months_plan = next(plan for name, plan, *_ in seen if name == "stored-months")
+    # One exchange of month buckets and one of the names asked for; none by day.
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", months_plan)
+    assert len(keys) == 2 and keys[0].startswith("ticker#") and "_groupingexpression" in keys[0] and keys[1].startswith("symbol#")
+    assert all(count < len(rows) for _, _, count, _ in seen)
 
 
 def test_joint_tests_of_all_models_have_one_plan(spark, inputs):
