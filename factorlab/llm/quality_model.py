@@ -6,14 +6,16 @@ that overlap by 128 and cover the whole text; a small hidden layer makes a logit
 each chunk, and the text's score is the logistic function of the chunks' mean logit.
 
 Learning takes at most ``ROWS_PER_CLASS`` labelled rows of each class, those with the
-least hash of the id, and of each at most ``CHUNKS_PER_ROW`` chunks spread evenly
-over the whole text: a fixed bound, whatever the input's size. The score reads
-every byte of every text.
+least hash of the id: a fixed bound, whatever the input's size. All chunks of these rows are
+learnt from, each row counting as much as another. The score reads every byte of every
+text, and nothing else: windows that reach from a row's padding into the next row are left out, so
+that a score depends on the text alone, wherever it stands.
 
 Defined results for odd input: a null or empty text is one chunk of padding and
 has a score like any other. A row without a label is scored, not learnt from.
 Of several labels of one id the lowest counts. Without labels of both classes
-every score is 0.5. Repeated rows get the same score. An empty table gives an
+every score is 0.5. Repeated rows, and equal texts, get the same score up to the rounding of single
+precision. A very long text has as many chunks as it needs. An empty table gives an
 empty one. Only doc_id and text are read, so that extra columns do not matter.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import crc_remainder, pieces, text_bytes
 
-ROWS_PER_CLASS, CHUNKS_PER_ROW = 1_500, 6
+ROWS_PER_CLASS = 1_500
 EMBEDDING, FILTERS, HIDDEN, WIDTH, STEP = 8, 32, 16, 8, 2
 SEGMENT = 128  # bytes; a chunk is four of them, and begins three after the one before
 CHUNK, HOP = 4, 3
@@ -103,11 +105,14 @@ class Network:
     def scores(self, texts: pa.Array) -> np.ndarray:
         data, before = padded(*text_bytes(texts))
         tops = np.empty((before[-1], FILTERS), np.float32)
-        step = SLICE // SEGMENT
+        # The last places of a row's last segment would see the next row's bytes.
+        outside = (WIDTH - STEP) // STEP
+        step, ends = SLICE // SEGMENT, before[1:] - 1
         for begin in range(0, before[-1], step):
             end = min(begin + step, before[-1])
-            found = self.responses(data[begin * SEGMENT:end * SEGMENT + WIDTH])
-            tops[begin:end] = found.reshape(end - begin, SEGMENT // STEP, FILTERS).max(axis=1)
+            found = self.responses(data[begin * SEGMENT:end * SEGMENT + WIDTH]).reshape(end - begin, SEGMENT // STEP, FILTERS)
+            found[ends[(ends >= begin) & (ends < end)] - begin, -outside:] = -np.inf
+            tops[begin:end] = found.max(axis=1)
         first, last, chunks = chunk_starts(before)
         pooled = tops[first]
         for k in range(1, CHUNK):
@@ -116,14 +121,18 @@ class Network:
         return 1 / (1 + np.exp(-mean))
 
 
-def trained(chunks: np.ndarray, labels: np.ndarray, seed: int = 3) -> Network:
-    """A network fitted to chunks (rows of CHUNK * SEGMENT + WIDTH bytes) and their texts' labels, by Adam."""
+def trained(chunks: np.ndarray, labels: np.ndarray, share_of_row: np.ndarray, seed: int = 3) -> Network:
+    """A network fitted to chunks (rows of CHUNK * SEGMENT + WIDTH bytes) and their texts' labels, by Adam.
+
+    ``share_of_row`` is the part of its row that a chunk stands for. Rows of both classes weigh the
+    same in sum; within an epoch, a row's chunks weigh as one row.
+    """
     rng = np.random.default_rng(seed)
     net = Network.untrained(rng)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in net.parameters()]
     # Both classes count the same.
-    share = labels.mean()
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    share = (labels * share_of_row).sum() / share_of_row.sum()
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) * share_of_row / share_of_row.mean()
     places, steps = (CHUNK * SEGMENT) // STEP, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(chunks))
@@ -156,8 +165,8 @@ def trained(chunks: np.ndarray, labels: np.ndarray, seed: int = 3) -> Network:
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks to learn from, and their labels: of rows whose crc32 remainder is not 0."""
+def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks of the rows to learn from (those whose crc32 remainder is not 0), their labels and parts of their rows."""
     known = labels.where(crc_remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.min("quality").alias("label"))
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for k in (0, 1)]
     wanted = picked[0].unionByName(picked[1])
@@ -169,8 +178,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
             first, last, chunks = chunk_starts(before)
             out, whose = [], []
             for row in range(batch.num_rows):
-                own = np.arange(chunks[row], chunks[row + 1])
-                for k in own[np.unique(np.linspace(0, len(own) - 1, CHUNKS_PER_ROW).astype(int))]:
+                for k in range(chunks[row], chunks[row + 1]):
                     chunk = data[first[k] * SEGMENT:first[k] * SEGMENT + CHUNK * SEGMENT + WIDTH].copy()
                     chunk[(last[k] + 1 - first[k]) * SEGMENT:] = 0
                     out.append(chunk.tobytes())
@@ -185,12 +193,13 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
     order = np.lexsort((np.array(found.column("chunk").to_pylist(), object).astype("S") if found.num_rows else np.zeros(0), found.column("doc_id").to_numpy()))
     size = CHUNK * SEGMENT + WIDTH
     chunks = np.frombuffer(b"".join(found.column("chunk").to_pylist()), np.uint8).reshape(-1, size)
-    return chunks[order], found.column("label").to_numpy()[order].astype(np.float32)
+    _, of, times = np.unique(found.column("doc_id").to_numpy()[order], return_inverse=True, return_counts=True)
+    return chunks[order], found.column("label").to_numpy()[order].astype(np.float32), 1 / times[of]
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
-    chunks, known = sample(docs, labels)
-    return trained(chunks, known) if 0 < known.sum() < len(known) else None
+    chunks, known, share = sample(docs, labels)
+    return trained(chunks, known, share) if 0 < known.sum() < len(known) else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

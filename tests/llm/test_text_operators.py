@@ -88,6 +88,40 @@ def test_scores_of_odd_rows(spark, quality):
     assert np.allclose(together, alone, atol=1e-5) and ((together >= 0) & (together <= 1)).all()
 
 
+def direct(net, text):
+    """The score of one text, window by window: no shared array, no neighbour."""
+    raw = text.encode()
+    segments = (len(raw) + quality_model.WIDTH) // quality_model.SEGMENT + 1
+    data = raw + bytes(segments * quality_model.SEGMENT - len(raw))
+    tops = np.full((segments, quality_model.FILTERS), -np.inf)
+    for at in range(0, len(data) - quality_model.WIDTH + 1, quality_model.STEP):
+        window = net.embedding[list(data[at:at + quality_model.WIDTH])].astype(np.float64).reshape(-1)
+        tops[at // quality_model.SEGMENT] = np.maximum(tops[at // quality_model.SEGMENT], window @ net.filters)
+    logits, first = [], 0
+    while True:
+        last = min(first + quality_model.CHUNK, segments)
+        h = np.maximum(tops[first:last].max(axis=0) + net.bias, 0) @ net.hidden + net.hidden_bias
+        logits.append(np.maximum(h, 0) @ net.out + net.out_bias[0])
+        if last == segments:
+            return 1 / (1 + np.exp(-np.mean(logits)))
+        first += quality_model.HOP
+
+
+def test_scores_equal_a_direct_convolution(quality):
+    _, _, net = quality
+    texts = ["", "a", "x" * 120, "y" * 127, "z" * 128, prose(4, 90), "Grüße 東京 " * 60, prose(5, 700)]
+    assert np.allclose(net.scores(pa.array(texts)), [direct(net, t) for t in texts], atol=1e-5)
+
+
+def test_scores_do_not_depend_on_order(quality):
+    docs, _, net = quality
+    texts = [r.text for r in docs.select("text").collect()]
+    back = net.scores(pa.array(texts[::-1]))[::-1]
+    assert np.allclose(net.scores(pa.array(texts)), back, atol=1e-5)
+    alone = np.concatenate([net.scores(pa.array([t])) for t in texts[:60]])
+    assert np.allclose(alone, back[:60], atol=1e-5)
+
+
 def test_every_byte_is_read(quality):
     _, _, net = quality
     data, before = quality_model.padded(np.arange(1, 1000, dtype=np.int64).astype(np.uint8), np.array([0, 300, 300, 999]))
