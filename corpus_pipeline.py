@@ -24,6 +24,10 @@ from factorlab.staging import staging_root
 MIXTURE = mixing.Target(entropy=None, max_repeats=2.0)
 
 
+# Bytes of texts that a task holds back before it writes them.
+ROW_GROUP = 16 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.filtered(docs)
@@ -69,6 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{root}/{k}-{name}"
-            docs.write.parquet(path)
+            docs.write.option("parquet.block.size", ROW_GROUP).parquet(path)
             docs = spark.read.parquet(path)
     return docs

@@ -52,7 +52,9 @@ BLOCK, BLOCK_KMERS = 1024, 1 << 20
 # Lengths of a class differ by less than this factor; a link spans two classes more at most.
 LENGTHS, SPAN = 1.12, 2
 # Texts with a k-mer up to which their pairs are listed; above, they are a column of a matrix product.
-LISTED, COLUMNS = 16, 2048
+LISTED, COLUMNS = 16, 1024
+# Pairs listed at once, rows compared at once, and text bytes turned to k-mers at once.
+LISTED_PAIRS, STRIP, TEXT_BYTES = 1 << 19, 256, 2 << 20
 # Comparisons with one centre in one task.
 PER_TASK = 200
 
@@ -198,7 +200,7 @@ def _id_key(doc_id: str = "doc_id") -> Column:
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, text key, digest of the k-mers, their number and the sketches of every row."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=TEXT_BYTES):
             kmers, offsets = kmer_sequences(batch.column("text"))
             marks = sketches(kmers, offsets)
             yield pa.RecordBatch.from_arrays([
@@ -215,7 +217,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """k-mer sequences (32 bits each) of the ``wanted`` digests, whose text key and id are given."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=TEXT_BYTES):
             kmers, offsets = kmer_sequences(batch.column("text"))
             raw = pa.py_buffer(kmers.astype(np.uint32).tobytes())
             ends = pa.py_buffer((offsets * 4).astype(np.int64))
@@ -228,37 +230,58 @@ def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def in_common(sequences: list[np.ndarray]) -> np.ndarray:
-    """How many k-mers, in any order, each two texts have in common: no alignment matches more."""
+    """How many k-mers, in any order, each two different texts have in common: no alignment matches more.
+
+    Holds one number for each two texts, and a few MB beside.
+    """
     n, sizes = len(sequences), np.array([len(x) for x in sequences])
     names = labelled(np.concatenate(sequences).astype(np.uint64), np.concatenate(([0], np.cumsum(sizes))))
     order = np.argsort(names, kind="stable")
     rows = np.repeat(np.arange(n), sizes)[order]
     first = np.flatnonzero(np.concatenate(([True], np.diff(names[order]) != 0)))
     held = np.diff(np.append(first, len(names)))
+    del names, order
     out = np.zeros((n, n), np.float32)
+    flat = out.reshape(-1)
     for t in range(2, min(LISTED, n) + 1):
         begin = first[held == t]
-        for k in range(0, len(begin), 1 << 15):
-            who = rows[begin[k:k + (1 << 15), None] + np.arange(t)]
-            out += np.bincount((who[:, :, None] * n + who[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+        i, j = np.triu_indices(t, 1)
+        step = max(1, LISTED_PAIRS // len(i))
+        for k in range(0, len(begin), step):
+            who = np.sort(rows[begin[k:k + step, None] + np.arange(t)], axis=1)
+            pair, times = np.unique(who[:, i] * n + who[:, j], return_counts=True)
+            flat[pair] += times
     often = np.flatnonzero(held > LISTED)
     for k in range(0, len(often), COLUMNS):
         some = often[k:k + COLUMNS]
         has = np.zeros((n, len(some)), np.float32)
         for j, x in enumerate(some.tolist()):
             has[rows[first[x]:first[x] + held[x]], j] = 1
-        out += has @ has.T
+        for begin in range(0, n, STRIP):
+            out[begin:begin + STRIP, begin:] += has[begin:begin + STRIP] @ has[begin:].T
+    for begin in range(0, n, STRIP):  # the other half
+        end = min(begin + STRIP, n)
+        above = np.triu(out[begin:end, begin:end], 1)
+        out[begin:end, begin:end] = above + above.T
+        out[begin:end, :begin] = out[:begin, begin:end].T
     return out
 
 
 def joined(sequences: list[np.ndarray], component: list, block: np.ndarray) -> list[tuple[int, int, float]]:
     """Links that join all components of these texts which a link joins; of two blocks, only links between them."""
-    common, sizes = in_common(sequences), np.array([len(x) for x in sequences])
+    common, sizes = in_common(sequences), np.array([len(x) for x in sequences], np.float32)
     _, root = np.unique(component, return_inverse=True)
-    able = np.triu(common >= SIMILARITY * (sizes[:, None] + sizes[None, :] - common) - 1e-3, 1) & (root[:, None] != root[None, :])
-    if block.any() and not block.all():
-        able &= block[:, None] != block[None, :]
-    x, y = np.nonzero(able)
+    two = block.any() and not block.all()
+    able = []
+    for begin in range(0, len(sizes), STRIP):
+        held = common[begin:begin + STRIP]
+        fits = held >= SIMILARITY * (sizes[begin:begin + STRIP, None] + sizes[None, :] - held) - 1e-3
+        fits &= (root[begin:begin + STRIP, None] != root[None, :]) & (np.arange(begin, begin + len(held))[:, None] < np.arange(len(sizes))[None, :])
+        if two:
+            fits &= block[begin:begin + STRIP, None] != block[None, :]
+        i, j = np.nonzero(fits)
+        able.append((i + begin, j))
+    x, y = (np.concatenate(c) for c in zip(*able, strict=True))
     # The most alike first, as they join the most.
     best = np.argsort(-(common[x, y] / (sizes[x] + sizes[y] - common[x, y])), kind="stable")
     out = []
