@@ -7,15 +7,20 @@ there, and each table is a customer in the parent. The restaurant without a
 context has the uniform distribution over 256 symbols for a parent. Contexts reach over
 word ends, so that a word is predicted from the end of the one before.
 
-Counts are gathered from all training texts. The seating is then sampled by Gibbs
-sweeps over numbers of tables: for a dish of up to ``EXACT`` customers the number is
-drawn from its conditional distribution given all others (with generalised
-Stirling numbers); the customers of a more frequent dish are seated anew, in
-blocks that grow with those seated. Restaurants of two bytes of context and more are
-spread over the cluster by these two bytes; those above (at most 256 * 257
-dishes) are sampled by the driver, from sums of table numbers. After a burn-in,
-predictive probabilities are kept for ``SAMPLES`` states of the sampler, and a symbol's
-probability is their average.
+Texts stand in chunks. A chunk asks for its own different grams (a symbol below its context) once, with
+their training counts; these requests are dealt to groups by the last two bytes of the context, and a
+group's requests to slots of a bounded number of chunks. Sums of a group's slots are its part of the
+model; answers (a log probability for each gram asked) go back to the chunks. So no part of the model but
+the two smallest kinds of restaurant passes the driver, and texts are gone through twice, however large the model is.
+
+The seating is sampled by Gibbs sweeps over numbers of tables: for a dish of up to ``EXACT`` customers the
+number is drawn from its distribution given the other tables of its restaurant and the probability that
+the parent gives it; the customers of a more frequent dish are seated anew, in blocks that grow with
+those seated. Two approximations: the blocks, and that the parent's probability is that of the state before the sweep, in
+which the dish's own tables still count. Restaurants of two bytes of context and more are swept in their group; those
+above (at most 256 * 257 dishes) by the driver, from sums of table numbers. After a
+burn-in, the tables of ``SAMPLES`` states are kept, and a symbol's probability is the average of its
+probabilities in these states.
 
 The word model has c + 1 over N + V + 1, for c occurrences of the word among N
 training tokens, V of them different. Its counts come back to the texts by
@@ -23,8 +28,8 @@ chunk: a chunk asks for its own different words, so that no vocabulary is broadc
 
 Defined results for odd input: a null text is an empty one, which is the end token
 alone. A null id counts as the empty text for the split. Repeated rows train as
-often as they stand there. Without training texts every count is 0 and symbols are
-uniform. An empty table gives an empty one. Only doc_id and text are read, so
+often as they stand there. Equal texts have equal scores up to the rounding of sums. A very long text is a chunk of its own and
+worked on in turns. Without training texts every count is 0 and symbols are uniform. An empty table gives an empty one. Only doc_id and text are read, so
 that extra columns do not matter.
 """
 
@@ -41,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..staging import release, stage
-from .words import LOWER, NONBLANK, crc_remainder, list_column, pieces, span_hashes, spans, text_bytes
+from .words import LOWER, NONBLANK, crc_remainder, list_column, mix, pieces, span_hashes, spans, text_bytes
 
 CONTEXT = 6
 BURN_IN, SAMPLES = 3, 3
@@ -49,14 +54,15 @@ BURN_IN, SAMPLES = 3, 3
 DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.8)
 STRENGTH = (1.0,) * (CONTEXT + 1)
 EXACT = 30
-# Dishes of the model that a task is given at once; a larger model is gone through in parts.
-PART_DISHES = 1_000_000
+# Text bytes of a chunk and for each group of the model, and the chunks whose requests meet in a slot.
+CHUNK_BYTES, GROUP_BYTES, SLOT_CHUNKS = 16 << 20, 4 << 20, 64
+# There are no more groups than last two bytes.
+MOST_GROUPS = 1 << 14
 # Text bytes that a bucket of the vocabulary is sized for.
 BUCKET_BYTES = 8 << 20
 BLANK, END = 0x20, 0x0A
 _END_KEY = np.uint64(0x0E17D0F7EC7ED001)
 PART_BYTES = 1 << 20
-_SLICE = 1 << 18
 
 
 # --- texts ----------------------------------------------------------------
@@ -65,7 +71,7 @@ def chunked(docs: DataFrame, held_out) -> DataFrame:
     """Documents in rows of a few MB of text: chunk, doc_ids, held_out, texts."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
-        for k, batch in enumerate(pieces(batches)):
+        for k, batch in enumerate(pieces(batches, size=CHUNK_BYTES)):
             ends = np.array([0, batch.num_rows])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([first + k], pa.int64()), *(list_column(batch.column(c), ends) for c in ("doc_id", "held_out", "text"))],
@@ -94,35 +100,40 @@ def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return different, which[:-1], before, which[-1]
 
 
+_FOLDED = np.where(NONBLANK, LOWER, BLANK).astype(np.uint8)
+_LEAD, _TAIL = pa.scalar(b" " * CONTEXT, pa.large_binary()), pa.scalar(b" x", pa.large_binary())
+
+
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols of all rows, each led by CONTEXT blanks; places of those to predict; their offsets by row)."""
-    data, offsets = text_bytes(texts)
-    starts, stops, before = spans(data, offsets, NONBLANK)
-    rows = len(offsets) - 1
-    inside = NONBLANK[data]
-    place = np.flatnonzero(inside)
-    bytes_before = np.concatenate(([0], np.cumsum(inside)))
-    word_of = np.repeat(np.arange(len(starts)), stops - starts)
-    row_of_word = np.repeat(np.arange(rows), np.diff(before))
-    lead = CONTEXT * (np.arange(rows) + 1) + np.arange(rows)  # leads and end symbols up to a row's first word
-    size = len(place) + len(starts) + rows * (CONTEXT + 1)
-    out = np.full(size, BLANK, np.uint8)
-    out[np.arange(len(place)) + word_of + lead[row_of_word[word_of]]] = LOWER[data[place]]
-    ends = bytes_before[offsets[1:]] + before[1:] + lead
-    out[ends] = END
-    begins = np.concatenate(([0], ends[:-1] + 1)) + CONTEXT if rows else ends
-    counts = ends + 1 - begins
-    ordered = np.concatenate(([0], np.cumsum(counts)))
-    predicted = np.arange(ordered[-1]) + np.repeat(begins - ordered[:-1], counts)
-    return out, predicted, ordered
-
-
-def grams(text: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The symbol at each place below its CONTEXT predecessors, one number each."""
-    out = np.zeros(len(places), np.int64)
-    for i in range(CONTEXT, -1, -1):
-        out = (out << 8) | text[places - i]
-    return out
+    """(symbols of all rows, each led by CONTEXT blanks; which of them are to be predicted; their offsets by row)."""
+    rows = len(texts)
+    raw, offsets = text_bytes(texts)
+    if not rows:
+        return np.zeros(0, np.uint8), np.zeros(0, bool), np.zeros(1, np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+    joined = pa.compute.binary_join_element_wise(_LEAD, whole, _TAIL, pa.scalar(b"", pa.large_binary()))
+    starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + rows + 1]
+    data = _FOLDED[np.frombuffer(joined.buffers()[2], np.uint8)[starts[0]:starts[-1]]]
+    starts = starts - starts[0]
+    # A blank stays where a word ends before it.
+    keep = data != BLANK
+    keep[1:] |= keep[:-1].copy()
+    leads = (starts[:-1, None] + np.arange(CONTEXT)).reshape(-1)
+    data[starts[1:] - 1] = END
+    predicted = keep
+    predicted[leads] = False
+    sizes = np.add.reduceat(predicted, starts[:-1], dtype=np.int64)
+    kept = predicted.copy()
+    kept[leads] = True
+    return data[kept], predicted[kept], np.concatenate(([0], np.cumsum(sizes)))
+
+
+def grams(text: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    """Each symbol to predict below its CONTEXT predecessors, one number each."""
+    out = text.astype(np.int64)
+    for i in range(1, CONTEXT + 1):
+        out[i:] |= text[:-i].astype(np.int64) << (8 * i)
+    return out[predicted]
 
 
 # --- word counts ----------------------------------------------------------
@@ -169,31 +180,6 @@ def word_counts(chunks: DataFrame, buckets_log2: int) -> tuple[DataFrame, int, i
     return answers.where("chunk is not null").drop("n", "v"), n or 0, v or 0
 
 
-def word_scores(chunks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
-    """chunk, place, doc_id, held_out, n_tokens, n_known and base_score of every document."""
-    below = math.log10(n + v + 1)
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
-        counts = np.concatenate([
-            np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * size else np.uint64).astype(np.float64)
-            for x, size in zip(right.column("counts"), right.column("size").to_pylist(), strict=True)])
-        _, which, before, end = word_keys(_of(left, "texts", 0))
-        add = lambda a: np.diff(np.concatenate(([0], np.cumsum(a)))[before])
-        logs, known = np.log10(counts + 1), counts > 0
-        tokens = np.diff(before) + 1
-        doc_ids = _of(left, "doc_ids", 0)
-        rows = len(doc_ids)
-        return pa.table({
-            "chunk": pa.array(np.full(rows, left.column("chunk")[0].as_py())), "place": pa.array(np.arange(rows), pa.int32()),
-            "doc_id": doc_ids, "held_out": _of(left, "held_out", 0), "n_tokens": pa.array(tokens, pa.int64()),
-            "n_known": pa.array(add(known[which]) + int(known[end]), pa.int64()),
-            "base_score": pa.array(add(logs[which]) + logs[end] - tokens * below)})
-
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        scored, "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double")
-
-
 # --- seating --------------------------------------------------------------
 
 def _stirling(discount: float) -> np.ndarray:
@@ -212,13 +198,20 @@ def _stirling(discount: float) -> np.ndarray:
 def seated(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish, drawn given its customers, the restaurant's other tables and the dish's base probability."""
     tables = np.ones(len(customers), np.int64)
-    logs, table = np.log(base), _stirling(discount)
-    small = (customers > 1) & (customers <= EXACT)
-    for c in np.unique(customers[small]).tolist():
-        at = np.flatnonzero(customers == c)
+    table = _stirling(discount)
+    small = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    small = small[np.argsort(customers[small].astype(np.uint8), kind="stable")]
+    edges = np.searchsorted(customers[small], np.arange(2, EXACT + 2))
+    for c, begin, end in zip(range(2, EXACT + 1), edges, edges[1:]):
+        at = small[begin:end]
+        if not len(at):
+            continue
+        # Logarithms of the weights of 1 to c tables, then one uniform number against their sums.
         opened = np.cumsum(np.log(strength + discount * (others[at, None] + np.arange(c))), axis=1)
-        weight = table[c, 1:c + 1] + opened + np.arange(1, c + 1) * logs[at, None]
-        tables[at] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+        weight = table[c, 1:c + 1] + opened + np.arange(1, c + 1) * np.log(base[at])[:, None]
+        weight -= weight.max(axis=1, keepdims=True)
+        sums = np.cumsum(np.exp(weight), axis=1)
+        tables[at] = 1 + (rng.random(len(at))[:, None] * sums[:, -1:] > sums).sum(axis=1)
     at = np.flatnonzero(customers > EXACT)
     seats, count = np.ones(len(at), np.int64), np.ones(len(at), np.int64)
     while len(at):
@@ -333,44 +326,161 @@ class Upper:
         return out
 
 
-_STATE = "shard int, dishes int, grams binary, counts binary, tables array<binary>, upper array<long>, kept array<binary>"
+# --- requests and the model -----------------------------------------------
+
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, their bytes by place and deflated, behind how many they are."""
+    planes = np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + (_CODEC.compress(planes.reshape(-1), asbytes=True) if len(numbers) else b"")
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(_CODEC.decompress(raw[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64)[:, 0]
+
+
+def _rising(numbers: np.ndarray) -> bytes:
+    return _packed(np.diff(numbers, prepend=0))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw))
+
+
+def groups_of(grams_: np.ndarray, groups: int) -> np.ndarray:
+    """Which group of the model a gram belongs to: by the last two bytes of its context."""
+    return (mix(((grams_ >> 8) & 0xFFFF).astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+
+
+class Tally:
+    """Different grams and their counts, merged when they have doubled."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.more.append((keys, counts))
+        if sum(len(k) for k, _ in self.more) > max(1 << 20, len(self.keys)):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.more:
+            keys = np.concatenate([self.keys, *(k for k, _ in self.more)])
+            counts = np.concatenate([self.counts, *(c for _, c in self.more)])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            self.keys, self.counts, self.more = keys[first], np.add.reduceat(counts, first), []
+        return self.keys, self.counts
+
+
+def chunk_grams(texts: pa.Array, train: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(different grams of all rows, sorted; how often each stands in the rows to train from)."""
+    tally = Tally()
+    for of, counts in ((train, True), (~train, False)) if train is not None else ((None, False),):
+        for part in _parts(texts if of is None else texts.filter(pa.array(of))):
+            text, predicted, _ = symbols(part)
+            keys, n = np.unique(grams(text, predicted), return_counts=True)
+            tally.add(keys, n if counts else np.zeros(len(n), np.int64))
+    return tally.total()
+
+
+def requested(chunks: DataFrame, groups: int, slots: int) -> DataFrame:
+    """(chunk, group, slot, grams, counts): what each chunk asks for, a row for each group it touches."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk = batch.column("chunk")[k].as_py()
+                train = ~np.asarray(_of(batch, "held_out", k).to_numpy(zero_copy_only=False), bool)
+                keys, counts = chunk_grams(_of(batch, "texts", k), train)
+                group = groups_of(keys, groups)
+                order = np.argsort(group, kind="stable")
+                numbers, first = np.unique(group[order], return_index=True)
+                parts = np.split(order, first[1:])
+                m = len(numbers)
+                slot = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(slots))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, chunk)), pa.array(numbers, pa.int32()), pa.array(np.full(m, slot, np.int32)),
+                     pa.array([_rising(keys[at]) for at in parts], pa.binary()), pa.array([_packed(counts[at]) for at in parts], pa.binary())],
+                    ["chunk", "group", "slot", "grams", "counts"])
+
+    return chunks.mapInArrow(rows, "chunk long, group int, slot int, grams binary, counts binary")
+
 
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(different grams of some rows, their counts, and which of them each row names)."""
+    named = [_risen(x) for x in table.column("grams").to_pylist()]
+    counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
+    keys, which = np.unique(np.concatenate(named), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, which, counts)
+    return keys, total, np.split(which, np.cumsum([len(x) for x in named])[:-1])
 
-def _packed(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
 
+def asked(requests: DataFrame) -> DataFrame:
+    """A row for each group and slot: its different grams, their counts, and which of them each chunk asked for."""
+    def rows(table: pa.Table) -> pa.Table:
+        keys, counts, which = _met(table)
+        return pa.table({
+            "group": table.column("group").slice(0, 1), "slot": table.column("slot").slice(0, 1),
+            "grams": pa.array([_rising(keys)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()),
+            "chunks": pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())),
+            "which": pa.array([[_rising(w) for w in which]], pa.list_(pa.binary()))})
 
-def _row(key: int, rooms: list[Room], kept: list[bytes]) -> dict:
-    upper = np.bincount(rooms[-1].dishes & 255, rooms[-1].tables, 256).astype(np.int64)
-    return {"shard": key, "dishes": sum(len(r.dishes) for r in rooms), "grams": _packed(rooms[0].dishes), "counts": _packed(rooms[0].customers),
-            "tables": [_packed(r.tables) for r in rooms], "upper": upper.tolist(), "kept": kept}
+    return requests.groupBy("group", "slot").applyInArrow(
+        rows, "group int, slot int, grams binary, counts binary, chunks array<long>, which array<binary>")
 
 
-def _arrow_schema() -> pa.Schema:
-    return pa.schema([("shard", pa.int32()), ("dishes", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()),
-                      ("tables", pa.list_(pa.binary())), ("upper", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
+_STATE = "group int, grams binary, counts binary, tables binary, upper array<struct<dish: int, t: long>>, kept array<binary>"
+_STATE_ARROW = pa.schema([
+    ("group", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("tables", pa.binary()),
+    ("upper", pa.list_(pa.struct([("dish", pa.int32()), ("t", pa.int64())]))), ("kept", pa.list_(pa.binary()))])
+
+
+def _rooms_of(row: dict, tables: bytes | None = None) -> tuple[list[Room], list[np.ndarray]]:
+    rooms, parents = _rooms(_risen(row["grams"]), _unpacked(row["counts"]), LOWER_ROOMS)
+    if tables is None:
+        rooms[0].tables = np.ones(len(rooms[0].dishes), np.int64)
+    else:
+        for room, own in zip(rooms, np.split(_unpacked(tables), np.cumsum([len(r.dishes) for r in rooms])[:-1]), strict=True):
+            room.tables = own
+    _pass_down(rooms, parents)
+    return rooms, parents
+
+
+def _row(row: dict, rooms: list[Room], kept: list[bytes]) -> dict:
+    dish, which = np.unique(rooms[-1].dishes & 0xFFFF, return_inverse=True)
+    sums = np.bincount(which, rooms[-1].tables, len(dish)).astype(np.int64)
+    return {"group": row["group"], "grams": row["grams"], "counts": row["counts"], "tables": _packed(np.concatenate([r.tables for r in rooms])),
+            "upper": [{"dish": d, "t": t} for d, t in zip(dish.tolist(), sums.tolist())], "kept": kept}
 
 
 def trained(counts: DataFrame, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """The model from counts of training grams (gram, n).
+    """The model from rows of (group, grams, counts), of which a group may have several.
 
-    Returns its lower rooms, a row for each two bytes of context, and the
+    Returns its lower rooms, a row for each group that has training grams, and the
     predictive probabilities of the upper ones in every kept state.
     """
-    def opened(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams_, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(grams_)
-        rooms, parents = _rooms(grams_[order], n[order], LOWER_ROOMS)
-        rooms[0].tables = np.ones(len(order), np.int64)
-        _pass_down(rooms, parents)
-        return pa.Table.from_pylist([_row(key[0].as_py(), rooms, [])], _arrow_schema())
-
-    state = stage(counts.withColumn("shard", F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int")).groupBy("shard").applyInArrow(opened, _STATE), "seating")
+    def opened(table: pa.Table) -> pa.Table:
+        keys, n, _ = _met(table)
+        row = {"group": table.column("group")[0].as_py(), "grams": _rising(keys[n > 0]), "counts": _packed(n[n > 0])}
+        if not (n > 0).any():
+            return pa.Table.from_pylist([], _STATE_ARROW)
+        return pa.Table.from_pylist([_row(row, _rooms_of(row)[0], [])], _STATE_ARROW)
+
+    state = stage(counts.select("group", "grams", "counts").groupBy("group").applyInArrow(opened, _STATE), "seating")
     upper, kept = Upper(), []
     for turn in range(BURN_IN + SAMPLES + 1):
         # Tables of two-byte contexts are the customers of one-byte contexts: at most 256 * 256 sums.
-        sums = state.select(F.col("shard").bitwiseAND(0xFF).alias("last"), F.posexplode("upper").alias("symbol", "t")).groupBy("last", "symbol").agg(F.sum("t").alias("t"))
-        got = sorted((r.last * 256 + r.symbol, r.t) for r in sums.where("t > 0").collect())
+        sums = state.select(F.inline("upper")).groupBy("dish").agg(F.sum("t").alias("t"))
+        got = sorted((r.dish, r.t) for r in sums.where("t > 0").collect())
         if not got:
             break
         upper.given(np.array([d for d, _ in got]), np.array([t for _, t in got]))
@@ -384,71 +494,35 @@ def trained(counts: DataFrame, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
 
         def swept(batches: Iterator[pa.RecordBatch], shared=shared, keep=keep, turn=turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for row in batch.to_pylist():
-                    rooms, parents = _rooms(np.frombuffer(row["grams"], np.int64), np.frombuffer(row["counts"], np.int64), LOWER_ROOMS)
-                    for room, tables in zip(rooms, row["tables"]):
-                        room.tables = np.frombuffer(tables, np.int64)
-                    _pass_down(rooms, parents)
-                    p, left, bases = _predicted(rooms, parents, shared.value[rooms[-1].dishes & 0xFFFF])
-                    more = [_packed(np.concatenate([x for pair in zip(p, left) for x in pair]).astype(np.float32))] if keep else []
-                    _swept(rooms, parents, bases, np.random.default_rng([seed, turn, row["shard"]]))
-                    rows.append(_row(row["shard"], rooms, [*row["kept"], *more]))
-                yield pa.RecordBatch.from_pylist(rows, _arrow_schema())
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    rooms, parents = _rooms_of(row, row["tables"])
+                    _, _, bases = _predicted(rooms, parents, shared.value[rooms[-1].dishes & 0xFFFF])
+                    more = [row["tables"]] if keep else []
+                    _swept(rooms, parents, bases, np.random.default_rng([seed, turn, row["group"]]))
+                    yield pa.RecordBatch.from_pylist([_row(row, rooms, [*row["kept"], *more])], _STATE_ARROW)
 
         last, state = state, stage(state.mapInArrow(swept, _STATE), "seating")
         release(last)
     return state, np.stack(kept, axis=1) if kept else np.full((1 << 16, 1), 1 / 256)
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """(gram, n) of all training texts. A task adds up its own chunks first."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                train = pa.compute.invert(_of(batch, "held_out", k))
-                for texts in _parts(_of(batch, "texts", k).filter(train)):
-                    text, places, _ = symbols(texts)
-                    own, n = np.unique(grams(text, places), return_counts=True)
-                    keys, which = np.unique(np.concatenate((keys, own)), return_inverse=True)
-                    counts = np.bincount(which, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-                if len(keys) > PART_DISHES:
-                    yield out()
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield out()
-
-    return chunks.mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 # --- scores ---------------------------------------------------------------
 
 class Model:
-    """Lower rooms of some two-byte contexts (``shards``), and the upper rooms: average probability of grams."""
-
-    def __init__(self, rows: list, upper: np.ndarray) -> None:
-        self.upper, self.shards = upper, np.zeros(1 << 16, bool)
-        parts: dict[int, list] = {length: [] for length in LOWER_ROOMS}
-        for row in rows:
-            self.shards[row["shard"]] = True
-            rooms, _ = _rooms(np.frombuffer(row["grams"], np.int64), np.frombuffer(row["counts"], np.int64), LOWER_ROOMS)
-            values = np.stack([np.frombuffer(x, np.float32) for x in row["kept"]], axis=1)
-            at = 0
-            for room in rooms:
-                n, m = len(room.dishes), len(room.contexts)
-                parts[room.length].append((room.dishes, values[at:at + n], room.contexts, values[at + n:at + n + m]))
-                at += n + m
-        self.rooms = {}
-        for length, found in parts.items():
-            join = lambda i: np.concatenate([x[i] for x in found]) if found else None  # noqa: B023, E731
-            if found:
-                a, b = np.argsort(join(0)), np.argsort(join(2))
-                self.rooms[length] = (join(0)[a], join(1)[a], join(2)[b], join(3)[b])
+    """Lower rooms of one group (None: without training grams) in all kept states, and the upper rooms: average probability of grams."""
+
+    def __init__(self, row: dict | None, upper: np.ndarray) -> None:
+        self.upper, self.rooms = upper, {}
+        if row is None:
+            return
+        states = []
+        for k, tables in enumerate(row["kept"]):
+            rooms, parents = _rooms_of(row, tables)
+            p, left, _ = _predicted(rooms, parents, upper[rooms[-1].dishes & 0xFFFF, k])
+            states.append((p, left))
+        for i, room in enumerate(rooms):
+            self.rooms[room.length] = (room.dishes, np.stack([p[i] for p, _ in states], axis=1), room.contexts, np.stack([left[i] for _, left in states], axis=1))
 
     @staticmethod
     def _found(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -473,45 +547,65 @@ class Model:
         return np.log10(out.mean(axis=1))
 
 
-def model_scores(chunks: DataFrame, state: DataFrame, upper: np.ndarray) -> DataFrame:
-    """chunk, place and log10 probability of every text, in one row for each part of the model."""
-    def one(shared) -> DataFrame:
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model: Model = shared.value
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    sums = []
-                    for texts in _parts(_of(batch, "texts", k)):
-                        text, places, offsets = symbols(texts)
-                        logs = np.zeros(len(places))
-                        for begin in range(0, len(places), _SLICE):
-                            keys = grams(text, places[begin:begin + _SLICE])
-                            own = np.arange(len(keys)) if everything else np.flatnonzero(model.shards[(keys >> 8) & 0xFFFF])
-                            logs[begin + own] = model.log10(keys[own])
-                        sums.append(np.add.reduceat(logs, offsets[:-1]))  # every row has its end symbol
-                    sums = np.concatenate(sums)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(sums), batch.column("chunk")[k].as_py())), pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)],
-                        ["chunk", "place", "score"])
-
-        return chunks.mapInArrow(rows, "chunk long, place int, score double")
-
-    sc = chunks.sparkSession.sparkContext
-    total = state.agg(F.sum("dishes")).first()[0] or 0
-    parts = max(1, math.ceil(total / PART_DISHES))
-    everything = parts == 1
-    out = None
-    for k in range(parts):
-        # A part's contexts; the last part also takes those that the model has never seen.
-        rows = [r.asDict() for r in state.where(F.pmod(F.xxhash64("shard"), F.lit(parts)) == k).select("shard", "grams", "counts", "kept").collect()]
-        model = Model(rows, upper)
-        if not everything and k == parts - 1:
-            seen = np.zeros(1 << 16, bool)
-            seen[[r.shard for r in state.select("shard").collect()]] = True
-            model.shards |= ~seen
-        scored = one(sc.broadcast(model))
-        out = scored if out is None else out.unionByName(stage(scored, "scores"))
-    return out
+def answers_of(asked_: DataFrame, state: DataFrame, upper: np.ndarray) -> DataFrame:
+    """(chunk, group, logs): log10 probabilities of the grams that each chunk asked a group for, in their order."""
+    shared = asked_.sparkSession.sparkContext.broadcast(upper)  # 65536 numbers for each kept state
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, of = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if model is None or of != row["group"]:
+                    own = {"group": row["group"], "grams": row["model"], "counts": row["customers"], "kept": row["kept"]}
+                    model, of = Model(own if row["model"] is not None else None, shared.value), row["group"]
+                logs = model.log10(_risen(row["grams"])).astype(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["chunks"], pa.int64()), pa.array([row["group"]] * len(row["chunks"]), pa.int32()),
+                     pa.array([logs[_risen(w)].tobytes() for w in row["which"]], pa.binary())], ["chunk", "group", "logs"])
+
+    learnt = state.select("group", F.col("grams").alias("model"), F.col("counts").alias("customers"), "kept")
+    return asked_.drop("counts").join(learnt, "group", "left").mapInArrow(rows, "chunk long, group int, logs binary")
+
+
+def chunk_scores(chunks: DataFrame, words: DataFrame, answers: DataFrame, n: int, v: int, groups: int) -> DataFrame:
+    """Both models' figures of every text: a chunk meets the answers of the word model and of the groups."""
+    below = math.log10(n + v + 1)
+
+    def word_figures(left: pa.Table, right: pa.Table) -> dict[str, pa.Array]:
+        right = right.sort_by("bucket")
+        counts = np.concatenate([
+            np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * size else np.uint64).astype(np.float64)
+            for x, size in zip(right.column("counts"), right.column("size").to_pylist(), strict=True)])
+        _, which, before, end = word_keys(_of(left, "texts", 0))
+        add = lambda a: np.diff(np.concatenate(([0], np.cumsum(a)))[before])
+        logs, known = np.log10(counts + 1), counts > 0
+        tokens = np.diff(before) + 1
+        return {"n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(add(known[which]) + int(known[end]), pa.int64()),
+                "base_score": pa.array(add(logs[which]) + logs[end] - tokens * below)}
+
+    def gram_scores(texts: pa.Array, right: pa.Table) -> np.ndarray:
+        keys, _ = chunk_grams(texts, None)
+        right = right.sort_by("group")
+        logs = np.empty(len(keys), np.float32)
+        logs[np.argsort(groups_of(keys, groups), kind="stable")] = np.concatenate([np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist()])
+        sums = []
+        for part in _parts(texts):
+            text, predicted, offsets = symbols(part)
+            coded = pa.array(grams(text, predicted)).dictionary_encode()
+            found = logs[np.searchsorted(keys, coded.dictionary.to_numpy())].astype(np.float64)
+            sums.append(np.add.reduceat(found[coded.indices.to_numpy()], offsets[:-1]))  # every row has its end symbol
+        return np.concatenate(sums)
+
+    def scored_(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_words = pa.compute.is_valid(right.column("bucket"))
+        return pa.table({
+            "doc_id": _of(left, "doc_ids", 0), "held_out": _of(left, "held_out", 0), **word_figures(left, right.filter(of_words)),
+            "score": pa.array(gram_scores(_of(left, "texts", 0), right.filter(pa.compute.invert(of_words))))})
+
+    right = words.unionByName(answers, allowMissingColumns=True).withColumnRenamed("chunk", "to")
+    return chunks.groupBy("chunk").cogroup(right.groupBy("to")).applyInArrow(
+        scored_, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def scored(docs: DataFrame, held_out=None, seed: int = 1) -> DataFrame:
@@ -523,10 +617,11 @@ def scored(docs: DataFrame, held_out=None, seed: int = 1) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = stage(chunked(docs, held_out), "chunks")
     buckets = max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-    answers, n, v = word_counts(chunks, buckets)
-    state, upper = trained(counted(chunks), seed)
-    ours = model_scores(chunks, state, upper).groupBy("chunk", "place").agg(F.sum("score").alias("score"))
-    out = word_scores(chunks, answers, n, v).join(ours, ["chunk", "place"])
+    words, n, v = word_counts(chunks, buckets)
+    groups, slots = max(8, math.ceil(size / GROUP_BYTES)), max(1, math.ceil(chunks.count() / SLOT_CHUNKS))
+    wanted = stage(asked(requested(chunks, min(groups, MOST_GROUPS), slots)), "asked")
+    state, upper = trained(wanted, seed)
+    out = chunk_scores(chunks, words, answers_of(wanted, state, upper), n, v, min(groups, MOST_GROUPS))
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

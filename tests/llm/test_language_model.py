@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from factorlab.llm import language_model as lm
 from tests.llm.rows import FOLD, MEDIUM, ODD, odd, wide
@@ -39,23 +40,93 @@ def test_odd_rows(spark):
     assert all(len(s) == 1 for s in by_text.values())  # equal words, equal score
 
 
-def test_parts_of_a_model_give_the_same_scores(spark, monkeypatch):
+def test_slots_do_not_change_scores(spark, monkeypatch):
     docs = odd(spark, [(i, t, s) for i, t, s in ODD if i is not None])
-    whole = sorted((r.doc_id, round(r.score, 8)) for r in lm.scored(docs).collect())
-    monkeypatch.setattr(lm, "PART_DISHES", 60_000)
-    assert sorted((r.doc_id, round(r.score, 8)) for r in lm.scored(docs).collect()) == whole
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    whole = sorted((r.doc_id, round(r.score, 3)) for r in lm.scored(docs).collect())
+    monkeypatch.setattr(lm, "SLOT_CHUNKS", 1)
+    assert sorted((r.doc_id, round(r.score, 3)) for r in lm.scored(docs).collect()) == whole
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\tabZé東", max_size=12), max_size=6))
+def test_symbols_and_grams(texts):
+    text, predicted, offsets = lm.symbols(pa.array(texts, pa.string()))
+    plain = [" ".join([*wide(t.translate(FOLD)), ""]).encode() + b"\n" for t in texts]
+    assert bytes(text) == b"".join(b" " * 6 + t for t in plain)
+    assert bytes(text[predicted]) == b"".join(plain) and np.diff(offsets).tolist() == [len(t) for t in plain]
+    want = [int.from_bytes((b" " * 6 + t)[k:k + 7], "big") for t in plain for k in range(len(t))]
+    assert lm.grams(text, predicted).tolist() == want
+
+
+def model_of(spark, texts, groups=3):
+    text, predicted, _ = lm.symbols(pa.array(texts))
+    grams, n = np.unique(lm.grams(text, predicted), return_counts=True)
+    of = lm.groups_of(grams, groups)
+    rows = []
+    for g in np.unique(of):  # two rows for each group, as two slots would give
+        own, counts = grams[of == g], n[of == g]
+        rows += [(int(g), bytearray(lm._rising(own)), bytearray(lm._packed(counts // 2))), (int(g), bytearray(lm._rising(own)), bytearray(lm._packed(counts - counts // 2)))]
+    state, upper = lm.trained(spark.createDataFrame(rows, "group int, grams binary, counts binary"))
+    found = {r.group: r.asDict(recursive=True) for r in state.collect()}
+
+    def log10(keys):
+        g = lm.groups_of(keys, groups)
+        out = np.empty(len(keys))
+        for k in np.unique(g):
+            out[g == k] = lm.Model(found.get(int(k)), upper).log10(keys[g == k])
+        return out
+
+    return log10, found, upper
+
+
+CORPUS = ["the cat sat on the mat", "", "the hat", "the cat sat on the hat " * 40]
 
 
 def test_probabilities_sum_to_one(spark):
-    text, places, offsets = lm.symbols(pa.array(["the cat sat on the mat", "", "the hat"]))
+    text, places, offsets = lm.symbols(pa.array(CORPUS[:3]))
     assert bytes(text[places]) == b"the cat sat on the mat \n\nthe hat \n" and offsets.tolist() == [0, 24, 25, 34]
-    grams, n = np.unique(lm.grams(text, places), return_counts=True)
-    counts = spark.createDataFrame(list(zip(grams.tolist(), n.tolist())), "gram long, n long")
-    state, upper = lm.trained(counts)
-    model = lm.Model([r.asDict() for r in state.collect()], upper)
-    for context in (b"     ", b" cat ", b"zzzzz", b"x the", b"t\n   "):
+    log10, _, _ = model_of(spark, CORPUS)
+    for context in (b"      ", b"e cat ", b"cat sa", b"zzzzzz", b"zx the", b"at\n   ", b"n the "):
         after = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.int64)
-        assert np.sum(10 ** model.log10(after)) == pytest.approx(1.0, abs=1e-5)
+        assert np.sum(10 ** log10(after)) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_scores_equal_a_plain_recursion(spark):
+    """Probabilities from the kept seatings, restaurant by restaurant, in dictionaries."""
+    log10, found, upper = model_of(spark, CORPUS)
+    states = []
+    for k in range(lm.SAMPLES):
+        rooms = {}
+        for row in found.values():
+            for room in lm._rooms_of(row, row["kept"][k])[0]:
+                for dish, c, t in zip(room.dishes.tolist(), room.customers.tolist(), room.tables.tolist()):
+                    assert 1 <= t <= c
+                    rooms.setdefault((room.length, dish >> 8), {})[dish & 255] = (c, t)
+        states.append(rooms)
+
+    def probability(rooms, k, gram, length):
+        if length < 2:
+            return upper[gram & 0xFFFF, k]
+        below = probability(rooms, k, gram & ((1 << 8 * length) - 1), length - 1)
+        room = rooms.get((length, gram >> 8))
+        if room is None:
+            return below
+        d, s = lm.DISCOUNT[length], lm.STRENGTH[length]
+        c, t = room.get(gram & 255, (0, 0))
+        total, tables = sum(x for x, _ in room.values()), sum(x for _, x in room.values())
+        return (max(c - d * t, 0) + (s + d * tables) * below) / (s + total)
+
+    text, predicted, _ = lm.symbols(pa.array([*CORPUS[:3], "a dog sat on the cat 東"]))
+    keys = lm.grams(text, predicted)
+    want = [math.log10(np.mean([probability(rooms, k, g, 6) for k, rooms in enumerate(states)])) for g in keys.tolist()]
+    assert np.allclose(log10(keys), want, atol=1e-9)
+
+
+def test_packing():
+    for numbers in ([], [0], [5, 5, 9, 1 << 55], list(range(0, 9000, 3))):
+        a = np.array(numbers, np.int64)
+        assert lm._unpacked(lm._packed(a)).tolist() == numbers and lm._risen(lm._rising(a)).tolist() == numbers
 
 
 def test_number_of_tables_follows_its_distribution():
