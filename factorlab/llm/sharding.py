@@ -13,7 +13,7 @@ shards), so that shards differ by less than one row's size.
 
 Defined results for odd input: a null text has size 1 and the crc32 of the empty
 text; null ids come first among equal texts; rows that repeat in full follow each
-other and take one slot each; an empty table gives an empty one; fewer rows than
+other and take one slot each; a very long text is a range of its own; an empty table gives an empty one; fewer rows than
 shards leave shards empty. Extra columns pass through ``laid_out`` unread.
 """
 
@@ -29,8 +29,8 @@ from ..staging import stage
 from .words import fresh
 
 SHARDS = 8
-# Ranges for each shard at least; more where ranges would outgrow RANGE_ROWS, but MAX_RANGES at a time.
-RANGES_PER_SHARD, RANGE_ROWS, MAX_RANGES = 16, 500_000, 4_096
+# Ranges for each shard at least; more where ranges would outgrow RANGE_BYTES, which is what a task sorts.
+RANGES_PER_SHARD, RANGE_BYTES = 16, 1 << 29
 # Keys drawn for each range.
 DRAWS = 32
 # A range of so many times the mean bytes is split again.
@@ -81,8 +81,8 @@ def range_of(splitters: list[tuple[int, int]], hash_: Column, id_: Column) -> Co
 
 def splitters(keys: DataFrame, shards: int) -> tuple[list[tuple[int, int]], pd.DataFrame]:
     """Splitters of ranges that none is overfull, and the totals of each range."""
-    count, total = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
-    ranges = min(MAX_RANGES, max(shards * RANGES_PER_SHARD, math.ceil((count or 0) / RANGE_ROWS)))
+    total = keys.agg(F.sum("size")).first()[0]
+    ranges = max(shards * RANGES_PER_SHARD, math.ceil((total or 0) / RANGE_BYTES))
     found = _quantiles(_drawn(keys, ranges * DRAWS), ranges)
     while True:
         ranged = keys.withColumn("range", range_of(found, F.col("hash"), F.col("id")))
@@ -94,7 +94,7 @@ def splitters(keys: DataFrame, shards: int) -> tuple[list[tuple[int, int]], pd.D
         full = totals[(totals["bytes"] > OVERFULL * (total or 0) / ranges) & totals["splits"]]
         more = set(found)
         for r, size in zip(full["range"].tolist(), full["bytes"].tolist(), strict=True):
-            parts = min(MAX_RANGES, max(2, math.ceil(size * ranges / total)))
+            parts = max(2, math.ceil(size * ranges / total))
             more |= set(_quantiles(_drawn(ranged.where(F.col("range") == r), parts * DRAWS), parts))
         if len(more) == len(found):
             return found, totals
@@ -106,7 +106,7 @@ def _placed(rows: DataFrame, shards: int, totals: pd.DataFrame, range_: str, has
     names = {n: fresh(rows, f"_{n}") for n in ("bytes_before", "rows_before", "shard", "number")}
     total = int(totals["bytes"].sum())
     before = totals.assign(b=totals["bytes"].cumsum() - totals["bytes"], r=totals["rows"].cumsum() - totals["rows"])
-    # One row for each range: at most a few thousand.
+    # One row for each range, of RANGE_BYTES about: some 200,000 for 100 TB.
     small = rows.sparkSession.createDataFrame(
         list(before[["range", "b", "r"]].itertuples(index=False, name=None)),
         f"`{range_}` int, `{names['bytes_before']}` long, `{names['rows_before']}` long")

@@ -9,11 +9,14 @@ that mostly go on in the same way, up to what its size lets one tell. The rules'
 template is rejected when its share of blocked pages among labelled ones,
 smoothed towards the share in the whole table, is high enough.
 
-Segments below ``DEPTH`` are one tail, written ``**``.
+There is no limit of depth. A parent all of whose pages go on in one and the same way has nothing to
+generalise but numbers, and is finished at once; so there are as many rounds as the deepest place where two
+different paths still share a parent, not as many as the longest path has segments.
 
 Defined results for odd input: a null url, or one without ``://``, has an empty
 host and path, fits no rule, has no template and is allowed. Repeated rows count
-as often as they stand there, as pages do. An empty table gives an empty one.
+as often as they stand there, as pages do. An empty table gives an empty one. Very long urls are read whole. Of equally frequent names of merged branches, and
+continuations, the greatest continuation and the first name count, so that ties do not depend on the order of rows.
 Columns of ``pages`` other than page_id and url are not read; ``passed`` keeps them.
 """
 
@@ -35,7 +38,6 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-DEPTH = 4
 # Numbers and long hexadecimal names, with or without a file ending, are variable wherever they stand.
 NUMBER_LIKE = r"^([0-9]+|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,36})(\.[A-Za-z][A-Za-z0-9]{0,4})?$"
 
@@ -72,17 +74,32 @@ def _wildcard(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.lower(F.regexp_extract(segment, r"\.[A-Za-z][A-Za-z0-9]{0,4}$", 0)))
 
 
-def _generalised(pages: DataFrame, limits: Limits) -> DataFrame:
-    """``pages`` (host, path, ...) with ``parts``, the segments of its template."""
+def _part(segment: Column) -> Column:
+    """How a segment that is the only one in its place stands in a template."""
+    return F.when(segment.rlike(NUMBER_LIKE), _wildcard(segment)).otherwise(F.concat(F.lit("="), segment))
+
+
+def _generalised(pages: DataFrame, limits: Limits) -> tuple[DataFrame, int]:
+    """``pages`` (host, path, ...) with ``parts``, the segments of its template; and the levels at which paths part."""
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     rows = pages.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments))
     rows = rows.withColumns({"parts": F.array().cast("array<string>"), "parent": F.lit("")})
-    for level in range(DEPTH):
-        at = F.get("segments", F.lit(level))
+    level = 0
+    while True:
+        at, rest = F.get("segments", F.lit(level)), F.slice("segments", level + 1, F.size("segments"))
+        # Parents whose pages all go on alike are finished.
+        tails = rows.where(at.isNotNull()).groupBy("host", "parent").agg(
+            F.min(F.concat_ws("/", rest)).alias("low"), F.max(F.concat_ws("/", rest)).alias("high"))
+        alone = tails.where("low = high").select("host", "parent", F.lit(True).alias("alone"))
+        rows = rows.join(alone, ["host", "parent"], "left").withColumn("alone", F.col("alone") & at.isNotNull())
+        rows = rows.withColumns({
+            "parts": F.when(F.col("alone"), F.concat("parts", F.transform(rest, _part))).otherwise(F.col("parts")),
+            "segments": F.when(F.col("alone"), F.slice("segments", 1, level)).otherwise(F.col("segments"))}).drop("alone")
+        rows = stage(rows, "paths")
         here = rows.where(at.isNotNull()).groupBy("host", "parent", at.alias("segment")).agg(F.count(F.lit(1)).alias("n"))
         children = stage(here, "segments")
         if children.isEmpty():
-            return rows.drop("segments", "parent")
+            return rows.drop("segments", "parent"), level
         total = children.groupBy("host", "parent").agg(F.sum("n").alias("total"))
         rare = F.col("n") < limits.keep_share * F.col("total")
         judged = children.join(total, ["host", "parent"]).withColumn("rare", rare)
@@ -95,22 +112,22 @@ def _generalised(pages: DataFrame, limits: Limits) -> DataFrame:
         part = F.when(F.col("kept"), F.concat(F.lit("="), "segment")).otherwise(_wildcard(F.col("segment")))
         rows = rows.withColumn("parts", F.when(F.col("segment").isNotNull(), F.array_append("parts", part)).otherwise(F.col("parts")))
         rows = rows.withColumn("parent", F.concat_ws("/", "parts")).drop("segment", "kept")
-    tail = F.size("segments") > DEPTH
-    return rows.withColumn("parts", F.when(tail, F.array_append("parts", F.lit("**"))).otherwise(F.col("parts"))).drop("segments", "parent")
+        level += 1
 
 
-def _merged(templates: DataFrame, limits: Limits) -> DataFrame:
+def _merged(templates: DataFrame, limits: Limits, levels: int) -> DataFrame:
     """``templates`` (host, parts, n, ...) with ``merged``: parts in which similar branches have one name.
 
     The table has a row for each template of each host, so that this no longer
-    depends on the number of pages.
+    depends on the number of pages. From ``levels`` on no two templates share all that
+    is above, so that nothing can merge there.
     """
     rows = templates.withColumn("merged", F.col("parts"))
-    for level in reversed(range(DEPTH)):
+    for level in reversed(range(levels)):
         rows = stage(rows.withColumns({
             "above": F.to_json(F.slice("merged", 1, level)) if level else F.lit("[]"),
             "branch": F.get("merged", F.lit(level)),
-            "below": F.to_json(F.slice("merged", level + 2, DEPTH + 1))}), "branches")
+            "below": F.to_json(F.slice("merged", level + 2, F.size("merged")))}), "branches")
         literal = rows.where(F.col("branch").startswith("="))
         own = literal.groupBy("host", "above", "branch", "below").agg(F.sum("n").alias("n"))
         # Branches are weighed with those that mostly go on in the same way.
@@ -139,11 +156,12 @@ def judged(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    rows = stage(_generalised(rows, limits), "pages")
+    rows, levels = _generalised(rows, limits)
+    rows = stage(rows, "pages")
     seen = lambda what: F.sum((F.col("ruled") == what).cast("long"))
     templates = rows.where("host != ''").groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(seen("allow"), F.lit(0)).alias("allowed"), F.coalesce(seen("block"), F.lit(0)).alias("blocked"))
-    merged = stage(_merged(templates, limits), "templates")
+    merged = stage(_merged(templates, limits, levels), "templates")
     labelled, blocked = merged.agg(F.sum(F.col("allowed") + F.col("blocked")), F.sum("blocked")).first()
     average = (blocked or 0) / labelled if labelled else 0.0
     sums = merged.groupBy("host", "merged").agg(F.sum(F.col("allowed") + F.col("blocked")).alias("labelled"), F.sum("blocked").alias("blocked"))

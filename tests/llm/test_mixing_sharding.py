@@ -83,6 +83,17 @@ def test_overfull_ranges_are_split(spark, monkeypatch):
     assert totals["bytes"].max() <= sharding.OVERFULL * totals["bytes"].sum() / ranges and totals["rows"].sum() == 2000
 
 
+def test_ranges_are_sized_by_bytes(spark, monkeypatch):
+    """A few long texts and many short ones: ranges follow the bytes, without a ceiling on their number."""
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 2_000)
+    docs = odd(spark, [*((k, prose(k, 400), "a") for k in range(60)), *((1000 + k, f"short {k}", "a") for k in range(600))])
+    keys = docs.select(*(c.alias(n) for n, c in sharding._keys("text", "doc_id").items()))
+    found, totals = sharding.splitters(keys, 2)
+    largest = keys.agg({"size": "max"}).first()[0]
+    assert len(found) > 2 * sharding.RANGES_PER_SHARD and totals["rows"].sum() == 660
+    assert totals["bytes"].max() <= sharding.OVERFULL * 2_000 + largest
+
+
 def test_fewer_rows_than_shards(spark):
     rows = sharding.assigned(odd(spark, ODD[:3]), 8).collect()
     assert len(rows) == 3 and all(0 <= r.shard < 8 for r in rows)
