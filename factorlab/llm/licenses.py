@@ -7,11 +7,13 @@ the automaton accepts words that stand together somewhere in it, so that all
 mandatory wording is there, exactly and in order. Words are compared with A-Z
 lower-cased; what stands between words does not matter.
 
-``score`` is 1 where a template is accepted, else 0.5 where one of the base phrases
-stands, else 0.
+Templates are of two kinds: ``TEXTS`` hold the wording of a license itself (its grant and, where it is short, its
+conditions; for the Apache license its header), ``NOTICES`` a sentence that names one. A match does not begin
+right after a word of ``DENIALS`` ("not licensed under ..."). ``score`` is 1 where a text is accepted, else
+0.75 where a notice is, else 0.5 where one of the base phrases stands, else 0.
 
 Defined results for odd input: a null or empty text has no words, no labels and
-score 0. Rows are judged one by one: repeated rows, ties and null ids change
+score 0. Very long texts are read whole, in one walk. Of overlapping matches each counts. Rows are judged one by one: repeated rows, ties and null ids change
 nothing, and an empty table gives an empty one. Only doc_id and text are read;
 ``scanned`` keeps the other columns, whatever their names.
 """
@@ -31,29 +33,54 @@ from .words import fresh, hashed_words, pieces
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Wording of public license texts and notices, by label.
-TEMPLATES = (
-    ("mit", "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
+_DISCLAIMER = (
+    "<<beginOptional>>THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+    "<<var;name=holder;min=1;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE<<endOptional>>")
+_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions "
+    "and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution")
+_PUBLISHED = "<<beginOptional>>as published by the Free Software Foundation; either<<endOptional>>"
+
+# Wording of public license texts, by label.
+TEXTS = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files (the <<var;name=word;min=1;max=2>>), to deal in the Software without restriction, including without "
             "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
             "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
             "copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be "
-            "included in all copies or substantial portions of the Software"),
+            f"included in all copies or substantial portions of the Software {_DISCLAIMER}"),
     ("isc", "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or "
             "without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("apache-2.0", "Licensed under the Apache License, <<beginOptional>>(the \"License\"),<<endOptional>> Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
                    "<<var;name=address;min=1;max=12>> Unless required by applicable law or agreed to in writing"),
-    ("gpl-2.0", "<<beginOptional>>GNU<<endOptional>> General Public License <<beginOptional>>as published by the Free Software "
-                "Foundation; either<<endOptional>> version 2"),
-    ("gpl-3.0", "<<beginOptional>>GNU<<endOptional>> General Public License <<beginOptional>>as published by the Free Software "
-                "Foundation; either<<endOptional>> version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-            "following conditions are met"),
+    ("bsd-2-clause", f"{_CONDITIONS} THIS SOFTWARE IS PROVIDED"),
     ("bsd-3-clause", "Neither the name of <<var;name=owner;min=1;max=20>> nor the names of <<beginOptional>>its<<endOptional>> "
                      "<<beginOptional>>the<<endOptional>> contributors may be used to endorse or promote products derived from this software "
                      "without specific prior written permission"),
+    ("gpl-2.0", f"under the terms of <<beginOptional>>version 2 of<<endOptional>> the GNU General Public License {_PUBLISHED} version 2 of the License, "
+                "or (at your option) any later version"),
+    ("gpl-3.0", f"under the terms of the GNU General Public License {_PUBLISHED} version 3 of the License, or (at your option) any later version"),
+    ("lgpl-2.1", f"under the terms of the GNU Lesser General Public License {_PUBLISHED} version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-3.0", f"under the terms of the GNU Lesser General Public License {_PUBLISHED} version 3 of the License, or (at your option) any later version"),
+    ("agpl-3.0", f"under the terms of the GNU Affero General Public License {_PUBLISHED} version 3 of the License, or (at your option) any later version"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+                  "sell, or distribute this software"),
+)
+# Sentences that name a license, by label. GNU's name is whole, so that one license is not found in another's.
+NOTICES = (
+    ("mit", "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
+    ("apache-2.0", "Licensed under the Apache License, <<beginOptional>>(the \"License\"),<<endOptional>> Version 2.0"),
+    ("gpl-2.0", f"GNU General Public License {_PUBLISHED} version 2"),
+    ("gpl-3.0", f"GNU General Public License {_PUBLISHED} version 3"),
+    ("lgpl-2.1", f"GNU Lesser General Public License {_PUBLISHED} version 2.1"),
+    ("lgpl-3.0", f"GNU Lesser General Public License {_PUBLISHED} version 3"),
+    ("agpl-3.0", f"GNU Affero General Public License {_PUBLISHED} version 3"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met"),
     ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc-by", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons attribution<<endOptional>> "
@@ -61,6 +88,9 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under <<beginOptional>>a<<endOptional>> CC BY-SA <<var;name=version;min=2;max=2>>"),
     ("cc-by-nc", "licensed under <<beginOptional>>a<<endOptional>> CC BY-NC <<var;name=version;min=2;max=2>>"),
 )
+TEMPLATES = TEXTS + NOTICES
+# Words after which a template's wording says the opposite.
+DENIALS = ("not", "never")
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARKUP = re.compile(r"<<(.*?)>>", re.S)
@@ -85,6 +115,7 @@ class Machine:
     steps: list[int] = field(default_factory=list)
     after: list[tuple[int, ...]] = field(default_factory=list)
     ends: dict[int, str] = field(default_factory=dict)
+    notices: set[int] = field(default_factory=set)  # ends of templates that only name a license
     starts: dict[int, tuple[int, ...]] = field(default_factory=dict)  # by the first word's number
 
     @classmethod
@@ -108,6 +139,8 @@ class Machine:
             self.steps.append(-3)
             self.after.append(())
             self.ends[end] = label
+            if (label, markup) in NOTICES:
+                self.notices.add(end)
             place[len(tokens)] = end
             solid = lambda i: tuple(sorted(place[j] for j in reach[i] if j in place))
             for i, token in enumerate(tokens):
@@ -163,14 +196,15 @@ class Machine:
             reach[i] = {i}.union(*(reach[j] for j in skips[i]))
         return reach
 
-    def accepted(self, numbers: list[int], begins: list[int]) -> tuple[set[str], list[tuple[int, int, str]]]:
-        """Labels of all templates that words of the text satisfy; ``begins``: places of possible first words.
+    def accepted(self, numbers: list[int], begins: list[int]) -> tuple[set[str], list[tuple[int, int, str]], bool]:
+        """Labels of all templates that words of the text satisfy, where, and whether one is a text; ``begins``: places of possible first words.
 
         One walk over the words from the first such place: all attempts run
         side by side, so that a word costs at most the number of states.
         """
         labels: set[str] = set()
         places: list[tuple[int, int, str]] = []
+        whole = False
         k, i = 0, 0
         active: dict[int, int] = {}  # state: where its attempt began, the latest if several
         while k < len(begins) or active:
@@ -189,12 +223,13 @@ class Machine:
                     for t in self.after[s]:
                         if t in self.ends:
                             labels.add(self.ends[t])
+                            whole |= t not in self.notices
                             places.append((begun, i + 1, self.ends[t]))
                         elif following.get(t, -1) < begun:
                             following[t] = begun
             active = following
             i += 1
-        return labels, places
+        return labels, places, whole
 
 
 def _scan(docs: DataFrame, text: str, names: dict[str, str], templates=TEMPLATES) -> DataFrame:
@@ -203,6 +238,7 @@ def _scan(docs: DataFrame, text: str, names: dict[str, str], templates=TEMPLATES
     for phrase, _ in phrases:
         for w in phrase:
             machine.vocabulary.setdefault(w, len(machine.vocabulary))
+    denials = [machine.vocabulary.setdefault(w, len(machine.vocabulary)) for w in DENIALS]
     coded = [([machine.vocabulary[w] for w in phrase], label) for phrase, label in phrases]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +267,14 @@ def _scan(docs: DataFrame, text: str, names: dict[str, str], templates=TEMPLATES
                     if p + len(phrase) <= edge[row]:
                         base[row].append((p - int(before[row]), label))
             starts = np.flatnonzero(opening[numbers])
+            denied = np.isin(numbers[starts - 1], denials) & ~np.isin(starts, before)
+            starts = starts[~denied]
             cut = np.searchsorted(starts, before)
             for row in range(n):
-                labels: set[str] = set()
+                labels, whole = set(), False
                 if cut[row] < cut[row + 1]:
                     own = numbers[before[row]:before[row + 1]].tolist()
-                    labels, places = machine.accepted(own, (starts[cut[row]:cut[row + 1]] - before[row]).tolist())
+                    labels, places, whole = machine.accepted(own, (starts[cut[row]:cut[row + 1]] - before[row]).tolist())
                     out["places"][row] = [{"begin": b, "end": e, "label": x} for b, e, x in sorted(places)]
                 out["places"][row] = out["places"][row] or []
                 own_base = {label for _, label in base[row]}
@@ -246,7 +284,7 @@ def _scan(docs: DataFrame, text: str, names: dict[str, str], templates=TEMPLATES
                     out["last_word"][row] = max(p for p, _ in base[row])
                 out["base_labels"][row] = ",".join(sorted(own_base))
                 out["labels"][row] = ",".join(sorted(own_base | labels))
-                out["score"][row] = 1.0 if labels else 0.5 if own_base else 0.0
+                out["score"][row] = 1.0 if whole else 0.75 if labels else 0.5 if own_base else 0.0
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))]
             added = [pa.array(out[k], kind) for k, kind in zip(names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names.values()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .licenses import BASE, TEMPLATES, words
+from .licenses import BASE, NOTICES, TEXTS, words
 from .quality_rules import STOP_WORDS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,10 +119,12 @@ FROM m
 
 
 def _template_pattern(markup: str) -> str:
-    """A template as a regular expression over words that are each followed by a blank."""
-    out, at = " ", 0
+    """A template as a regular expression over words that are each followed by a blank, and marked by # after a denial."""
+    out, at, first = " ", 0, True
     for mark in [*re.finditer(r"<<(.*?)>>", markup), None]:
-        out += "".join(f"{w} " for w in words(markup[at:mark.start()] if mark else markup[at:]))
+        for w in words(markup[at:mark.start()] if mark else markup[at:]):
+            out += f"{w} " if first else f"#?{w} "
+            first = False
         if mark is None:
             return out
         at = mark.end()
@@ -138,19 +140,23 @@ def _template_pattern(markup: str) -> str:
 _PLACES = {label: "list_filter(range(1, len(w)), lambda i: " + " AND ".join(
     f"w[i + {k}] = '{w}'" for k, w in enumerate(words(phrase))) + ")" for phrase, label in BASE}
 _BASE_LABELS = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for label, p in _PLACES.items())
-_TEMPLATE_LABELS = ", ".join(f"CASE WHEN regexp_matches(line, '{_template_pattern(m)}') THEN '{label}' END" for label, m in TEMPLATES)
+def _template_labels(templates: tuple) -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(line, '{_template_pattern(m)}') THEN '{label}' END" for label, m in templates)
+
+
 
 ORACLES["op2_licenses"] = f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
-lines AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line, list_concat({", ".join(_PLACES.values())}) AS places FROM d),
+lines AS (SELECT *, regexp_replace(' ' || array_to_string(w, ' ') || ' ', ' (not|never) ', ' \\1 #', 'g') AS line, list_concat({", ".join(_PLACES.values())}) AS places FROM d),
 found AS (
-  SELECT *, list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL) AS b, list_filter([{_TEMPLATE_LABELS}], lambda x: x IS NOT NULL) AS t
+  SELECT *, list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL) AS b, list_filter([{_template_labels(TEXTS)}], lambda x: x IS NOT NULL) AS t,
+    list_filter([{_template_labels(NOTICES)}], lambda x: x IS NOT NULL) AS n
   FROM lines)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
   CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(b, t))), ',') AS labels,
-  CASE WHEN len(t) > 0 THEN 1.0::DOUBLE WHEN len(b) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+  array_to_string(list_sort(list_distinct(list_concat(b, list_concat(t, n)))), ',') AS labels,
+  CASE WHEN len(t) > 0 THEN 1.0::DOUBLE WHEN len(n) > 0 THEN 0.75::DOUBLE WHEN len(b) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM found
 """
 

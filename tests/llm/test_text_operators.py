@@ -61,6 +61,41 @@ def test_licenses(spark):
     assert out.columns[-2:] == ["labels_", "score"] and out.count() == len(texts)
 
 
+# Wording written out here by hand, not made from the templates.
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+       "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+       "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+       "   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS")
+GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+       "Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+NAMES = [
+    (60, "GNU Lesser General Public License version 2.1", "gpl,lgpl-2.1", 0.75), (61, "the GNU Affero General Public License, version 3", "agpl-3.0,gpl", 0.75),
+    (62, "This is not licensed under CC BY-NC 4 0", "", 0.0), (63, "This is licensed under CC BY-NC 4.0", "cc-by-nc", 0.75),
+    (64, "under the GNU General Public License, version 3.", "gpl,gpl-3.0", 0.75), (65, "a General Public License version 2", "gpl", 0.5),
+    (66, GPL, "gpl,gpl-3.0", 1.0), (67, GPL.replace("General", "Lesser General"), "gpl,lgpl-3.0", 1.0), (68, GPL.replace("version 3", "version 2"), "gpl,gpl-2.0", 1.0),
+    (69, BSD, "bsd,bsd-2-clause", 1.0), (70, BSD.replace("binary form must", "binary form need not"), "bsd", 0.75),
+    (71, "never Released under the MIT License", "mit", 0.5), (72, MIT + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY', "mit", 1.0),
+]
+
+
+def test_names_of_licenses_are_told_apart(spark):
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.report(odd(spark, [(i, t, "a") for i, t, _, _ in NAMES])).collect()}
+    assert got == {i: (labels, score) for i, _, labels, score in NAMES}
+
+
+def test_sql_of_licenses_on_the_same_names(spark, tmp_path):
+    """The query's SQL, too, on wording that the tables do not hold."""
+    import duckdb
+
+    from factorlab.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t, _, _ in NAMES])
+    found = con.execute(f"SELECT doc_id, labels, score FROM ({ORACLES['op2_licenses']})").fetchall()
+    assert {i: (labels, score) for i, labels, score in found} == {i: (labels, score) for i, _, labels, score in NAMES}
+
+
 def test_unknown_markup():
     with pytest.raises(ValueError):
         licenses.Machine.of((("x", "some <<strange>> text"),))
