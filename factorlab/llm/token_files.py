@@ -14,7 +14,8 @@ ascending doc_id order (null first, equal ids by text), within a file and from
 file to file.
 
 Defined results for odd input: a null or empty text gives just the end id.
-Repeated rows are written as often as they stand there. An empty table gives no
+Rows of equal ids stand in the order of their texts, null first; null ids come before all others.
+Repeated rows are written as often as they stand there. Very long texts are read whole, and are a file of their own if need be. An empty table gives no
 file. Only doc_id and text are read, so that extra columns do not matter.
 """
 
@@ -42,6 +43,8 @@ END_ID = 2
 FILE_IDS = 2_000_000
 # Bytes of text worked on at once, units encoded in one call, and units whose ids a worker remembers (some 40 bytes each).
 PIECE_BYTES, CALL_UNITS, MEMO = 2 << 20, 10_000, 1_500_000
+# Characters of a text by which rows of one id are spread.
+BEGIN = 64
 MAGIC = b"DACIDS01"
 _BLOCK = 512  # bits of a directory entry
 
@@ -240,6 +243,16 @@ def opened(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text in ranges of ascending id, and of text among equal ids, each range sorted.
+
+    The beginning of the text stands behind the id, so that rows of a null or a
+    repeated id spread over ranges like others; only rows that begin alike, too, stay together.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_begin", F.substring("text", 1, BEGIN))
+    return rows.repartitionByRange("doc_id", "_begin").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write all documents; returns one row per file: part, number, file, n_docs, n_ids, and its first id's number.
 
@@ -279,8 +292,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
         if held:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(rows, "part int, number int, file string, n_docs long, n_ids long")
+    written = in_order(docs).mapInArrow(rows, "part int, number int, file string, n_docs long, n_ids long")
     manifest = stage(written, "token-files")  # once: each run writes files
     earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))

@@ -49,3 +49,15 @@ def test_odd_rows_in_small_files(spark, tmp_path):
     got = sorted((tuple(r) for r in tf.read(spark, f"file://{tmp_path}/tokens", manifest).collect()), key=lambda r: r[1])
     assert got == expected([(i, t) for i, t, _ in texts])
     assert max(r[2] for r in got) > len(LONG.split())
+
+
+def test_rows_without_ids_spread(spark):
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("CAST(NULL AS long) AS doc_id", "concat('text ', id * 7919 % 100003) AS text")
+    found = tf.in_order(rows.unionByName(rows.limit(5).selectExpr("CAST(3 AS long) AS doc_id", "text")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows become one task again
+    try:
+        sizes = found.selectExpr("spark_partition_id() AS p", "doc_id", "text").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes.groupby("p").size().max() < 60_000
+    assert sizes["text"].tolist()[:100_000] == sorted(sizes["text"].tolist()[:100_000]) and sizes["doc_id"].notna().sum() == 5
