@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factorlab.llm import decontamination, mixing, near_duplicates, quality_rules, sharding
-from factorlab.staging import staging_root
+from factorlab.staging import release, staging_root
 
 # No source is repeated more than twice, so that small sources gain weight while every document stays.
 MIXTURE = mixing.Target(entropy=None, max_repeats=2.0)
@@ -66,13 +66,20 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, from the documents of ``sf_dir``; returns the last one's rows."""
+    """All stages in turn, from the documents of ``sf_dir``; returns the last one's rows.
+
+    A stage's rows are deleted when those of the next one are written, but for the last
+    written, which the result reads.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{staging_root(spark)}/corpus-{uuid.uuid4().hex}"
+    before = docs  # not staged: nothing to delete
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{root}/{k}-{name}"
             docs.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-            docs = spark.read.parquet(path)
+            release(before)
+            docs = before = spark.read.parquet(path)
+            before._staged_at = path
     return docs
