@@ -93,11 +93,14 @@ def _parts(texts: pa.Array) -> Iterator[pa.Array]:
 
 def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted different keys of words and end, which of them each word is, words before each row, place of the end)."""
-    data, offsets = text_bytes(texts)
-    starts, stops, before = spans(data, offsets, NONBLANK)
-    keys = np.concatenate((span_hashes(LOWER[data], starts, stops), [_END_KEY]))
-    different, which = np.unique(keys, return_inverse=True)
-    return different, which[:-1], before, which[-1]
+    hashes, counts = [], [np.zeros(1, np.int64)]
+    for part in _parts(texts):
+        data, offsets = text_bytes(part)
+        starts, stops, before = spans(data, offsets, NONBLANK)
+        hashes.append(span_hashes(LOWER[data], starts, stops))
+        counts.append(np.diff(before))
+    different, which = np.unique(np.concatenate([*hashes, [_END_KEY]]), return_inverse=True)
+    return different, which[:-1], np.cumsum(np.concatenate(counts)), which[-1]
 
 
 _FOLDED = np.where(NONBLANK, LOWER, BLANK).astype(np.uint8)
