@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, types as T
 
+# Names of factors, portfolios and columns that tables and files must have.
 FACTORS = ["MKT_RF", "SMB", "HML", "RMW", "CMA"]
 QUINTILES = ["P1", "P2", "P3", "P4", "P5"]
 LONG_SHORT = "LowMinusHigh"
@@ -32,6 +33,7 @@ CONSTITUENTS_FILE = T.StructType([
     T.StructField("tickers", T.StringType()),
 ])
 
+# The factor table's columns.
 FACTOR_TABLE = T.StructType(
     [T.StructField("date", T.DateType())]
     + [T.StructField(name, T.DoubleType()) for name in FACTORS + ["RF"]]
