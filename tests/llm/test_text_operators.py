@@ -32,6 +32,7 @@ def test_no_user_functions(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+# Public license wording.
 MIT = ("Copyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
        "documentation files (the \"Work\"), to deal in the software without restriction, including without limitation the rights to use, copy, "
        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
