@@ -91,6 +91,16 @@ def _parts(texts: pa.Array) -> Iterator[pa.Array]:
         yield batch.column(0)
 
 
+def ranked(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted different numbers, which of them each is): by a hash table, so that only different ones are sorted."""
+    coded = pa.array(numbers).dictionary_encode()
+    different = coded.dictionary.to_numpy()
+    order = np.argsort(different)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return different[order], rank[coded.indices.to_numpy()]
+
+
 def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted different keys of words and end, which of them each word is, words before each row, place of the end)."""
     hashes, counts = [], [np.zeros(1, np.int64)]
@@ -99,7 +109,7 @@ def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         starts, stops, before = spans(data, offsets, NONBLANK)
         hashes.append(span_hashes(LOWER[data], starts, stops))
         counts.append(np.diff(before))
-    different, which = np.unique(np.concatenate([*hashes, [_END_KEY]]), return_inverse=True)
+    different, which = ranked(np.concatenate([*hashes, [_END_KEY]]))
     return different, which[:-1], np.cumsum(np.concatenate(counts)), which[-1]
 
 
@@ -361,38 +371,17 @@ def groups_of(grams_: np.ndarray, groups: int) -> np.ndarray:
     return (mix(((grams_ >> 8) & 0xFFFF).astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
 
 
-class Tally:
-    """Different grams and their counts, merged when they have doubled."""
-
-    def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.more: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.more.append((keys, counts))
-        if sum(len(k) for k, _ in self.more) > max(1 << 20, len(self.keys)):
-            self.total()
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.more:
-            keys = np.concatenate([self.keys, *(k for k, _ in self.more)])
-            counts = np.concatenate([self.counts, *(c for _, c in self.more)])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            self.keys, self.counts, self.more = keys[first], np.add.reduceat(counts, first), []
-        return self.keys, self.counts
-
-
-def chunk_grams(texts: pa.Array, train: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def chunk_grams(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different grams of all rows, sorted; how often each stands in the rows to train from)."""
-    tally = Tally()
-    for of, counts in ((train, True), (~train, False)) if train is not None else ((None, False),):
-        for part in _parts(texts if of is None else texts.filter(pa.array(of))):
-            text, predicted, _ = symbols(part)
-            keys, n = np.unique(grams(text, predicted), return_counts=True)
-            tally.add(keys, n if counts else np.zeros(len(n), np.int64))
-    return tally.total()
+    def all_of(some: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(grams(*symbols(part)[:2]) for part in _parts(some))])
+
+    # Sorting numbers alone is quicker than adding up counts of parts.
+    keys, n = np.unique(all_of(texts.filter(pa.array(train))), return_counts=True)
+    others = np.unique(all_of(texts.filter(pa.array(~train))))
+    others = others[~np.isin(others, keys, assume_unique=True)]
+    at = np.searchsorted(keys, others)
+    return np.insert(keys, at, others), np.insert(n, at, 0)
 
 
 def requested(chunks: DataFrame, groups: int, slots: int) -> DataFrame:
@@ -588,16 +577,21 @@ def chunk_scores(chunks: DataFrame, words: DataFrame, answers: DataFrame, n: int
                 "base_score": pa.array(add(logs[which]) + logs[end] - tokens * below)}
 
     def gram_scores(texts: pa.Array, right: pa.Table) -> np.ndarray:
-        keys, _ = chunk_grams(texts, None)
+        coded = []
+        for part in _parts(texts):
+            text, predicted, offsets = symbols(part)
+            found = pa.array(grams(text, predicted)).dictionary_encode()
+            coded.append((found.dictionary.to_numpy(), found.indices.to_numpy(), offsets))
+        keys = np.unique(np.concatenate([different for different, _, _ in coded]))
         right = right.sort_by("group")
         logs = np.empty(len(keys), np.float32)
         logs[np.argsort(groups_of(keys, groups), kind="stable")] = np.concatenate([np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist()])
         sums = []
-        for part in _parts(texts):
-            text, predicted, offsets = symbols(part)
-            coded = pa.array(grams(text, predicted)).dictionary_encode()
-            found = logs[np.searchsorted(keys, coded.dictionary.to_numpy())].astype(np.float64)
-            sums.append(np.add.reduceat(found[coded.indices.to_numpy()], offsets[:-1]))  # every row has its end symbol
+        for different, which, offsets in coded:
+            order = np.argsort(different)  # sorted ones are looked up in passing
+            own = np.empty(len(different), np.float64)
+            own[order] = logs[np.searchsorted(keys, different[order])]
+            sums.append(np.add.reduceat(own[which], offsets[:-1]))  # every row has its end symbol
         return np.concatenate(sums)
 
     def scored_(left: pa.Table, right: pa.Table) -> pa.Table:
