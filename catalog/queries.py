@@ -223,7 +223,7 @@ def acquired_months(t):
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")
     )
     return rounded(PR.acquire_months(
-        wanted, t.prices, START, END, **_ticker_dimensions(t)
+        wanted, t.prices, START, END, one_a_day=True, **_ticker_dimensions(t)
     ).drop("month_idx"))
 
 
@@ -532,7 +532,7 @@ def quintiles_from_prices(t):
     """PF4."""
     return rounded(PF.quintiles_from_prices(
         t.price_store, t.membership, START, END, min_coverage=0.6,
-        min_per_quintile=1,
+        min_per_quintile=1, one_a_day=True,
     ))
 
 
@@ -540,7 +540,7 @@ def quintiles_from_prices(t):
 def extremes_from_prices(t):
     """PF5."""
     return rounded(PF.extremes_from_prices(
-        t.price_store, t.membership, START, END
+        t.price_store, t.membership, START, END, one_a_day=True
     ))
 
 
@@ -983,14 +983,14 @@ def portfolios_side_by_side(t):
 def _study(t, prices=None, factors=None, **options):
     config = A.AnalysisConfig(**{
         "start": START, "end": END, "lookbacks": (12,), "min_per_quintile": 1, "run_series": False,
-        "run_subperiods": False, "run_robustness": False, **options})
+        "run_subperiods": False, "run_robustness": False, "one_a_day": prices is None, **options})
     return A.run_analysis(config, t.prices if prices is None else prices, factors, t.membership)
 
 
 @query
 def study_summary(t):
     """PIPE1, PIPE3: the whole study, its long-short line."""
-    return rounded(_study(t, factors=t.factors, lookbacks=(12, 24))["summary"])
+    return rounded(_study(t.keep_days(), factors=t.factors, lookbacks=(12, 24))["summary"])
 
 
 @query
@@ -1002,21 +1002,21 @@ def study_repeated_quotes(t):
 @query
 def study_regressions(t):
     """PIPE1: every model of every portfolio and lookback of a study."""
-    results = _study(t, factors=t.factors, lookbacks=(12, 24))["regressions"]
+    results = _study(t.keep_days(), factors=t.factors, lookbacks=(12, 24))["regressions"]
     return rounded(results.drop("loadings", "period_start", "period_end"))
 
 
 @query
 def study_alphas(t):
     """PIPE1, REG10: the alpha analysis of a study, from the regressions solved once."""
-    tables = _study(t, factors=t.factors)
+    tables = _study(t.keep_days(), factors=t.factors)
     return _alpha_columns(tables["alphas"])
 
 
 @query
 def study_three_factors(t):
     """PIPE1, FLT6, SET4: joint tests of a study whose factor table lacks two factors."""
-    tests = _study(t, factors=t.factors.drop("RMW", "CMA"))["joint_test"]
+    tests = _study(t.keep_days(), factors=t.factors.drop("RMW", "CMA"))["joint_test"]
     return rounded(tests.select(
         "lookback", "model", "status", "n_portfolios", "n_factors", "n_obs", "df2", "f_statistic",
         "critical_value", "p_value", "is_significant",
@@ -1027,7 +1027,7 @@ def study_three_factors(t):
 def study_files(t):
     """SNK5: a study written to its folder, its subperiods read back."""
     folder = _folder(t, "study")
-    tables = _study(t, output_dir=folder, run_subperiods=True)
+    tables = _study(t.keep_days(), output_dir=folder, run_subperiods=True)
     path = f"{folder}/{START}_to_{END}/subperiods"
     return rounded(t.spark.read.schema(tables["subperiods"].schema).json(path))
 

@@ -39,18 +39,22 @@ def _whole(column: str, scale: int = 100) -> Column:
     return F.sum(F.floor(F.col(column) * scale + 0.5))
 
 
+def _line_sums() -> list[Column]:
+    return [
+        F.count("*").alias("n"),
+        _whole("l_tax").alias("tax"),
+        _whole("l_discount").alias("disc"),
+        _whole("l_quantity", 1).alias("qty"),
+        _whole("l_extendedprice").alias("cents"),
+    ]
+
+
 def daily_sums(spark: SparkSession, sf_dir: str, keys: list[str], ticker: Column) -> DataFrame:
     """Sums per ticker and day, grouped by the raw ``keys``; the ticker is spelled out afterwards."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(*keys, F.to_date("l_shipdate").alias("date"))
-        .agg(
-            F.count("*").alias("n"),
-            _whole("l_tax").alias("tax"),
-            _whole("l_discount").alias("disc"),
-            _whole("l_quantity", 1).alias("qty"),
-            _whole("l_extendedprice").alias("cents"),
-        )
+        .agg(*_line_sums())
         .withColumn("ticker", ticker)
     )
 
@@ -64,12 +68,34 @@ def _price() -> Column:
 
 
 def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_sums(spark, sf_dir, ["l_suppkey"], _supplier())
+    """Sums per supplier (``l_suppkey``) and day, the days of a supplier's month together in one task.
+
+    A supplier has hardly two lines a day, so days combine nothing before they
+    shuffle. Lines move once, by supplier and month; days form where they arrive, and
+    months formed from them combine in the same task before their own exchange. A
+    busy supplier is spread over its months.
+    """
+    day = F.to_date("l_shipdate")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            "l_suppkey", day.alias("date"), F.trunc(day, "month").alias("month"),
+            "l_tax", "l_discount", "l_quantity", "l_extendedprice",
+        )
+        .repartition("l_suppkey", "month")
+        .groupBy("l_suppkey", "month", "date")
+        .agg(*_line_sums())
+        .drop("month")
+    )
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, price): one row per supplier and ship day."""
-    return supplier_days(spark, sf_dir).select("ticker", "date", _price().alias("price"))
+    return day_prices(supplier_days(spark, sf_dir))
+
+
+def day_prices(days: DataFrame) -> DataFrame:
+    return days.select(_supplier().alias("ticker"), "date", _price().alias("price"))
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +169,21 @@ class Tables:
     def source(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def days(self) -> DataFrame:
+        """Sums per supplier and day."""
+        return supplier_days(self.spark, self.sf_dir)
+
+    def keep_days(self) -> Tables:
+        """Store the days first, for queries that form both the panel and prices from them:
+        lines are read and moved once, and a supplier's months combine as its files are read."""
+        if not hasattr(self.days, "_staged_at"):
+            self.days = stage(self.days, "days")
+        return self
+
     @property
     def prices(self) -> DataFrame:
-        return prices(self.spark, self.sf_dir)
+        return day_prices(self.days)
 
     @property
     def daily_panel(self) -> DataFrame:
@@ -157,7 +195,7 @@ class Tables:
         debt = self.source("supplier").filter(F.col("s_acctbal") < 0).select(
             F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")
         )
-        days = supplier_days(self.spark, self.sf_dir).join(debt, "ticker", "left_semi")
+        days = self.days.withColumn("ticker", _supplier()).join(debt, "ticker", "left_semi")
         return days.select("ticker", "date", (F.col("qty") / F.col("n")).alias("price"))
 
     @property
@@ -184,7 +222,7 @@ class Tables:
     @cached_property
     def panel(self) -> DataFrame:
         """Monthly returns beside the month's sums: one scan of the lines, two shuffles, one write."""
-        daily = supplier_days(self.spark, self.sf_dir).withColumn("price", _price())
+        daily = self.days.withColumn("ticker", _supplier()).withColumn("price", _price())
         carry = [F.sum(c).alias(c) for c in SUMS]
         return stage(monthly_returns(daily, START, END, carry=carry), "panel")
 

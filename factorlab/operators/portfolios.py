@@ -293,18 +293,20 @@ def quintiles_from_prices(
     min_per_quintile: int = 8,
     max_tickers: int | None = None,
     method: str = "monthly12",
+    one_a_day: bool = False,
     **options,
 ) -> DataFrame:
     """Universe, returns and point-in-time quintiles in one call (PF4).
 
     All symbols take part; ``max_tickers`` keeps the first of the sorted universe.
+    ``one_a_day`` is the promise of :func:`factorlab.sources.prices.stored_months`.
     """
     universe = universe_for_period(membership, start, end)
     if max_tickers is not None:
         universe = first_symbols(universe, max_tickers)
     chosen = prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
     daily = None if method == "monthly12" else stage(sound_prices(chosen), "chosen")
-    buckets = stored_months(chosen, start, end) if daily is None else month_buckets(daily, start, end)
+    buckets = stored_months(chosen, start, end, one_a_day) if daily is None else month_buckets(daily, start, end)
     return quintiles_pti(
         returns_of_months(buckets, end), start, end, membership=membership, prices=daily,
         min_coverage=min_coverage, min_per_quintile=min_per_quintile, method=method, **options,
@@ -318,13 +320,15 @@ def extremes_from_prices(
     end: dt.date,
     max_tickers: int | None = None,
     size: int = 20,
+    one_a_day: bool = False,
 ) -> DataFrame:
     """Universe, returns and extreme portfolios in one call (PF5).
 
     All symbols take part; ``max_tickers`` keeps the first in order of appearance.
+    ``one_a_day`` is the promise of :func:`factorlab.sources.prices.stored_months`.
     """
     universe = universe_in_order(membership, start, end)
     if max_tickers is not None:
         universe = universe.limit(max_tickers)
     chosen = prices.join(universe.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
-    return extreme_portfolios(returns_of_months(stored_months(chosen, start, end), end), start, end, size=size)
+    return extreme_portfolios(returns_of_months(stored_months(chosen, start, end, one_a_day), end), start, end, size=size)

@@ -41,6 +41,7 @@ class AnalysisConfig:
     min_coverage: float = 0.6
     min_per_quintile: int = 5
     method: str = "monthly12"
+    one_a_day: bool = False  # the store has one price per ticker and day; checked, and faster
     clean_symbols: bool = True  # bring a custom list of tickers to canonical symbols
     models: tuple[str, ...] = ("CAPM", "FF3", "FF5")
     output_dir: str | None = None
@@ -73,7 +74,7 @@ def load_universe_months(
 ) -> DataFrame:
     """Month buckets of the study's universe: one scan, no daily row moved (PIPE3)."""
     wanted = study_universe(config, membership, tickers)
-    return acquire_months(wanted, prices, config.start, config.end).drop(
+    return acquire_months(wanted, prices, config.start, config.end, config.one_a_day).drop(
         "source_symbol", "data_start", "data_end"
     )
 
@@ -195,11 +196,13 @@ def save(tables: dict[str, DataFrame], config: AnalysisConfig) -> None:
             write_json(tables[name], f"{base}/{name}")
 
 
-def quick_analysis(start: dt.date, end: dt.date, prices: DataFrame, **inputs) -> dict[str, DataFrame]:
+def quick_analysis(
+    start: dt.date, end: dt.date, prices: DataFrame, one_a_day: bool = False, **inputs
+) -> dict[str, DataFrame]:
     """Lookback 12, CAPM only, no extras (PIPE2)."""
     config = replace(
         AnalysisConfig(), start=start, end=end, lookbacks=(12,), models=("CAPM",),
-        run_series=False, run_subperiods=False, run_robustness=False,
+        run_series=False, run_subperiods=False, run_robustness=False, one_a_day=one_a_day,
     )
     return run_analysis(config, prices, **inputs)
 

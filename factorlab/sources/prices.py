@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import day_bit, in_period, month_floor, month_index
 from ..functions.symbols import resolve_symbols
+from ..operators.returns import month_buckets
 from ..operators.sizing import BROADCAST_ROWS
 from ..schemas import PRICE_FILE
 from ..staging import release, stage
@@ -85,14 +86,28 @@ def sound_prices(prices: DataFrame) -> DataFrame:
     return one_price_per_day(prices.where(F.col("price").isNotNull()))
 
 
-def stored_months(prices: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def stored_months(prices: DataFrame, start: dt.date, end: dt.date, one_a_day: bool = False) -> DataFrame:
     """Month buckets of a panel in which days may repeat or lack a price (AGG1, DED1, FLT2).
 
     The price of a day is its lowest, as in :func:`sound_prices`. Every column is a
     mergeable aggregate (days are a bit each), so months combine before the only
     exchange, and no exchange holds daily rows. Same columns as
     :func:`factorlab.operators.returns.month_buckets`.
+
+    The lowest price of a day is found by ordering days and prices as structs, which
+    Spark aggregates by sorting all rows. ``one_a_day`` promises a price a day at most:
+    then plain columns order them, in hash tables. The promise is checked against
+    the days' bits; a month that breaks it raises an error.
     """
+    if one_a_day:
+        sound = prices.where(F.col("price").isNotNull())
+        days = F.bit_count(F.bit_or(day_bit("date"))).cast("int")
+        broken = F.raise_error(F.concat(F.lit("several prices a day: "), "ticker", F.lit(" in "), F.col("month").cast("string")))
+        return (
+            month_buckets(sound, start, end, [days.alias("_days")])
+            .withColumn("n_days", F.when(F.col("n_days") == F.col("_days"), F.col("n_days")).otherwise(broken))
+            .drop("_days")
+        )
     day = F.struct("date", "price")
     late = F.struct(-F.datediff("date", F.lit(start)), F.col("price"))
     return (
@@ -189,7 +204,8 @@ def _best_source(candidates: DataFrame, stored: DataFrame, columns: list[str]) -
 
 
 def acquire_months(
-    tickers: DataFrame, prices: DataFrame, start: dt.date, end: dt.date, **dimensions: DataFrame
+    tickers: DataFrame, prices: DataFrame, start: dt.date, end: dt.date, one_a_day: bool = False,
+    **dimensions: DataFrame,
 ) -> DataFrame:
     """Month buckets of the requested tickers, each from its best source, in one scan (SRC4, SRC6, PIPE3).
 
@@ -197,14 +213,15 @@ def acquire_months(
     choice looks at their spans, and the chosen buckets take their ticker's name
     last. A symbol counts when it has at least one price in the period. Symbols that
     nobody may ask for are left out before the aggregate while the list of
-    candidates is small enough to broadcast, and after it otherwise.
+    candidates is small enough to broadcast, and after it otherwise. ``one_a_day`` is
+    the promise of :func:`stored_months`.
     """
     candidates = stage(source_candidates(tickers, **dimensions), "candidates")
     asked = candidates.select(F.col("symbol").alias("ticker")).distinct()
     if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         prices = prices.join(F.broadcast(asked), "ticker", "left_semi")
     months = stage(
-        stored_months(prices, start, end).withColumnRenamed("ticker", "source_symbol"), "stored-months"
+        stored_months(prices, start, end, one_a_day).withColumnRenamed("ticker", "source_symbol"), "stored-months"
     )
     spans = months.groupBy(F.col("source_symbol").alias("symbol")).agg(
         F.min("first_day").alias("data_start"), F.max("last_day").alias("data_end")

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import views as views_module
+from catalog.queries import ON_TABLES
 from catalog.views import Tables, END as CAT_END, START as CAT_START
 from factorlab.operators import portfolios as portfolios_module
 from factorlab.operators.portfolios import (
@@ -183,3 +185,23 @@ def test_joint_tests_of_all_models_have_one_plan(spark, inputs):
     tables = run_analysis(AnalysisConfig(start=START, end=END, lookbacks=(4, 6), min_per_quintile=1), prices, factors, members)
     plan = plan_of(tables["joint_test"])
     assert plan.count("MapInPandas") == 1 and "Union" not in plan
+
+
+def test_a_study_reads_the_lines_once_and_never_sorts_days(spark, monkeypatch):
+    """Days form in the task that their supplier's month was sent to; panel and prices share them."""
+    seen = {}
+
+    def noted(df, name):
+        from_lines = any("lineitem" in f for f in df.inputFiles())
+        seen[name] = (plan_of(df), from_lines)
+        return real(df, name)
+
+    real = prices_module.stage
+    for module in (views_module, prices_module, analysis_module, portfolios_module):
+        monkeypatch.setattr(module, "stage", noted)
+    assert ON_TABLES["study_three_factors"](Tables(spark, SF)).count() == 3
+    assert [name for name, (_, from_lines) in seen.items() if from_lines] == ["days"]
+    plan = seen["days"][0]
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(keys) == 1 and re.match(r"l_suppkey#\w+, month#\w+,", keys[0])
+    assert "SortAggregate" not in seen["panel"][0] and "SortAggregate" not in seen["stored-months"][0]

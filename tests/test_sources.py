@@ -199,3 +199,18 @@ def test_price_directories_split_a_large_ticker(spark, tmp_path):
     PR.write_price_directories(hot.unionByName(hot.limit(1).withColumn("ticker", F.lit("ONE"))), str(tmp_path / "d"))
     back = PR.read_price_directories(spark, str(tmp_path / "d"))
     assert back.where("ticker = 'HOT'").count() == 20_000 and back.where("ticker = 'ONE'").count() == 1
+
+
+def test_months_of_one_price_a_day_need_no_sort_and_are_checked(spark):
+    period = D(2020, 1, 1), D(2020, 12, 31)
+    rows = [("A", D(2020, 1, d), float(p)) for d, p in ((2, 5), (9, 7), (31, 8))]
+    rows += [("A", D(2020, 2, 3), None), ("A", D(2020, 2, 4), 2.0), ("B", D(2020, 1, 1), None)]
+    prices = spark.createDataFrame(rows, PRICES)
+    fast, general = PR.stored_months(prices, *period, one_a_day=True), PR.stored_months(prices, *period)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert fast.columns == general.columns
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, general.collect()))
+    again = prices.unionByName(spark.createDataFrame([("A", D(2020, 1, 9), 6.0)], PRICES))
+    with pytest.raises(Exception, match="several prices a day: A in 2020-01-01"):
+        PR.stored_months(again, *period, one_a_day=True).collect()
