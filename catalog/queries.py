@@ -1035,7 +1035,7 @@ def study_files(t):
 @query
 def quick_study(t):
     """PIPE2: CAPM alphas of the quick preset, beside the performance."""
-    tables = A.quick_analysis(START, END, t.prices, factors=t.factors, membership=t.membership)
+    tables = A.quick_analysis(START, END, t.keep_days().prices, one_a_day=True, factors=t.factors, membership=t.membership)
     measures = tables["performance"].select(*SERIES, "annual_return", "sharpe_ratio", "n_months")
     alphas = tables["regressions"].select(*SERIES, "model", "alpha", "alpha_tstat", "alpha_pvalue", "r2", "n_obs")
     return rounded(measures.join(alphas, SERIES))

@@ -205,3 +205,17 @@ def test_a_study_reads_the_lines_once_and_never_sorts_days(spark, monkeypatch):
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert len(keys) == 1 and re.match(r"l_suppkey#\w+, month#\w+,", keys[0])
     assert "SortAggregate" not in seen["panel"][0] and "SortAggregate" not in seen["stored-months"][0]
+
+
+def test_the_quick_study_reads_the_lines_once(spark, monkeypatch):
+    read = []
+
+    def noted(df, name):
+        read.extend([name] if any("lineitem" in f for f in df.inputFiles()) else [])
+        return real(df, name)
+
+    real = prices_module.stage
+    for module in (views_module, prices_module, analysis_module, portfolios_module):
+        monkeypatch.setattr(module, "stage", noted)
+    assert ON_TABLES["quick_study"](Tables(spark, SF)).count() >= 0
+    assert read == ["days"]
