@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..staging import release, stage
-from .words import LOWER, NONBLANK, crc_remainder, list_column, mix, pieces, span_hashes, spans, text_bytes
+from .words import LOWER, NONBLANK, crc_remainder, mix, pieces, span_hashes, spans, text_bytes
 
 CONTEXT = 6
 BURN_IN, SAMPLES = 3, 3
@@ -63,26 +63,37 @@ BUCKET_BYTES = 8 << 20
 BLANK, END = 0x20, 0x0A
 _END_KEY = np.uint64(0x0E17D0F7EC7ED001)
 PART_BYTES = 1 << 20
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 # --- texts ----------------------------------------------------------------
 
+def _bundled(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(cell: pa.BinaryScalar) -> pa.RecordBatch:
+    """doc_id, held_out and text of a chunk."""
+    with pa.ipc.open_stream(cell.as_py()) as bundle:
+        return bundle.read_next_batch()
+
+
+def _trains(docs: pa.RecordBatch) -> np.ndarray:
+    return ~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False), bool)
+
+
 def chunked(docs: DataFrame, held_out) -> DataFrame:
-    """Documents in rows of a few MB of text: chunk, doc_ids, held_out, texts."""
+    """Documents in rows of a few MB of text: chunk, and its documents as one deflated cell, as Spark's rows of whole texts take several times their room."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
         for k, batch in enumerate(pieces(batches, size=CHUNK_BYTES)):
-            ends = np.array([0, batch.num_rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first + k], pa.int64()), *(list_column(batch.column(c), ends) for c in ("doc_id", "held_out", "text"))],
-                ["chunk", "doc_ids", "held_out", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), pa.array([_bundled(batch)], pa.binary())], ["chunk", "docs"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInArrow(rows, "chunk long, doc_ids array<long>, held_out array<boolean>, texts array<string>")
-
-
-def _of(batch: pa.RecordBatch | pa.Table, name: str, k: int) -> pa.Array:
-    return batch.column(name)[k].values
+    return given.mapInArrow(rows, "chunk long, docs binary")
 
 
 def _parts(texts: pa.Array) -> Iterator[pa.Array]:
@@ -158,8 +169,9 @@ def word_counts(chunks: DataFrame, buckets_log2: int) -> tuple[DataFrame, int, i
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, which, before, end = word_keys(_of(batch, "texts", k))
-                train = ~np.asarray(_of(batch, "held_out", k).to_numpy(zero_copy_only=False), bool)
+                docs = _opened(batch.column("docs")[k])
+                keys, which, before, end = word_keys(docs.column("text"))
+                train = _trains(docs)
                 counts = np.bincount(which, np.repeat(train, np.diff(before)), len(keys)).astype(np.uint32)
                 counts[end] += train.sum()
                 bucket = (keys >> shift).astype(np.int32) if buckets_log2 else np.zeros(len(keys), np.int32)
@@ -341,9 +353,6 @@ class Upper:
 
 # --- requests and the model -----------------------------------------------
 
-_CODEC = pa.Codec("zstd", compression_level=1)
-
-
 def _packed(numbers: np.ndarray) -> bytes:
     """Whole numbers, their bytes by place and deflated, behind how many they are."""
     planes = np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
@@ -371,14 +380,30 @@ def groups_of(grams_: np.ndarray, groups: int) -> np.ndarray:
     return (mix(((grams_ >> 8) & 0xFFFF).astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
 
 
+def _all_grams(texts: pa.Array) -> np.ndarray:
+    """Grams of all rows, written in turns to where they stay."""
+    out, n = np.empty(len(text_bytes(texts)[0]) + 2 * len(texts), np.int64), 0  # a blank and the end are more than the bytes
+    for part in _parts(texts):
+        own = grams(*symbols(part)[:2])
+        out[n:n + len(own)] = own
+        n += len(own)
+    return out[:n]
+
+
+def counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different numbers, sorted; how often each stands there). The numbers are sorted in place: a copy would take their room again."""
+    numbers.sort()
+    new = np.ones(len(numbers), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return numbers[first], np.diff(first, append=len(numbers))
+
+
 def chunk_grams(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different grams of all rows, sorted; how often each stands in the rows to train from)."""
-    def all_of(some: pa.Array) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(grams(*symbols(part)[:2]) for part in _parts(some))])
-
     # Sorting numbers alone is quicker than adding up counts of parts.
-    keys, n = np.unique(all_of(texts.filter(pa.array(train))), return_counts=True)
-    others = np.unique(all_of(texts.filter(pa.array(~train))))
+    keys, n = counted(_all_grams(texts.filter(pa.array(train))))
+    others, _ = counted(_all_grams(texts.filter(pa.array(~train))))
     others = others[~np.isin(others, keys, assume_unique=True)]
     at = np.searchsorted(keys, others)
     return np.insert(keys, at, others), np.insert(n, at, 0)
@@ -390,8 +415,8 @@ def requested(chunks: DataFrame, groups: int, slots: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk = batch.column("chunk")[k].as_py()
-                train = ~np.asarray(_of(batch, "held_out", k).to_numpy(zero_copy_only=False), bool)
-                keys, counts = chunk_grams(_of(batch, "texts", k), train)
+                docs = _opened(batch.column("docs")[k])
+                keys, counts = chunk_grams(docs.column("text"), _trains(docs))
                 group = groups_of(keys, groups)
                 order = np.argsort(group, kind="stable")
                 numbers, first = np.unique(group[order], return_index=True)
@@ -560,45 +585,47 @@ def answers_of(asked_: DataFrame, state: DataFrame, upper: np.ndarray) -> DataFr
     return asked_.drop("counts").join(learnt, "group", "left").mapInArrow(rows, "chunk long, group int, logs binary")
 
 
+def gram_scores(texts: pa.Array, answers: np.ndarray, groups: int) -> np.ndarray:
+    """Sum of each row's logs, from the answers to a chunk's different grams: by group, sorted in each."""
+    keys, _ = counted(_all_grams(texts))
+    logs = np.empty(len(keys), np.float32)
+    logs[np.argsort(groups_of(keys, groups), kind="stable")] = answers
+    sums = []
+    for part in _parts(texts):  # made again, as the places of all grams of a chunk would take their room again
+        text, predicted, offsets = symbols(part)
+        found = grams(text, predicted)
+        order = np.argsort(found)
+        different, n = counted(found)
+        own = np.empty(len(order), np.float64)
+        own[order] = np.repeat(logs[np.searchsorted(keys, different)], n)  # sorted ones are looked up in passing
+        sums.append(np.add.reduceat(own, offsets[:-1]))  # every row has its end symbol
+    return np.concatenate(sums)
+
+
 def chunk_scores(chunks: DataFrame, words: DataFrame, answers: DataFrame, n: int, v: int, groups: int) -> DataFrame:
     """Both models' figures of every text: a chunk meets the answers of the word model and of the groups."""
     below = math.log10(n + v + 1)
 
-    def word_figures(left: pa.Table, right: pa.Table) -> dict[str, pa.Array]:
+    def word_figures(texts: pa.Array, right: pa.Table) -> dict[str, pa.Array]:
         right = right.sort_by("bucket")
         counts = np.concatenate([
             np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * size else np.uint64).astype(np.float64)
             for x, size in zip(right.column("counts"), right.column("size").to_pylist(), strict=True)])
-        _, which, before, end = word_keys(_of(left, "texts", 0))
+        _, which, before, end = word_keys(texts)
         add = lambda a: np.diff(np.concatenate(([0], np.cumsum(a)))[before])
         logs, known = np.log10(counts + 1), counts > 0
         tokens = np.diff(before) + 1
         return {"n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(add(known[which]) + int(known[end]), pa.int64()),
                 "base_score": pa.array(add(logs[which]) + logs[end] - tokens * below)}
 
-    def gram_scores(texts: pa.Array, right: pa.Table) -> np.ndarray:
-        coded = []
-        for part in _parts(texts):
-            text, predicted, offsets = symbols(part)
-            found = pa.array(grams(text, predicted)).dictionary_encode()
-            coded.append((found.dictionary.to_numpy(), found.indices.to_numpy(), offsets))
-        keys = np.unique(np.concatenate([different for different, _, _ in coded]))
-        right = right.sort_by("group")
-        logs = np.empty(len(keys), np.float32)
-        logs[np.argsort(groups_of(keys, groups), kind="stable")] = np.concatenate([np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist()])
-        sums = []
-        for different, which, offsets in coded:
-            order = np.argsort(different)  # sorted ones are looked up in passing
-            own = np.empty(len(different), np.float64)
-            own[order] = logs[np.searchsorted(keys, different[order])]
-            sums.append(np.add.reduceat(own[which], offsets[:-1]))  # every row has its end symbol
-        return np.concatenate(sums)
-
     def scored_(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_words = pa.compute.is_valid(right.column("bucket"))
+        of_words, docs = pa.compute.is_valid(right.column("bucket")), _opened(left.column("docs")[0])
+        texts = docs.column("text")
+        logs = right.filter(pa.compute.invert(of_words)).sort_by("group").column("logs")
+        logs = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in logs])
         return pa.table({
-            "doc_id": _of(left, "doc_ids", 0), "held_out": _of(left, "held_out", 0), **word_figures(left, right.filter(of_words)),
-            "score": pa.array(gram_scores(_of(left, "texts", 0), right.filter(pa.compute.invert(of_words))))})
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **word_figures(texts, right.filter(of_words)),
+            "score": pa.array(gram_scores(texts, logs, groups))})
 
     right = words.unionByName(answers, allowMissingColumns=True).withColumnRenamed("chunk", "to")
     return chunks.groupBy("chunk").cogroup(right.groupBy("to")).applyInArrow(

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -146,3 +147,37 @@ def test_contexts_reach_back_six_bytes():
     text, places, offsets = lm.symbols(pa.array(["a12345x", "b12345x"]))
     keys = lm.grams(text, places)
     assert keys[offsets[0] + 6] != keys[offsets[1] + 6]  # of x, after texts that differ six bytes before it
+
+
+def peak(call, *args):
+    tracemalloc.start()
+    try:
+        return call(*args), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_chunk_is_worked_on_in_bounded_memory():
+    """Nine bytes for each of its symbols, besides what a turn of PART_BYTES and the different grams take."""
+    rng = np.random.default_rng(0)
+    words = ["".join(w) for w in rng.choice(list("abcdeé"), (300, 5))]
+    texts = pa.array([" ".join(rng.choice(words, 5000)) for _ in range(500)], pa.string())
+    size = len(lm.text_bytes(texts)[0])
+    (keys, n), most = peak(lm.chunk_grams, texts, np.ones(len(texts), bool))
+    assert most < 9 * size + 64 * lm.PART_BYTES and n.sum() == sum(len(lm.grams(*lm.symbols(part)[:2])) for part in lm._parts(texts))
+    of = lm.groups_of(keys, 7)
+    answers = np.log10(n / n.sum()).astype(np.float32)
+    got, most = peak(lm.gram_scores, texts, answers[np.argsort(of, kind="stable")], 7)
+    assert most < 9 * size + 64 * lm.PART_BYTES
+    for k in (0, 57, 499):
+        own = lm.grams(*lm.symbols(texts[k:k + 1])[:2])
+        assert got[k] == pytest.approx(answers[np.searchsorted(keys, own)].astype(np.float64).sum())
+
+
+def test_chunks_are_staged_deflated(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text")
+    given = [(r.doc_id, r.doc_id % 3 == 0, r.text or "") for r in docs.collect()]
+    rows = lm.chunked(docs, docs.doc_id % 3 == 0).toArrow()
+    opened = [x for cell in rows.column("docs") for x in zip(*(c.to_pylist() for c in lm._opened(cell).columns), strict=True)]
+    assert sorted(opened) == sorted(given)
+    assert sum(len(cell.as_buffer()) for cell in rows.column("docs")) < 0.6 * sum(len(t.encode()) for _, _, t in given)
